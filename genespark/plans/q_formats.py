@@ -348,13 +348,13 @@ def _(spark, d):
     return R.parse_typed_columns(lines, {"a": (2, "long"), "b": (3, "double"), "c": (1, "string")}, skip=3)
 
 
-@query("parse_evec", sql("", f"SELECT 'S' || vec_id AS sample, 'L' || label AS grp, {rnd('CAST(embedding[1] AS DOUBLE)', 5)} AS pc1, {rnd('CAST(embedding[3] AS DOUBLE)', 5)} AS pc3 FROM embeddings"))
+@query("parse_evec", sql("", f"SELECT 'S' || vec_id AS sample, 'L' || label AS grp, {rnd('CAST(embedding[1] AS DOUBLE)', 7)} AS pc1, {rnd('CAST(embedding[3] AS DOUBLE)', 7)} AS pc3 FROM embeddings"))
 def _(spark, d):
     e = v.table(spark, d, "embeddings")
     row = F.concat_ws("  ", F.lit(""), F.concat(F.lit("S"), "vec_id"), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 7).cast("string")), " "), F.concat(F.lit("L"), "label"))
     head = one_file(v.table(spark, d, "region").filter("r_regionkey = 0"), F.lit("  #eigvals: 3.1 2.0"))
     t = R.parse_evec(head.unionByName(one_file(e, row)))
-    return t.select("sample", "grp", r6(F.col("coords")[0], 5).alias("pc1"), r6(F.col("coords")[2], 5).alias("pc3"))
+    return t.select("sample", "grp", r6(F.col("coords")[0], 7).alias("pc1"), r6(F.col("coords")[2], 7).alias("pc3"))
 
 
 @query("parse_segments", sql("", """SELECT CAST(p_size AS INTEGER) AS tree, CAST(p_partkey % 5 AS VARCHAR) AS chrom, p_partkey * 10 AS "start", p_partkey * 10 + 9 AS "end", p_retailprice AS score FROM part"""))
