@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from genespark.functions.special import jeffreys
+from genespark.session import ensure_checkpoint_dir
 
 # Site and material classes by keyword, tried in this order.
 SITE_CAVE = r"(?i)\bcave\b"
@@ -230,6 +231,8 @@ def sex_cluster(table, rx="rx", start=1.0, rounds=20):
 
     Each round is one aggregate of four numbers; the table itself never leaves the executors.
     """
+    ensure_checkpoint_dir(table.sparkSession)
+    table = table.checkpoint()  # every round reads this, not the lineage behind it
     m, f = 0.5 * start, start
     for _ in range(rounds):
         male = F.abs(F.col(rx) - m) <= F.abs(F.col(rx) - f)

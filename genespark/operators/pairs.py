@@ -64,10 +64,13 @@ def _products(keys, tile):
     return run
 
 
-def pair_counts(gts, keys=(), site_block=SITE_BLOCK, tile=SAMPLE_TILE):
-    """(keys, idx_i < idx_j) -> differ, comparable, weight; ``keys`` are columns of the site (class, block)."""
+def pair_counts(gts, keys=(), individuals=None, site_block=SITE_BLOCK, tile=SAMPLE_TILE):
+    """(keys, idx_i < idx_j) -> differ, comparable, weight; ``keys`` are columns of the site (class, block).
+
+    The individual table (idx, sample) saves a pass over the genotypes.
+    """
     keys = list(keys)
-    samples = gts.select("idx", "sample").distinct()
+    samples = (gts if individuals is None else individuals).select("idx", "sample").distinct()
     tiles = samples.select((F.floor(F.col("idx") / tile)).cast("int").alias("_t")).distinct()
     others = tiles.agg(F.array_sort(F.collect_list("_t")).alias("t"))  # number of samples / tile
     g = gts.filter("gt is not null").select(

@@ -147,7 +147,8 @@ def shared_derived(gts, quads, method="consensus"):
     t = t.filter("yz >= 0 and xz >= 0 and yz < xz and xy >= 0 and yz < xy")
     near = "yz < wz and yz < wy and wx < wy and wx < wz and wx < xy and wx < xz"
     if method == "abs":
-        t = t.withColumn("pattern", F.when(F.expr(near), "AABB").otherwise("BABB"))
+        close = "yz < wz and yz < wy and wx < wy and wx < wz and wx < xy"
+        t = t.withColumn("pattern", F.when(F.expr(close), "AABB").otherwise("BABB"))
         return t.select("site_id", "test", "pattern")
     usable = "wz >= 0 and wx >= 0 and wy >= 0"
     far = "wx > wy and wx > wz and xy > wy and xy > wz and xz > wy and xz > wz"
@@ -321,7 +322,10 @@ def polarising_sites(gts, individuals, regex_a, regex_b, least=0.5):
 
 
 def _theta(n, ac, h):
-    """Weir and Cockerham's estimator from per-population allele totals, allele counts and heterozygotes."""
+    """Weir and Cockerham's estimator from per-population allele totals, allele counts and heterozygotes.
+
+    0 where one allele is fixed; NULL where the estimator is undefined.
+    """
     r = len(n)
     div = F.try_divide
     total, hets, alleles = sum(n[1:], n[0]), sum(h[1:], h[0]), sum(ac[1:], ac[0])
@@ -341,7 +345,7 @@ def _theta(n, ac, h):
     theta = div(a, a + b + hbar / 2)
     known = F.least(*n) > 0
     fixed = (alleles == 0) | (alleles == total)
-    return F.when(known & (nbar > 1) & (nc != 0), F.when(fixed, 0.0).otherwise(theta))
+    return F.when(fixed, 0.0).when(known & (nbar > 1) & (nc != 0), theta)
 
 
 def fst_weir_cockerham(gts, groups):
@@ -493,3 +497,8 @@ def parsimonious_topology(dstats):
     t = dstats.withColumn("triple", triple)
     top = t.groupBy("triple").agg(F.max(F.greatest("abba", "baba")).alias("top"))
     return t.join(top, "triple").filter("abba < top and baba < top").drop("top")
+
+
+def sort_by_loglik(tests):
+    """Least likely sites first (a distributed range sort)."""
+    return tests.orderBy("loglik", "site_id")

@@ -129,7 +129,7 @@ def rmdup_exact(reads):
     u = reads.withColumn("_id", F.sha2("seq", 256)).groupBy("_id", "seq").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
     many = u.filter("copies > 1").select("_id")
     bases = (
-        reads.filter("qual is not null").withColumn("_id", F.sha2("seq", 256)).join(many, "_id", "left_semi")
+        reads.filter("qual is not null").select(F.sha2("seq", 256).alias("_id"), "qual").distinct().join(many, "_id", "left_semi")
         .select("_id", F.posexplode(F.split("qual", "")).alias("p", "q")).groupBy("_id", "p").agg(F.max("q").alias("q"))
     )
     merged = bases.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda s: s["q"]), "").alias("_best"))

@@ -112,7 +112,10 @@ def cumulative_counts(df, keys, value, weight=None, tiles=RANK_TILES):
     probs = [i / tiles for i in range(1, tiles)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.lit(probs), F.lit(10 * tiles)).alias("_cuts"))
     t = counts.join(cuts, list(keys)) if keys else counts.withColumn("_cuts", cuts.scalar())
-    t = t.withColumn("_tile", F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")).drop("_cuts")
+    # binary search: how many cut points lie below the value
+    bits = F.array(*[F.lit(1 << i) for i in range(tiles.bit_length() - 1, -1, -1)])
+    below = lambda k: (k <= F.size("_cuts")) & (F.get("_cuts", k - 1) < F.col(value))
+    t = t.withColumn("_tile", F.aggregate(bits, F.lit(0), lambda k, b: F.when(below(k + b), k + b).otherwise(k)).cast("long")).drop("_cuts")
     w = W.partitionBy(*keys, "_tile").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
     totals = t.groupBy(*keys, "_tile").agg(F.sum("n").alias("_t"))

@@ -317,15 +317,27 @@ def _(spark, d):
     return t.withColumn("context", K.context_class(F.col("k"))).filter("context is not null").groupBy("context").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("both_strands", sql("", """, p AS (SELECT p_partkey % 5 AS chrom, p_partkey * 10 AS s, CASE p_partkey % 3 WHEN 0 THEN 'CpG' WHEN 1 THEN 'CHG' ELSE 'CHH' END AS context, p_size % 3 AS pc, p_size % 4 AS pmc, p_size % 5 AS nc, p_size % 7 AS nmc FROM part)
-SELECT chrom, context, '+' AS strand, s AS "start", pc AS c, pmc AS mc, s + 1 AS "end" FROM p WHERE pc + pmc > 0 UNION ALL
-SELECT chrom, context, '-', s + o, nc, nmc, s + o + 1 FROM (SELECT *, CASE context WHEN 'CpG' THEN 1 WHEN 'CHG' THEN 2 ELSE 0 END AS o FROM p) WHERE nc + nmc > 0"""))
-def _(spark, d):
+STRANDS = """, p AS (SELECT p_partkey % 5 AS chrom, p_partkey * 10 AS s, CASE p_partkey % 3 WHEN 0 THEN 'CpG' WHEN 1 THEN 'CHG' ELSE 'CHH' END AS context, p_size % 3 AS pc, p_size % 4 AS pmc, p_size % 5 AS nc, p_size % 7 AS nmc FROM part)"""
+
+
+def strand_pairs(spark, d):
     k = F.col("p_partkey")
     ctx = F.when(k % 3 == 0, "CpG").when(k % 3 == 1, "CHG").otherwise("CHH")
     s = F.col("p_size")
-    p = v.table(spark, d, "part").select((k % 5).alias("chrom"), (k * 10).alias("start"), ctx.alias("context"), (s % 3).alias("pc"), (s % 4).alias("pmc"), (s % 5).alias("nc"), (s % 7).alias("nmc"))
-    return K.both_strands(p)
+    return v.table(spark, d, "part").select((k % 5).alias("chrom"), (k * 10).alias("start"), (k * 10 + 1).alias("end"), ctx.alias("context"), (s % 3).alias("pc"), (s % 4).alias("pmc"), (s % 5).alias("nc"), (s % 7).alias("nmc"))
+
+
+@query("both_strands", sql("", STRANDS + """
+SELECT chrom, context, '+' AS strand, s AS "start", pc AS c, pmc AS mc, s + 1 AS "end" FROM p WHERE pc + pmc > 0 UNION ALL
+SELECT chrom, context, '-', s + o, nc, nmc, s + o + 1 FROM (SELECT *, CASE context WHEN 'CpG' THEN 1 WHEN 'CHG' THEN 2 ELSE 0 END AS o FROM p) WHERE nc + nmc > 0 AND (context <> 'CHH' OR pc + pmc = 0)"""))
+def _(spark, d):
+    return K.both_strands(strand_pairs(spark, d))
+
+
+@query("merged_strands", sql("", STRANDS + """, m AS (SELECT chrom, s AS "start", s + 1 AS "end", context, CASE WHEN context <> 'CHH' THEN pc + nc WHEN pc + pmc > 0 THEN pc ELSE nc END AS c, CASE WHEN context <> 'CHH' THEN pmc + nmc WHEN pc + pmc > 0 THEN pmc ELSE nmc END AS mc FROM p)
+SELECT * FROM m WHERE c + mc > 0"""))
+def _(spark, d):
+    return K.merged_strands(strand_pairs(spark, d))
 
 
 @query("parse_methlist", sql("meth", 'SELECT CAST(chrom AS VARCHAR) AS chrom, "start", "end", strand, c + mc AS depth, c, mc, context FROM meth'))
@@ -436,3 +448,22 @@ def _(spark, d):
     s = F.col("p_size")
     text = F.when(k == 0, s.cast("string")).when(k == 1, F.concat(s, F.lit("k"))).when(k == 2, F.concat(s, F.lit("Mb"))).otherwise(F.concat((s * 0.5).cast("string"), F.lit("kb")))
     return v.table(spark, d, "part").select("p_partkey", coords.parse_size(text).alias("bases"))
+
+
+@query("parse_posterior_log", sql("", "SELECT CAST(p_size AS DOUBLE) AS tdiv, p_retailprice AS tiso FROM part"))
+def _(spark, d):
+    p = v.table(spark, d, "part")
+    head = one_file(v.table(spark, d, "region").filter("r_regionkey = 0"), F.lit("state\ttiso\tx\ttdiv"), F.lit(1))
+    note = one_file(v.table(spark, d, "region").filter("r_regionkey = 1"), F.lit("# run"), F.lit(0))
+    body = one_file(p, cat("p_partkey", F.col("p_retailprice").cast("string"), F.lit("0"), "p_size"), F.col("p_partkey") + 2)
+    return R.parse_posterior_log(note.unionByName(head).unionByName(body), ["tdiv", "tiso"]).drop("line_no")
+
+
+@query("split_fold_tag", sql("reads", "SELECT 'q' || doc_id AS qname, seq AS s1, reverse(seq) AS s2, repeat('I', length(seq)) AS q1, repeat('!', length(seq)) AS q2, doc_id % 2 = 1 AS rev FROM reads"))
+def _(spark, d):
+    r = v.reads(spark, d)
+    n = F.length("seq")
+    q = lambda c: F.expr(f"repeat('{c}', length(seq))")
+    tag = F.concat(F.lit("XF:Z:"), F.concat_ws("|", "seq", F.reverse("seq"), q("I"), q("!")))
+    line = cat(F.concat(F.lit("q"), "doc_id"), F.col("doc_id") % 2 * 16, F.lit("c"), F.lit("5"), F.lit("60"), F.concat(n, F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), F.col("seq"), q("I"), F.lit("NM:i:0"), tag)
+    return R.split_fold_tag(R.parse_sam(one_file(r, line))).select("qname", "s1", "s2", "q1", "q2", "rev")

@@ -132,7 +132,7 @@ def _(spark, d):
 
 
 @query("shared_derived_abs", sql(GENO, f"""{TESTS}{_dist('abs')}
-SELECT site_id, test, CASE WHEN {_near} THEN 'AABB' ELSE 'BABB' END AS pattern FROM dist WHERE yz < xz AND yz < xy"""))
+SELECT site_id, test, CASE WHEN yz < wz AND yz < wy AND wx < wy AND wx < wz AND wx < xy THEN 'AABB' ELSE 'BABB' END AS pattern FROM dist WHERE yz < xz AND yz < xy"""))
 def _(spark, d):
     return popgen.shared_derived(v.genotypes(spark, d), QUADS, "abs")
 
@@ -226,8 +226,8 @@ def _(spark, d):
 def _theta_sql(r, n="n", s="s", h="h"):
     i = range(r)
     tot = "+".join(f"{n}{k}" for k in i)
-    return f"""CASE WHEN least({', '.join(f'{n}{k}' for k in i)}) > 0 AND nbar > 1 AND nc <> 0 THEN
-      CASE WHEN alleles = 0 OR alleles = {tot} THEN 0.0 ELSE a / nullif(a + b + hbar / 2, 0) END END"""
+    return f"""CASE WHEN alleles = 0 OR alleles = {tot} THEN 0.0 WHEN least({', '.join(f'{n}{k}' for k in i)}) > 0 AND nbar > 1 AND nc <> 0
+      THEN a / nullif(a + b + hbar / 2, 0) END"""
 
 
 def _theta_steps(src, r):
@@ -277,7 +277,8 @@ e AS (SELECT site_id, CASE WHEN n > 0 AND p > 0 AND p < 1 THEN
 SELECT site_id, {rnd('sum(x)', 5)} AS loglik FROM e GROUP BY site_id""".format(*[
     f"(lgamma(n + 1) - lgamma({x} + 1) - lgamma(n - {x} + 1) + {x} * ln(p) + (n - {x}) * ln(1 - p))" for x in ("k", "lo", "hi")])))
 def _(spark, d):
-    return popgen.population_loglik(v.genotypes(spark, d), GROUPS).select("site_id", r6(F.col("loglik"), 5).alias("loglik"))
+    t = popgen.population_loglik(v.genotypes(spark, d), GROUPS)
+    return popgen.sort_by_loglik(t).select("site_id", r6(F.col("loglik"), 5).alias("loglik"))
 
 
 @query("topology_counts", sql(GENO, """, w AS (SELECT site_id, chrom, pos, max(gt) FILTER (sample = 'S1') AS a, max(gt) FILTER (sample = 'S2') AS b, max(gt) FILTER (sample = 'S3') AS c
@@ -350,7 +351,7 @@ SELECT a.sample AS i, b.sample AS j, count(*) FILTER (a.gt <> b.gt) AS differ, c
   round(count(*) FILTER (a.gt <> b.gt) / count(*), 6) + 0.0 AS distance
 FROM genotypes a JOIN genotypes b ON a.site_id = b.site_id AND a.idx < b.idx WHERE a.gt IN (0, 2) AND b.gt IN (0, 2) GROUP BY 1, 2"""))
 def _(spark, d):
-    return pairs.pairwise_distance(v.genotypes(spark, d)).withColumn("distance", r6(F.col("distance")))
+    return pairs.pairwise_distance(v.genotypes(spark, d), individuals=v.individuals(spark, d)).withColumn("distance", r6(F.col("distance")))
 
 
 @query("pairwise_distance_blocks", sql(GENO, f"""
@@ -358,7 +359,7 @@ SELECT a.chrom, CAST(floor(a.pos / {BLOCK}) * {BLOCK} AS BIGINT) AS block, a.sam
   count(*) FILTER (a.gt <> b.gt) AS differ, count(*) AS comparable, round(count(*) FILTER (a.gt <> b.gt) / count(*), 6) + 0.0 AS distance
 FROM genotypes a JOIN genotypes b ON a.site_id = b.site_id AND a.idx < b.idx WHERE a.gt IN (0, 2) AND b.gt IN (0, 2) GROUP BY 1, 2, 3, 4"""))
 def _(spark, d):
-    return pairs.pairwise_distance(v.genotypes(spark, d), block=BLOCK).withColumn("distance", r6(F.col("distance")))
+    return pairs.pairwise_distance(v.genotypes(spark, d), block=BLOCK, individuals=v.individuals(spark, d)).withColumn("distance", r6(F.col("distance")))
 
 
 IMPACT = "CASE site_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'LOW' ELSE 'MODIFIER' END"
@@ -369,7 +370,7 @@ SELECT a.sample AS i, b.sample AS j, {IMPACT.replace('site_id', 'a.site_id')} AS
 FROM genotypes a JOIN genotypes b ON a.site_id = b.site_id AND a.idx < b.idx WHERE a.gt IS NOT NULL AND b.gt IS NOT NULL GROUP BY 1, 2, 3"""))
 def _(spark, d):
     g = v.genotypes(spark, d).withColumn("class", F.expr(IMPACT))
-    return pairs.pairwise_distance_by_class(g, "class")
+    return pairs.pairwise_distance_by_class(g, "class", individuals=v.individuals(spark, d))
 
 
 @query("rank_pairs", sql(GENO, """

@@ -201,6 +201,11 @@ def to_treemix(gts, groups, sites):
     return t.select("chrom", "pos", "site_id", F.concat_ws(" ", *cell).alias("line"))
 
 
+def smcpp_lines(runs):
+    """Run, observed state, alternative alleles and alleles of each run, in order along the chromosome."""
+    return runs.select("chrom", "run", F.concat_ws("\t", "span", "state", "n_alt", "n_total").alias("line"))
+
+
 # --- methylation and intervals --------------------------------------------------------------------
 
 
@@ -227,15 +232,27 @@ def pileometh_lines(meth):
 def both_strands(pairs):
     """Rows with +C, +mC, -C, -mC of one context become one row per strand.
 
-    The reverse cytosine of CpG lies one base on, of CHG two; CHH has one strand only.
+    The reverse cytosine of CpG lies one base on, of CHG two; CHH keeps one strand, the reverse one only if
+    the forward one has no reads.
     """
     shift = F.when(F.col("context") == "CpG", 1).when(F.col("context") == "CHG", 2).otherwise(0)
     fwd = F.struct(F.lit("+").alias("strand"), F.col("start"), F.col("pc").alias("c"), F.col("pmc").alias("mc"))
     rev = F.struct(F.lit("-").alias("strand"), (F.col("start") + shift).alias("start"), F.col("nc").alias("c"), F.col("nmc").alias("mc"))
-    t = pairs.select("chrom", "context", F.explode(F.array(fwd, rev)).alias("s")).select("chrom", "context", "s.*")
+    single = F.array(F.when(F.expr("pc + pmc > 0"), fwd).otherwise(rev))
+    both = F.when(F.col("context") == "CHH", single).otherwise(F.array(fwd, rev))
+    t = pairs.select("chrom", "context", F.explode(both).alias("s")).select("chrom", "context", "s.*")
     return t.withColumn("end", F.col("start") + 1).filter("c + mc > 0")
 
 
+def merged_strands(pairs):
+    """One row per context: both strands added, or for CHH the one strand that has reads."""
+    one = (F.col("context") == "CHH") & F.expr("pc + pmc > 0")
+    other = (F.col("context") == "CHH") & F.expr("pc + pmc = 0")
+    pick = lambda p, n: F.when(one, F.col(p)).when(other, F.col(n)).otherwise(F.col(p) + F.col(n))
+    t = pairs.select("chrom", "start", "end", "context", pick("pc", "nc").alias("c"), pick("pmc", "nmc").alias("mc"))
+    return t.filter("c + mc > 0")
+
+
 def write_by_context(lines, path):
     lines.select("context", "line").write.partitionBy("context").text(path)
 

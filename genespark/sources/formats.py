@@ -319,10 +319,34 @@ def parse_typed_columns(lines, columns, skip=0):
     return t.select(*[_at(F.col("_f"), i).cast(kind).alias(n) for n, (i, kind) in columns.items()])
 
 
-def read_posterior_log(spark, path, keep, columns):
-    """Header TSV with a fixed list of columns; a row of another width fails."""
-    schema = ", ".join(f"`{c}` double" for c in columns)
-    return spark.read.csv(path, sep="\t", header=True, schema=schema, mode="FAILFAST", comment="#").select(*keep)
+def parse_posterior_log(lines, keep):
+    """Chosen columns of a tab-separated table with a header; a row of another width fails the job."""
+    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != ""))
+    head = rows.agg(F.struct(F.min("line_no").alias("at"), F.split(F.min_by("value", "line_no"), "\t").alias("names")))
+    t = rows.withColumn("_h", head.scalar()).filter(F.col("line_no") > F.col("_h.at")).withColumn("_f", fields())
+    t = t.withColumn("_f", checked(F.size("_f") == F.size("_h.names"), F.col("_f"), "row width differs from the header"))
+    place = lambda c: (F.array_position("_h.names", c) - 1).cast("int")
+    return t.select("line_no", *[F.get("_f", place(c)).cast("double").alias(c) for c in keep])
+
+
+def read_posterior_log(spark, path, keep):
+    return parse_posterior_log(read_numbered(spark, path), keep)
+
+
+def split_fold_tag(aln, hairpin_length=29):
+    """Both strands and their qualities from the XF:Z:s1|s2|q1|q2 tag of a folded read; a read without it fails.
+
+    A read reached the hairpin when the folded pair is longer than the read plus the hairpin.
+    """
+    tag = F.get(F.filter("opt", lambda x: x.startswith("XF:Z:")), F.lit(0))
+    text = F.substring(checked(tag.isNotNull() & tag.contains("|"), tag, "alignment without a fold tag"), 6, 1 << 30)
+    n = F.instr(text, "|") - 1
+    part = lambda k: F.substring(F.col("_xf"), F.col("_n") * k + k + 1, F.col("_n"))
+    t = aln.withColumn("_xf", text).withColumn("_n", n)
+    for k, name in enumerate(("s1", "s2", "q1", "q2")):
+        t = t.withColumn(name, part(k))
+    return t.withColumn("rev", F.col("flag").bitwiseAND(16) != 0).withColumn("chrom", F.col("rname")).withColumn(
+        "pos0", F.col("pos") - 1).withColumn("hairpin", F.length("seq") + hairpin_length < F.col("_n")).drop("_xf", "_n")
 
 
 def parse_evec(lines):
