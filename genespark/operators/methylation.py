@@ -179,21 +179,23 @@ def aligned_pairs(aln, min_base_quality=0, min_5=0, min_3=0):
 
     Columns: chrom, pos0, cigar, rev, s1, s2, q1, q2 (first and second strand as sequenced, with qualities).
     """
-    t = aln.withColumn("_len", F.length(F.col("s1"))).select("*", F.explode(cigar_blocks(F.col("cigar"))).alias("_b"))
-    t = t.filter(F.col("_b.op").isin("M", "=", "X"))
-    clip = F.regexp_extract("cigar", r"^(\d+)H", 1).try_cast("int")
-    tail = F.regexp_extract("cigar", r"(\d+)H$", 1).try_cast("int")
-    hard = F.coalesce(F.when(F.col("rev"), tail).otherwise(clip), F.lit(0))
-    t = t.withColumn("_hard", hard).withColumn("_all", F.coalesce(clip, F.lit(0)) + F.coalesce(tail, F.lit(0)))
-    t = t.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_b.n") - 1)))
+    head = F.coalesce(F.regexp_extract("cigar", r"^(\d+)H", 1).try_cast("int"), F.lit(0))
+    tail = F.coalesce(F.regexp_extract("cigar", r"(\d+)H$", 1).try_cast("int"), F.lit(0))
+    span = F.length("s1") - head - tail
+    letters = F.arrays_zip(*[F.split(c, "").alias(c) for c in ("s1", "s2", "q1", "q2")])
+    kept = F.slice(letters, F.when(F.col("rev"), tail).otherwise(head) + 1, span)
+    # in reference direction, without hard-clipped bases: entry i is query base i
+    t = aln.select(
+        "chrom", "pos0", "rev", span.alias("_span"), F.when(F.col("rev"), F.reverse(kept)).otherwise(kept).alias("_z"),
+        cigar_blocks(F.col("cigar")).alias("_blocks"),
+    )
+    t = t.select("chrom", "pos0", "rev", "_span", "_z", F.explode("_blocks").alias("_b")).filter(F.col("_b.op").isin("M", "=", "X"))
+    t = t.select("chrom", "pos0", "rev", "_span", "_b", F.posexplode(F.slice("_z", F.col("_b.q") + 1, F.col("_b.n"))).alias("_k", "z"))
     q = F.col("_b.q") + F.col("_k")
-    span = F.col("_len") - F.col("_all")
-    at = F.when(F.col("rev"), span - q - 1).otherwise(q) + F.col("_hard")
-    t = t.withColumn("_q", q).withColumn("_at", at + 1).filter((F.col("_q") >= min_5) & (span - F.col("_q") >= min_3))
-    c = lambda col: F.substring(F.col(col), F.col("_at"), F.lit(1))
-    pair = F.when(F.col("rev"), F.concat(_complement(c("s2")), c("s1"))).otherwise(F.concat(c("s1"), _complement(c("s2"))))
-    good = (F.ascii(c("q1")) >= 33 + min_base_quality) & (F.ascii(c("q2")) >= 33 + min_base_quality)
-    return t.filter(good).select("chrom", (F.col("pos0") + F.col("_b.r") + F.col("_k")).alias("pos0"), pair.alias("pair"))
+    good = (F.ascii("z.q1") >= 33 + min_base_quality) & (F.ascii("z.q2") >= 33 + min_base_quality)
+    t = t.filter(good & (q >= min_5) & (F.col("_span") - q >= min_3))
+    pair = F.when(F.col("rev"), F.concat(_complement(F.col("z.s2")), F.col("z.s1"))).otherwise(F.concat(F.col("z.s1"), _complement(F.col("z.s2"))))
+    return t.select("chrom", (F.col("pos0") + F.col("_b.r") + F.col("_k")).alias("pos0"), pair.alias("pair"))
 
 
 def reference_cytosines(contigs, size=1 << 20):

@@ -68,9 +68,10 @@ def _(spark, d):
 HETDP = ", hd AS (SELECT dp, count(*) AS nsites, sum(2.0 * r * a / (dp * dp)) AS hets FROM (SELECT site_id, sum(dp_ref) AS r, sum(dp_alt) AS a, sum(dp_ref) + sum(dp_alt) AS dp FROM pile GROUP BY 1) WHERE dp > 0 AND dp < 1024 GROUP BY dp)"
 
 
-@query("heterozygosity_by_depth", sql(GENO, f"{PILE}{HETDP} SELECT CAST(dp AS BIGINT) AS dp, nsites, {rnd('hets', 4)} AS hets FROM hd"))
+@query("heterozygosity_by_depth", sql(GENO, f"{PILE}{HETDP} SELECT CAST(dp AS BIGINT) AS dp, nsites, round(hets * dp * dp) AS scaled_hets FROM hd"))
 def _(spark, d):
-    return variants.heterozygosity_by_depth(pile(spark, d)).withColumn("hets", r6(F.col("hets"), 4))
+    t = variants.heterozygosity_by_depth(pile(spark, d))
+    return t.select("dp", "nsites", F.round(F.col("hets") * F.col("dp") * F.col("dp")).alias("scaled_hets"))
 
 
 @query("heterozygosity_by_depth_drawn")

@@ -340,9 +340,10 @@ def split_fold_tag(aln, hairpin_length=29):
     """
     tag = F.get(F.filter("opt", lambda x: x.startswith("XF:Z:")), F.lit(0))
     text = F.substring(checked(tag.isNotNull() & tag.contains("|"), tag, "alignment without a fold tag"), 6, 1 << 30)
-    n = F.instr(text, "|") - 1
     part = lambda k: F.substring(F.col("_xf"), F.col("_n") * k + k + 1, F.col("_n"))
-    t = aln.withColumn("_xf", text).withColumn("_n", n)
+    # inline() finds the tag once per read; the four parts below refer to it
+    t = aln.select("*", F.inline(F.array(F.struct(text.alias("_xf")))))
+    t = t.select("*", F.inline(F.array(F.struct((F.instr("_xf", "|") - 1).alias("_n")))))
     for k, name in enumerate(("s1", "s2", "q1", "q2")):
         t = t.withColumn(name, part(k))
     return t.withColumn("rev", F.col("flag").bitwiseAND(16) != 0).withColumn("chrom", F.col("rname")).withColumn(
