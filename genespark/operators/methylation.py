@@ -102,9 +102,9 @@ def meth_autocovariance(levels, value="level", pos="pos", max_dist=10_000, bin_s
     t = t.groupBy("chrom", pos).agg(F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_c"))
     own = tiling.tile_of(pos, tile)
     halo = (F.col(pos) % tile < max_dist) & (own > 0)
-    spread = t.withColumn("_tile", F.explode(F.when(halo, F.array(own - 1, own)).otherwise(F.array(own))))
+    halved = t.withColumn("_tile", F.explode(F.when(halo, F.array(own - 1, own)).otherwise(F.array(own))))
     run = _lag_sums(max_dist, bin_size, tile, pos)
-    parts = spread.groupBy("chrom", "_tile").applyInPandas(run, "lag long, n long, total double")
+    parts = tiling.spread(halved, "chrom", "_tile").groupBy("chrom", "_tile").applyInPandas(run, "lag long, n long, total double")
     lags = parts.groupBy("lag").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).filter(F.col("lag") > 0)
     grid = levels.sparkSession.range(1, max_dist // bin_size).select((F.col("id") * bin_size).alias("lag"))
     full = grid.join(lags, "lag", "left").fillna(0, ["n"])

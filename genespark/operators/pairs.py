@@ -81,7 +81,7 @@ def pair_counts(gts, keys=(), individuals=None, site_block=SITE_BLOCK, tile=SAMP
     g = g.withColumn("_ti", F.least("_t", "_o")).withColumn("_tj", F.greatest("_t", "_o")).drop("_t", "_o")
     types = {f.name: f.dataType.simpleString() for f in g.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "idx_i int, idx_j int, differ long, comparable long, weight long"])
-    parts = g.groupBy("chrom", "_b", "_ti", "_tj").applyInPandas(_products(keys, tile), schema)
+    parts = tiling.spread(g, "chrom", "_b", "_ti", "_tj").groupBy("chrom", "_b", "_ti", "_tj").applyInPandas(_products(keys, tile), schema)
     total = parts.groupBy(*keys, "idx_i", "idx_j").agg(*[F.sum(c).alias(c) for c in ("differ", "comparable", "weight")])
     name = lambda s: samples.select(F.col("idx").cast("int").alias(f"idx_{s}"), F.col("sample").alias(s))
     return total.join(name("i"), "idx_i").join(name("j"), "idx_j").drop("idx_i", "idx_j")

@@ -313,6 +313,6 @@ def mmd_kernel_test(df, id_, x, y, group, first, sigmas, replicates=1000, kernel
             out.append(pd.DataFrame({"rep": np.arange(wa.shape[1], dtype=np.int32), "sigma": float(s), "part": total}))
         return pd.concat(out)
 
-    parts = pts.groupBy("_i", "_j").applyInPandas(fold, "rep int, sigma double, part double")
+    parts = tiling.spread(pts, "_i", "_j").groupBy("_i", "_j").applyInPandas(fold, "rep int, sigma double, part double")
     stats = parts.groupBy("rep", "sigma").agg(F.sum("part").alias("t")).groupBy("rep").agg(F.max("t").alias("t"))
     return _p_value(stats)

@@ -21,6 +21,15 @@ def tile_of(pos, size=TILE):
     return F.floor(F.col(pos) / F.lit(size)).cast("long") if isinstance(pos, str) else F.floor(pos / F.lit(size)).cast("long")
 
 
+def spread(df, *keys):
+    """Hash partitioning on the grouping keys with the session's full shuffle width.
+
+    Grouped Python work costs far more per byte than AQE assumes when it merges small shuffle partitions; a
+    fixed number is left alone, and the following groupBy on the same keys needs no further exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _tiled(df, pos, size):
     return df.withColumn("_tile", tile_of(pos, size))
 
@@ -214,7 +223,7 @@ def greedy_anchors(sites, keys, pos, gap, size=TILE):
         row = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame({**row, "_tile": [tile], "_upto": [p[last_of_run]], "_leave": [leave[last_of_run]]})
 
-    steps = t.groupBy(*keys, "_tile").applyInPandas(
+    steps = spread(t, *keys, "_tile").groupBy(*keys, "_tile").applyInPandas(
         summarise,
         T.StructType([*key_fields, tile_field, T.StructField("_upto", longs), T.StructField("_leave", longs)]),
     )
@@ -254,4 +263,4 @@ def greedy_anchors(sites, keys, pos, gap, size=TILE):
 
     out_schema = T.StructType([*key_fields, T.StructField(pos, T.LongType()), T.StructField("anchor", T.LongType())])
     joined = t.withColumn(pos, F.col(pos).cast("long")).join(entries, [*keys, "_tile"])
-    return joined.groupBy(*keys, "_tile").applyInPandas(resolve, out_schema)
+    return spread(joined, *keys, "_tile").groupBy(*keys, "_tile").applyInPandas(resolve, out_schema)

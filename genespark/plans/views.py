@@ -11,6 +11,12 @@ def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread_scan(df, key):
+    """Hash a scan over the cores when its files give fewer splits than cores; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(col, digits=6):
     """Round for comparison; adding zero turns a negative zero into zero."""
     return F.round(col, digits) + F.lit(0.0)
@@ -85,7 +91,7 @@ def blocks(spark, d):
 def reads(spark, d):
     seq = F.upper(F.regexp_replace("text", "[^acgtACGT]", ""))
     return (
-        table(spark, d, "documents")
+        spread_scan(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
         .select(F.col("doc_id"), F.concat(F.lit("r"), F.col("doc_id")).alias("name"), seq.alias("seq"))
         .filter(F.length("seq") > 0)
     )
