@@ -78,8 +78,9 @@ def interval_mask(genotypes, blocks, keys=("sample", "chrom"), pos="pos", gt="gt
     closed = blocks.withColumn("_end", F.col("end") + 1)
     hits = locate(genotypes, disjoint_pieces(closed, keys, end="_end"), keys, F.col(pos), unique=True)
     masked = hits.withColumn(gt, F.when(F.col("hit").isNull(), F.col(gt))).drop("hit")
-    alive = masked.groupBy("site_id").agg(F.max(gt).alias("_any")).filter(F.col("_any").isNotNull()).select("site_id")
-    return masked.join(alive, "site_id", "left_semi")
+    # a site has one row per individual, so this window stays small
+    any_left = F.max(gt).over(W.partitionBy("site_id"))
+    return masked.withColumn("_any", any_left).filter(F.col("_any").isNotNull()).drop("_any")
 
 
 def window_anti_join(snps, indels, window, keys=("chrom",), pos="pos", length="length"):

@@ -46,10 +46,10 @@ def mapping_stats(depths, genome_size, lengths, dp="dp", length="length"):
     d = d.select(
         "covered", (100 * n / g).alias("percent_covered"), (F.col("_s") / n).alias("depth_mean"),
         F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / n - F.pow(F.col("_s") / n, 2))).alias("depth_sd"), (F.col("_s") / g).alias("genome_depth_mean"),
-        F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / g - F.pow(F.col("_s") / g, 2))).alias("genome_depth_sd"), F.lit(1).alias("_k"),
+        F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / g - F.pow(F.col("_s") / g, 2))).alias("genome_depth_sd"),
     )
-    r = lengths.agg(F.count(F.lit(1)).alias("reads"), F.avg(length).alias("length_mean"), F.stddev_samp(length).alias("length_sd"), F.lit(1).alias("_k"))
-    return d.join(r, "_k").drop("_k")
+    r = lengths.agg(F.struct(F.count(F.lit(1)).alias("reads"), F.avg(length).alias("length_mean"), F.stddev_samp(length).alias("length_sd")))
+    return d.withColumn("_r", r.scalar()).select("*", "_r.*").drop("_r")
 
 
 def metrics_totals(lines):

@@ -111,8 +111,8 @@ def top_populations(outliers, k=10):
 
 def spearman(df, x, y):
     """Rank correlation with mid-ranks for ties."""
-    t = tiling.average_ranks(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), [], x, "_rx")
-    t = tiling.average_ranks(t, [], y, "_ry")
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    t = both.join(tiling.rank_table(both, [], x, "_rx"), x).join(tiling.rank_table(both, [], y, "_ry"), y)
     return t.agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

@@ -159,11 +159,15 @@ def exact_quantiles(df, keys, value, probs, weight=None):
     return out.select(*keys, *cols)
 
 
+def rank_table(df, keys, value, out):
+    """Mid-rank of every distinct value."""
+    ranked = cumulative_counts(df, keys, value)
+    return ranked.select(*keys, value, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias(out))
+
+
 def average_ranks(df, keys, value, out):
     """Mid-rank of every row; the ranks live on distinct values and are joined back."""
-    ranked = cumulative_counts(df, keys, value)
-    ranks = ranked.select(*keys, value, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*keys, value])
+    return df.join(rank_table(df, keys, value, out), [*keys, value])
 
 
 def hash_rank(df, keys, ids, seed, out="rank"):

@@ -289,7 +289,13 @@ def _(spark, d):
     return popgen.topology_counts(v.genotypes(spark, d), ("S1", "S2", "S3"))
 
 
-@query("topology_counts_spaced")
+@query("topology_counts_spaced", sql(GENO, """, w AS MATERIALIZED (SELECT site_id, chrom, pos, max(gt) FILTER (sample = 'S1') AS a, max(gt) FILTER (sample = 'S2') AS b, max(gt) FILTER (sample = 'S3') AS c
+  FROM genotypes WHERE gt IN (0, 2) AND qual >= 25 GROUP BY 1, 2, 3 HAVING a + b + c IS NOT NULL AND NOT (a = b AND b = c)),
+sp(ld) AS (VALUES (10000), (100000)),
+nx AS MATERIALIZED (SELECT x.ld, x.chrom, x.pos, y.pos AS nxt FROM (SELECT ld, chrom, pos, pos + ld AS want FROM w, sp) x ASOF LEFT JOIN w y ON x.chrom = y.chrom AND x.want <= y.pos),
+k AS (SELECT ld, chrom, min(pos) AS pos FROM w, sp GROUP BY 1, 2 UNION ALL SELECT k.ld, k.chrom, nx.nxt FROM k JOIN nx USING (ld, chrom, pos) WHERE nx.nxt IS NOT NULL),
+u AS (SELECT ld, a, b, c FROM k JOIN w USING (chrom, pos) UNION ALL SELECT 0, a, b, c FROM w)
+SELECT count(*) FILTER (a = b) AS ab, count(*) FILTER (b = c) AS bc, count(*) FILTER (a = c) AS ac, CAST(ld AS INTEGER) AS spacing FROM u GROUP BY ld""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
     return popgen.topology_counts(v.genotypes(spark, d), ("S1", "S2", "S3"), (0, 10_000, 100_000))
 

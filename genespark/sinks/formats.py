@@ -138,8 +138,8 @@ def to_phylip(gts, sites, numeric=True, width=60):
     ranked = ranked_sites(sites)
     char = F.col("gt").cast("string") if numeric else iupac_char()
     frags = sample_fragments(gts, ranked, char, "?" if numeric else "N", width)
-    counts = ranked.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1)).join(
-        gts.agg(F.countDistinct("idx").alias("k")).withColumn("_k", F.lit(1)), "_k")
+    people = gts.select("idx").distinct().agg(F.count(F.lit(1)).alias("k"))
+    counts = ranked.agg(F.count(F.lit(1)).alias("n")).withColumn("k", people.scalar())
     head = counts.select(F.lit(-1).alias("idx"), F.lit(-1).cast("long").alias("fragment"), F.concat_ws(" ", F.lit(""), "k", "n").alias("line"))
     name = F.when(F.col("fragment") == 0, F.concat("sample", F.lit(" "), "text")).otherwise(F.col("text"))
     return head.unionByName(frags.select(F.col("idx").cast("int").alias("idx"), "fragment", name.alias("line")))
