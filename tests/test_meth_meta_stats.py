@@ -158,3 +158,24 @@ def test_insert_size_needs_reads_on_every_contig(spark):
     assert {r["sample"] for r in D.insert_size_stats(df, ["1", "2"], 5).collect()} == {"a"}
     with pytest.raises(AssertionError):
         assert D.insert_size_stats(df, ["1", "2"], 50).count()
+
+
+def test_dosage_clusters_and_components(spark):
+    rng = np.random.default_rng(8)
+    rx = np.r_[rng.normal(0.5, 0.03, 20), rng.normal(1.0, 0.03, 30)]
+    df = spark.createDataFrame([(f"s{i}", float(x)) for i, x in enumerate(rx)], "sample string, rx double")
+    got = {r["sample"]: (r.hard, r.soft) for r in D.sex_cluster(df).collect()}
+    m, f = rx[:20], rx[20:]
+    for i, x in enumerate(rx):
+        hard = "M" if i < 20 else "F"
+        soft = "M" if x < m.mean() + 1.6448536 * m.std() else "F" if x > f.mean() - 1.6448536 * f.std() else None
+        assert got[f"s{i}"] == (hard, soft)
+    reads = rng.integers(500, 1500, size=(12, 4))
+    rows = [(f"s{i}", f"c{j}", int(reads[i, j]), 100 + 10 * j) for i in range(12) for j in range(4)]
+    pcs, explained = D.dosage_pca(spark.createDataFrame(rows, "sample string, contig string, nreads long, len long"), [f"c{j}" for j in range(4)], 2)
+    length = np.array([100 + 10 * j for j in range(4)])
+    dose = (reads / reads.sum(axis=1, keepdims=True)) / (length / length.sum())
+    values, vectors = np.linalg.eigh(np.cov(dose, rowvar=False))
+    np.testing.assert_allclose(explained, values[::-1][:2] / values.sum(), rtol=1e-6)
+    got = np.array([r.pc for r in sorted(pcs.collect(), key=lambda r: int(r["sample"][1:]))])
+    np.testing.assert_allclose(np.abs(got[:, 0]), np.abs(dose @ vectors[:, -1]), rtol=1e-6)
