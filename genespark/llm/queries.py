@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genespark.llm import near_dedup
+from genespark.llm import near_dedup, packing
 from genespark.llm.common import documents
 
 QUERIES = {}
@@ -17,3 +17,8 @@ def query(f):
 @query
 def op4_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.packed_documents(documents(spark, sf_dir))
