@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genespark.llm import near_dedup, packing
+from genespark.llm import near_dedup, packing, quality_rules, secrets
 from genespark.llm.common import documents
 
 QUERIES = {}
@@ -14,11 +14,23 @@ def query(f):
     return f
 
 
+@query
+def op2_secret_scan(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.fit(secrets.count_documents(docs)))
+
+
 @query
 def op4_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op7_quality_rules(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality_rules.judged(docs, quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query
 def op9_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(documents(spark, sf_dir))
