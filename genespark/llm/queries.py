@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genespark.llm import near_dedup, packing, quality_rules, secrets
+from genespark.llm import decontaminate, near_dedup, packing, quality_rules, secrets
 from genespark.llm.common import documents
 
 QUERIES = {}
@@ -25,6 +25,12 @@ def op4_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op5_decontaminate(spark, sf_dir):
+    found = decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("hash")
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     docs = documents(spark, sf_dir)
