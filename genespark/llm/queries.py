@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genespark.llm import decontaminate, near_dedup, packing, quality_rules, secrets
+from genespark.llm import decontaminate, html_text, near_dedup, packing, quality_rules, secrets, url_filter
 from genespark.llm.common import documents
 
 QUERIES = {}
@@ -37,6 +37,38 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.judged(docs, quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@query
+def op8_url_filter(spark, sf_dir):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    rules = spark.createDataFrame(rules, "host string, path string, verdict string")
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+ORACLES["op8_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+fits AS (
+  SELECT *,
+         '.' || host LIKE '%.example.net' AND starts_with(path, '/en/') AS a,
+         '.' || host LIKE '%.example.com' AND starts_with(path, '/de/') AS b,
+         '.' || host LIKE '%.org' AND starts_with(path, '/fr/') AS c,
+         '.' || host LIKE '%.net' AND starts_with(path, '/') AS d
+  FROM parts)
+SELECT page_id, host, path,
+       CASE WHEN a THEN 'example.net/en/' WHEN b THEN 'example.com/de/' WHEN c THEN 'org/fr/' WHEN d THEN 'net/' END AS rule,
+       CASE WHEN a THEN 'allow' WHEN b THEN 'block' WHEN c THEN 'allow' WHEN d THEN 'block' ELSE 'allow' END AS verdict
+FROM fits"""
+
+
 @query
 def op9_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(documents(spark, sf_dir))
+
+
+@query
+def op10_html_text(spark, sf_dir):
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
