@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from genespark.llm import decontaminate, html_text, near_dedup, packing, quality_rules, secrets, url_filter
-from genespark.llm.common import documents
+import uuid
+
+from genespark.llm import decontaminate, html_text, near_dedup, packing, quality_rules, secrets, token_file, url_filter
+from genespark.llm.common import documents, shared_folder
 
 QUERIES = {}
 ORACLES = {}
@@ -31,6 +33,11 @@ def op5_decontaminate(spark, sf_dir):
     return found.drop("hash")
 
 
+@query
+def op6_token_file(spark, sf_dir):
+    return token_file.round_trip(documents(spark, sf_dir), f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}")
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     docs = documents(spark, sf_dir)
