@@ -253,8 +253,13 @@ def classes(found: DataFrame, docs: DataFrame, cut: Callable, size: int, percent
     vertices = one.select("pid", *[f"s{i}" for i in range(LONGS)])
 
     entries = one.select(F.explode("bands").alias("bucket"), "pid")
-    shared = entries.groupBy("bucket").agg(F.min("pid").alias("leader"), F.max("pid").alias("last")).filter("leader <> last")
-    members = stash(entries.join(shared.select("bucket", "leader"), "bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    members = stash(entries.join(shared, "bucket"))
+    # the leader of a bucket is the member that meets most others in all its buckets: the source of a group of copies
+    # shares nearly every bucket with each of them, so one comparison with it brings the whole group together
+    met = members.groupBy("pid").agg(F.sum("many").alias("met"))
+    most = members.join(met, "pid").groupBy("bucket").agg(F.max(F.struct("met", "pid")).alias("leader"))
+    led = members.join(most.select("bucket", F.col("leader.pid").alias("leader")), "bucket")
 
     bound = least_estimate(percent)
 
@@ -263,7 +268,7 @@ def classes(found: DataFrame, docs: DataFrame, cut: Callable, size: int, percent
         x = x.join(vertices.select(F.col("pid").alias("b"), F.struct(*[f"s{i}" for i in range(LONGS)]).alias("y")), "b")
         return x.filter(estimated("x", "y") >= bound).select("a", "b")
 
-    star = stash(near(members.filter("pid <> leader").select(F.col("pid").alias("a"), F.col("leader").alias("b")).distinct()))
+    star = stash(near(led.filter("pid <> leader").select(F.col("pid").alias("a"), F.col("leader").alias("b")).distinct()))
     links = stash(_confirmed(star, one, docs, cut, size, percent))
     roots = components(links)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from genespark.llm import decontaminate, html_text, near_dedup, packing, quality_rules, secrets, token_file, url_filter
+from genespark.llm import decontaminate, html_text, near_dedup, packing, quality_rules, secrets, substring_dedup, token_file, url_filter
 from genespark.llm.common import documents, shared_folder
 
 QUERIES = {}
@@ -16,6 +16,11 @@ def query(f):
     return f
 
 
+@query
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 @query
 def op2_secret_scan(spark, sf_dir):
     docs = documents(spark, sf_dir)
