@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from genespark.llm import decontaminate, html_text, near_dedup, packing, quality_rules, secrets, substring_dedup, token_file, url_filter
+from genespark.llm import decontaminate, html_text, near_dedup, packing, quality_lm, quality_rules, secrets, substring_dedup, token_file, url_filter
 from genespark.llm.common import documents, shared_folder
 
 QUERIES = {}
@@ -27,6 +27,11 @@ def op2_secret_scan(spark, sf_dir):
     return secrets.scan(docs, secrets.fit(secrets.count_documents(docs)))
 
 
+@query
+def op3_quality_lm(spark, sf_dir):
+    return quality_lm.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query
 def op4_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir))
