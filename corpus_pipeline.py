@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
-from genespark.llm import near_dedup
+from genespark.llm import decontaminate, near_dedup, packing, quality_rules, secrets
 from genespark.llm.common import documents, stash
 
 
+def quality_rules_stage(spark, docs, sf_dir):
+    """Documents that fail the fixed rules or a learnt one go. Labels of documents that are not there are not used."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.keep_good(docs, quality_rules.fit(docs, labels))
+
+
 def near_dedup_stage(spark, docs, sf_dir):
+    """One document of each group of near copies stays."""
     return near_dedup.drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup_stage)]
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_stage(spark, docs, sf_dir):
+    """Secrets are replaced by a mark; every document stays."""
+    return secrets.redact(docs, secrets.fit(secrets.count_documents(docs)))
+
+
+def packing_stage(spark, docs, sf_dir):
+    """The places of all pieces of all documents in sequences of 4096 tokens."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
 
-#: Tokenisation and the learnt rules have no SQL form; tests/llm holds the result against a plain Python version.
+#: Learnt rules and tokens have no SQL form; tests/llm holds the result against a plain Python version.
 ORACLE_SQL = None
 
 
