@@ -190,7 +190,7 @@ def token_ids(docs: DataFrame, path: str | None = None, end: int = tokens.END, w
 
     @F.pandas_udf("binary")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = tokens.Encoder(path)
+        encoder = tokens.encoder(path)
         for s in texts:
             whole = (np.frombuffer(tokens.with_end(encoder, t if isinstance(t, str) else None, end), dtype="<u4") for t in s)
             yield pd.Series([w.astype(width, casting="same_kind").tobytes() for w in whole], dtype=object)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 
@@ -28,7 +30,7 @@ class Encoder(dict):
     library's model once. Any other word goes through the library whole. The caches start anew when they are full.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -44,7 +46,8 @@ class Encoder(dict):
             self.clear()
         text = word.decode()
         if simple := _SIMPLE.fullmatch(text):
-            ids = b"".join(map(self._piece, filter(None, (simple[1].lower(), simple[2]))))
+            letters, signs = simple.groups()
+            ids = self._piece(letters.lower()) + self._piece(signs)
         else:
             ids = _packed(self.library.encode(text, add_special_tokens=False).ids)
         self[word] = ids
@@ -54,6 +57,8 @@ class Encoder(dict):
         if (ids := self.pieces.get(piece)) is None:
             if len(self.pieces) >= self.most:
                 self.pieces.clear()
+            if not piece:
+                return b""
             shown = piece if piece.isascii() else self.as_bytes.pre_tokenize_str(piece)[0][0]
             ids = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(shown)])
         return ids
@@ -63,22 +68,28 @@ class Encoder(dict):
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def with_end(encoder: Encoder, text: str | None, end: int = END) -> bytes:
-    return encoder.encode(text) + end.to_bytes(4, "little")
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process: later tasks of the process find the caches warm."""
+    return Encoder(path)
+
+
+def with_end(words: Encoder, text: str | None, end: int = END) -> bytes:
+    return words.encode(text) + end.to_bytes(4, "little")
 
 
 def pieces(path: str, capacity: int, end: int = END):
     """For mapInPandas over (doc_id, text): the pieces of at most `capacity` ids, with their place and checksum."""
 
     def cut(frames: Iterator[pd.DataFrame]):
-        encoder = Encoder(path)
+        words = encoder(path)
         for f in frames:
             out = []
             for doc_id, text in zip(f["doc_id"], f["text"]):
-                ids = with_end(encoder, text, end)
+                ids = with_end(words, text, end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
