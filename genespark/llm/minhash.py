@@ -22,8 +22,10 @@ from genespark.llm.common import U64, WordHashes, lower_words, mix, shingle_hash
 
 #: Hash functions of a signature, two low bits of each minimum are kept: 256 bits, four longs.
 HASHES, BITS, LONGS = 128, 2, 4
-_A = mix(np.arange(1001, 1001 + HASHES, dtype=U64)) | U64(1)
-_B = mix(np.arange(5001, 5001 + HASHES, dtype=U64))
+#: Of the wide signature, for members of large groups that the short one cannot tell apart: 64 longs.
+WIDE_HASHES, WIDE_LONGS = 2048, 64
+_A = mix(np.arange(1001, 1001 + WIDE_HASHES, dtype=U64)) | U64(1)
+_B = mix(np.arange(5001, 5001 + WIDE_HASHES, dtype=U64))
 
 ITEM = T.StructType(
     [
@@ -46,8 +48,9 @@ def fingerprint(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def minima(shingles: np.ndarray, hashes: int, block: int = 512) -> np.ndarray:
+def minima(shingles: np.ndarray, hashes: int) -> np.ndarray:
     """The least value of each hash function, over blocks of shingles so that memory stays small for any text."""
+    block = max(1, 65_536 // hashes)
     low = np.full(hashes, np.iinfo(U64).max, dtype=U64)
     for at in range(0, len(shingles), block):
         x = shingles[at : at + block, None] * _A[:hashes] + _B[:hashes]
@@ -57,8 +60,8 @@ def minima(shingles: np.ndarray, hashes: int, block: int = 512) -> np.ndarray:
 
 
 def pack(low: np.ndarray) -> np.ndarray:
-    """Two low bits of 128 minima in four longs."""
-    bits = (low & U64(3)).reshape(LONGS, HASHES // LONGS) << (U64(2) * np.arange(HASHES // LONGS, dtype=U64))
+    """Two low bits of each minimum, 32 to a long."""
+    bits = (low & U64(3)).reshape(-1, 32) << (U64(2) * np.arange(32, dtype=U64))
     return np.bitwise_or.reduce(bits, axis=1).view(np.int64)
 
 
@@ -132,10 +135,10 @@ def items(docs: DataFrame, cut: Callable, size: int, bands: int, rows: int) -> D
     return _texts(docs).mapInPandas(lambda frames: _numbered(frames, cut, size, bands, rows), ITEM)
 
 
-def matches(a: str, b: str):
-    """How many of the 128 two-bit minima are the same, from the packed longs of two sides."""
-    total = F.lit(HASHES)
-    for i in range(LONGS):
+def matches(a: str, b: str, hashes: int = HASHES):
+    """How many of the two-bit minima are the same, from the packed longs s0, s1, ... of two sides."""
+    total = F.lit(hashes)
+    for i in range(hashes // 32):
         x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
         folded = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
         total = total - F.bit_count(folded)
@@ -146,15 +149,29 @@ def matches(a: str, b: str):
 CHANCE = 1 / 2**BITS
 
 
-def estimated(a: str, b: str):
+def estimated(a: str, b: str, hashes: int = HASHES):
     """Similarity estimated from the packed minima, corrected for chance matches."""
-    return (matches(a, b) / F.lit(float(HASHES)) - F.lit(CHANCE)) / F.lit(1 - CHANCE)
+    return (matches(a, b, hashes) / F.lit(float(hashes)) - F.lit(CHANCE)) / F.lit(1 - CHANCE)
 
 
-def least_estimate(percent: int, deviations: float = 5.0) -> float:
+def least_estimate(percent: int, hashes: int = HASHES, deviations: float = 5.0) -> float:
     """A bound that the estimate of a pair at the wanted similarity misses with less than one chance in a million."""
     p = percent / 100 * (1 - CHANCE) + CHANCE
-    return percent / 100 - deviations * (p * (1 - p) / HASHES) ** 0.5 / (1 - CHANCE)
+    return percent / 100 - deviations * (p * (1 - p) / hashes) ** 0.5 / (1 - CHANCE)
+
+
+def wide_signatures(texts: DataFrame, size: int) -> DataFrame:
+    """pid and a struct of 64 longs: 2048 minima of each item of texts (pid, text)."""
+
+    def sign(frames):
+        table = WordHashes()
+        for f in frames:
+            sets = [shingle_hashes(table.array(lower_words(t)), size) for t in f["text"]]
+            packed = np.array([pack(minima(x, WIDE_HASHES)) for x in sets], dtype=np.int64).reshape(-1, WIDE_LONGS)
+            yield pd.DataFrame({"pid": f["pid"], **{f"s{i}": packed[:, i] for i in range(WIDE_LONGS)}})
+
+    longs = [f"s{i}" for i in range(WIDE_LONGS)]
+    return texts.mapInPandas(sign, ", ".join(["pid long", *[f"{x} long" for x in longs]])).select("pid", F.struct(*longs).alias("wide"))
 
 
 def same_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -272,25 +289,35 @@ def classes(found: DataFrame, docs: DataFrame, cut: Callable, size: int, percent
     links = stash(_confirmed(star, one, docs, cut, size, percent))
     roots = components(links)
 
-    # members of one bucket that are not yet together: compare them with each other
+    # members of one bucket that are not yet together: compare them with each other, the wide signatures included, all
+    # inside the join, so that pairs far from the wanted similarity are never rows
     at = members.select("bucket", "pid").join(roots, "pid", "left").withColumn("root", F.coalesce("root", "pid"))
     apart = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    at = at.join(apart.select("bucket"), "bucket").join(vertices, "pid")
-    x, y = at.alias("x"), at.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & (estimated("x", "y") >= bound))
-    rest = rest.select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b")).distinct()
+    at = stash(at.join(apart.select("bucket"), "bucket"))
+    texts = _texts_of(at.select("pid").distinct(), one, docs, cut, size)
+    short = one.select("pid", F.struct(*[f"s{i}" for i in range(LONGS)]).alias("short"), "bands")
+    signed = at.join(stash(short.join(wide_signatures(texts, size), "pid")), "pid")
+    x, y = (signed.select("bucket", "pid", "root", *[F.col(c).alias(f"{c}_{k}") for c in ("short", "wide", "bands")]).alias(k) for k in "xy")
+    close = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))
+    close = close & (estimated("short_x", "short_y") >= bound)
+    close = close & (estimated("wide_x", "wide_y", WIDE_HASHES) >= least_estimate(percent, WIDE_HASHES))
+    # a pair that shares several buckets is a row of the first one only
+    close = close & (F.get(F.array_intersect("bands_x", "bands_y"), F.lit(0)) == F.col("x.bucket"))
+    rest = x.join(y, close).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b"))
     tried = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = stash(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = stash(_confirmed(rest, one, docs, cut, size, percent))
-        if not more.isEmpty():
-            roots = components(links.union(more))
+    more = stash(verified(rest, texts, size, percent))
+    if not more.isEmpty():
+        roots = components(links.union(more))
     named = own.join(roots, "pid", "left").select(F.col("pid").alias("copies_of"), F.coalesce("root", "pid").alias("root"))
     return alike.join(named, "copies_of")
 
 
+def _texts_of(pids, one, docs, cut, size):
+    wanted = one.join(pids, "pid", "left_semi").select("pid", "doc_id", "hash", "item", "print")
+    return stash(item_texts(wanted, docs, cut, size))
+
+
 def _confirmed(pairs, one, docs, cut, size, percent):
     ends = pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct()
-    wanted = one.join(ends, "pid", "left_semi").select("pid", "doc_id", "hash", "item", "print")
-    texts = stash(item_texts(wanted, docs, cut, size))
-    return verified(pairs, texts, size, percent)
+    return verified(pairs, _texts_of(ends, one, docs, cut, size), size, percent)
