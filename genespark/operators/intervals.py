@@ -115,16 +115,24 @@ def bin_aggregate(points, value, width, keys=("chrom",), start="start", quantile
     return stats.withColumn("bin_end", F.col("bin_start") + width)
 
 
-def interval_aggregate(bins, points, value, keys=("chrom",), start="start", end="end", at="pos0"):
-    """Left join points to disjoint bins of any width and aggregate; bins without points keep NULLs."""
-    pieces = disjoint_pieces(bins, keys, start=start, end=end)
-    hits = locate(points, pieces, keys, F.col(at)).filter("hit is not null")
-    stats = (
-        hits.groupBy(*keys, F.col("hit.piece_start").alias(start))
-        .agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"),
-             F.min(value).alias("low"), F.max(value).alias("high"))
+def interval_aggregate(bins, points, value, keys=("chrom",), start="start", end="end", at="pos0", width=BIN):
+    """Left join points to intervals of any width and overlap and aggregate; intervals without points keep NULLs.
+
+    Points are summed per position first. A position then meets the intervals of its bin, so what is written out is one
+    row for each position and interval over it: the depth of the overlap, not the size of the bin.
+    """
+    keys = list(keys)
+    here = points.groupBy(*keys, F.col(at).cast("long").alias("_at")).agg(
+        F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high")
+    ).withColumn("_bin", tiling.tile_of("_at", width))
+    spans = bins.filter(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end")).distinct()
+    cells = spans.withColumn("_bin", F.explode(F.sequence(tiling.tile_of("_start", width), tiling.tile_of(F.col("_end") - 1, width))))
+    met = here.join(cells, [*keys, "_bin"]).filter("_at >= _start and _at < _end")
+    stats = met.groupBy(*keys, F.col("_start").alias(start), F.col("_end").alias(end)).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    return bins.join(stats, [*keys, start], "left")
+    stats = stats.withColumn("mean", F.try_divide("total", "n"))
+    return bins.join(stats, [*keys, start, end], "left").select(*bins.columns, "n", "total", "mean", "low", "high")
 
 
 def target_window_coverage(depths, targets, width, keys=("chrom",), pos="pos", depth="dp"):

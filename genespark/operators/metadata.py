@@ -1,25 +1,27 @@
 """Sample metadata: look-ups, merges, classification, sex calls."""
 
+import math
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from genespark.functions.special import jeffreys
-from genespark.session import ensure_checkpoint_dir
 
-# Site and material classes by keyword, tried in this order.
-SITE_CAVE = r"(?i)\bcave\b"
-SITE_HUMAN = r"(?i)\b(stampede site|hunting)\b"
+# What may stand before and after a keyword, and the site and material classes by keyword, tried in this order.
+BEFORE = r"(^|\s|[(-_.,])"
+AFTER = r"([)-_.,]|\s|$)"
+SITE_CAVE = r"[Cc]ave"
+SITE_HUMAN = r"[Ss]tampede [Ss]ite|[Hh]unting"
 MATERIALS = [
-    ("Astragalus", r"(?i)\b(astrag(alus)?|astralagus|talus)\b"),
-    ("Petrosal", r"(?i)\b(petr(ous)?|petrosal)\b"),
-    ("OtherCrania", r"(?i)\b(bulla|cranium|crania|skull|mandible|maxilla[re]?)\b"),
-    ("Leg", r"(?i)\b(humero?us|hum|rad(ius)?|tib(ia)?|femur|ulna|leg)\b"),
-    ("Foot", r"(?i)\b(foot|metapod(ial)?|metacar(pal|pus)?|metatar(sal|sus)?|mx|mt|mc)\b"),
-    ("Horn", r"(?i)\bhorn(core)?s?\b"),
-    ("Tooth", r"(?i)\btooth\b"),
-    ("Vertebra", r"(?i)\b(vert(ebrae?)?|spine|atlas)\b"),
-    ("FlatBone", r"(?i)\b(pelvi[sc]|scapula)\b"),
+    ("Astragalus", r"[Aa]strag(alus)?|[Aa]stralagus|[Tt]alus"),
+    ("Petrosal", r"[Pp]etr(ous)?|[Pp]etrosal"),
+    ("OtherCrania", r"[Bb]ulla|[Cc]rania|[Ss]kull|[Mm]andible|[Mm]axilla([re])?"),
+    ("Leg", r"[Hh]um(er(o)?us)?|[Rr]ad(ius)?|[Tt]ib(ia)?|[Ff]emur|[Uu]lna|[Ll]eg"),
+    ("Foot", r"[Ff]oot|[Mm]etapod(ial)?|[Mm]etacar(pal|pus)?|[Mm]etatar(sal|sus)?|mx|mt|mc|meta(-)?x"),
+    ("Horn", r"[Hh]orn(core)?(s?)"),
+    ("Tooth", r"[Tt]ooth"),
+    ("Vertebra", r"[Vv]ert(ebra(e)?)?|[Ss]pine|[Aa]tlas"),
+    ("FlatBone", r"[Pp]elvi[sc]|[Ss]capula"),
 ]
 CRANIAL = ("Petrosal", "OtherCrania", "Horn", "Tooth")
 
@@ -29,15 +31,19 @@ EARTH_RADIUS_KM = 6371.0
 # --- scalar rules ---------------------------------------------------------------------------------
 
 
+def _mentions(texts, keywords):
+    pattern = f"{BEFORE}({keywords}){AFTER}"
+    return reduce(lambda a, b: a | b, [F.coalesce(t.rlike(pattern), F.lit(False)) for t in texts])
+
+
 def site_class(*texts):
-    any_of = lambda p: reduce(lambda a, b: a | b, [F.coalesce(t.rlike(p), F.lit(False)) for t in texts])
-    return F.when(any_of(SITE_CAVE), "Cave").when(any_of(SITE_HUMAN), "Anthropogenic").otherwise("Sediment")
+    return F.when(_mentions(texts, SITE_CAVE), "Cave").when(_mentions(texts, SITE_HUMAN), "Anthropogenic").otherwise("Sediment")
 
 
 def material_class(*texts):
     out = None
-    for name, pattern in MATERIALS:
-        hit = reduce(lambda a, b: a | b, [F.coalesce(t.rlike(pattern), F.lit(False)) for t in texts])
+    for name, keywords in MATERIALS:
+        hit = _mentions(texts, keywords)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
@@ -226,21 +232,24 @@ def sex_ratio_normal_ci(idxstats):
     return t.withColumn("half_erx", F.expr("0.5 * erx")).withColumn("low", F.expr("rx - 1.96 * se")).withColumn("high", F.expr("rx + 1.96 * se"))
 
 
-def sex_cluster(table, rx="rx", start=1.0, rounds=20):
+def sex_cluster(table, rx="rx", start=1.0, most=10_000):
     """Two-centroid k-means on the dosage, then normal bounds (95th and 5th percentile) for a soft call.
 
-    Each round is one aggregate of four numbers; the table itself never leaves the executors.
+    The dosages (one number a sample) are kept; each round is one aggregate of four numbers, until the split stops
+    moving. Not coming to rest is an error.
     """
-    ensure_checkpoint_dir(table.sparkSession)
-    table = table.checkpoint()  # every round reads this, not the lineage behind it
+    dosages = table.select(rx).filter(F.col(rx).isNotNull()).persist()
     m, f = 0.5 * start, start
-    for _ in range(rounds):
+    for _ in range(most):
         male = F.abs(F.col(rx) - m) <= F.abs(F.col(rx) - f)
-        row = table.agg(F.avg(F.when(male, F.col(rx))).alias("m"), F.avg(F.when(~male, F.col(rx))).alias("f")).first()
+        row = dosages.agg(F.avg(F.when(male, F.col(rx))).alias("m"), F.avg(F.when(~male, F.col(rx))).alias("f")).first()
         new = (m if row["m"] is None else row["m"], f if row["f"] is None else row["f"])
-        if new == (m, f):
+        if all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(new, (m, f))):
             break
         m, f = new
+    else:
+        raise ArithmeticError("the two clusters did not come to rest")
+    dosages.unpersist()
     male = F.abs(F.col(rx) - m) <= F.abs(F.col(rx) - f)
     spread = table.agg(F.struct(
         F.coalesce(F.stddev_pop(F.when(male, F.col(rx))), F.lit(0.0)).alias("m"), F.coalesce(F.stddev_pop(F.when(~male, F.col(rx))), F.lit(0.0)).alias("f")))

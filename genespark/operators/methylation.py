@@ -11,9 +11,9 @@ from genespark.operators.sequences import chunks
 from genespark.sinks.formats import context_class
 
 
-def meth_count_table(meth, most=1024):
-    """Sites per (methylated, unmethylated) pair below the coverage limit."""
-    t = meth.filter(F.col("c") + F.col("mc") < most)
+def meth_count_table(meth, most=None):
+    """Sites per (methylated, unmethylated) pair, below a limit of coverage if one is given."""
+    t = meth if most is None else meth.filter(F.col("c") + F.col("mc") < most)
     return t.groupBy(F.col("mc").alias("methylated"), F.col("c").alias("unmethylated")).agg(F.count(F.lit(1)).alias("n"))
 
 

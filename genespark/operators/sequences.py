@@ -84,13 +84,11 @@ def quality_histogram(reads):
     return t.groupBy("q").agg(F.count(F.lit(1)).alias("n")).withColumn("code", F.ascii("q"))
 
 
-def length_histogram(reads, length=None, most=None):
-    """Reads per length; with ``most`` the table is dense from 0 to most - 1 and longer reads are left out."""
+def length_histogram(reads, length=None, dense=False):
+    """Reads per length; ``dense`` adds the lengths without reads, from 0 to the longest."""
     n = length if length is not None else F.length("seq")
     h = reads.select(n.cast("long").alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    if most is None:
-        return h
-    return reads.sparkSession.range(most).select(F.col("id").alias("length")).join(h, "length", "left").fillna(0, ["n"])
+    return tiling.dense_from_zero(h, "length").join(h, "length", "left").fillna(0, ["n"]) if dense else h
 
 
 def alignment_length_histogram(aln, mapped=True, ignore_duplicates=False, ignore_pairs=False, contig=None, min_mapq=0):

@@ -268,3 +268,11 @@ def greedy_anchors(sites, keys, pos, gap, size=TILE):
     out_schema = T.StructType([*key_fields, T.StructField(pos, T.LongType()), T.StructField("anchor", T.LongType())])
     joined = t.withColumn(pos, F.col(pos).cast("long")).join(entries, [*keys, "_tile"])
     return spread(joined, *keys, "_tile").groupBy(*keys, "_tile").applyInPandas(resolve, out_schema)
+
+
+def dense_from_zero(table, column, end=None):
+    """All whole numbers from 0 to the greatest in the table, or below ``end``."""
+    if end is not None:
+        return table.sparkSession.range(end).select(F.col("id").alias(column))
+    top = table.agg(F.max(F.col(column).cast("long")).alias("_top")).filter("_top is not null")
+    return top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top"))).alias(column))

@@ -1,5 +1,6 @@
 """Filters, merges and counts over variant calls, one row per (site, sample)."""
 
+import math
 from functools import reduce
 
 from pyspark.sql import Window as W
@@ -254,13 +255,14 @@ def snp_set_sizes(calls):
     return sizes.select("sample", F.coalesce("chrom", F.lit("total")).alias("chrom"), "n")
 
 
-def depth_histogram(calls, max_depth=1024, dp="dp"):
-    """Dense 0..max-1 table of sites per depth: count, share, mean and variance of quality."""
-    h = calls.filter(F.col(dp) < max_depth).groupBy(F.col(dp).cast("long").alias("dp")).agg(
+def depth_histogram(calls, max_depth=None, dp="dp"):
+    """Dense table of sites per depth, from 0 to the deepest (or below a given limit): count, share, mean and variance of quality."""
+    t = calls.filter(F.col(dp).isNotNull() if max_depth is None else F.col(dp) < max_depth)
+    h = t.groupBy(F.col(dp).cast("long").alias("dp")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("qual").alias("qual_mean"), F.var_pop("qual").alias("qual_var")
     )
     total = h.agg(F.sum("n").alias("t"))
-    dense = calls.sparkSession.range(max_depth).select(F.col("id").alias("dp")).join(h, "dp", "left")
+    dense = tiling.dense_from_zero(h, "dp", max_depth).join(h, "dp", "left")
     return dense.fillna(0, ["n"]).fillna(0.0, ["qual_mean", "qual_var"]).withColumn("share", F.col("n") / total.scalar())
 
 
@@ -299,10 +301,11 @@ def mismatch_rate(calls, min_qual=0, depth=None, contigs=None, mode="expected",
     return t.groupBy("sample").agg(F.sum(mm).alias("mm"), F.count(F.lit(1)).alias("sites"), F.avg(mm).alias("rate"))
 
 
-def heterozygosity_by_depth(calls, max_dp=1024, mode="expected", seed=1):
-    """Sites and heterozygous sites per total depth, from two reads drawn (with replacement) at each site."""
+def heterozygosity_by_depth(calls, max_dp=None, mode="expected", seed=1):
+    """Sites and heterozygous sites per total depth (below a limit if one is given), from two reads drawn (with replacement) at each site."""
     s = calls.groupBy("site_id").agg(F.sum("dp_ref").alias("r"), F.sum("dp_alt").alias("a"))
-    s = s.withColumn("dp", F.col("r") + F.col("a")).filter((F.col("dp") > 0) & (F.col("dp") < max_dp))
+    s = s.withColumn("dp", F.col("r") + F.col("a")).filter(F.col("dp") > 0)
+    s = s if max_dp is None else s.filter(F.col("dp") < max_dp)
     if mode == "expected":
         het = 2.0 * F.col("r") * F.col("a") / (F.col("dp") * F.col("dp"))
     else:
@@ -331,30 +334,39 @@ def rolling_depth_histogram(depths, width, keys=("sample", "chrom"), tail=False,
     return roll.filter("s > 0").groupBy(keys[0], "s").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sliding_windows(sites, counts, window, step, keys=("chrom",)):
+def sliding_windows(sites, counts, window, step, keys=("chrom",), contigs=None):
     """Sums per window [k step, k step + window) over 0-based positions, dense from 0 to the last full window.
 
-    Sites are first summed per step, which shuffles one row per (key, step); each step then adds to the
-    window / step windows that hold it.
+    Sites are first summed per unit, the greatest length that divides both window and step, which shuffles one row
+    per (key, unit); each unit then adds to the windows that hold it. With ``contigs`` (chrom, length) the last windows
+    end where their contig does.
     """
     keys = list(keys)
-    per = window // step
-    chunk = sites.groupBy(*keys, tiling.tile_of(F.col("pos") - 1, step).alias("_c")).agg(
+    unit = math.gcd(window, step)
+    per, stride = window // unit, step // unit
+    zero = F.lit(0).cast("long")
+    chunk = sites.groupBy(*keys, tiling.tile_of(F.col("pos") - 1, unit).alias("_c")).agg(
         *[F.sum(c.cast("long")).alias(n) for n, c in counts.items()]
     )
-    grid = chunk.groupBy(*keys).agg(F.max("_c").alias("_last")).select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("_last") - per + 1))).alias("_k")
-    )
-    spread = chunk.withColumn("_k", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_c") - per + 1), F.col("_c"))))
+    last = F.greatest(zero, F.floor((F.col("_last") - per + 1) / stride).cast("long"))
+    grid = chunk.groupBy(*keys).agg(F.max("_c").alias("_last")).select(*keys, F.explode(F.sequence(zero, last)).alias("_k"))
+    low = F.greatest(zero, F.ceil((F.col("_c") - per + 1) / stride).cast("long"))
+    high = F.floor(F.col("_c") / stride).cast("long")
+    held = chunk.withColumn("_high", high).withColumn("_low", low).filter("_low <= _high")  # a step longer than the window skips units
+    spread = held.withColumn("_k", F.explode(F.sequence("_low", "_high")))
     sums = spread.groupBy(*keys, "_k").agg(*[F.sum(n).alias(n) for n in counts])
     out = grid.join(sums, [*keys, "_k"], "left").fillna(0, list(counts))
-    return out.select(*keys, (F.col("_k") * step).alias("start"), (F.col("_k") * step + window).alias("end"), *counts)
+    end = F.col("_k") * step + window
+    if contigs is not None:
+        out = out.join(contigs.select("chrom", F.col("length").alias("_length")), "chrom", "left")
+        end = F.least(end, F.col("_length"))
+    return out.select(*keys, (F.col("_k") * step).alias("start"), end.alias("end"), *counts)
 
 
-def sliding_homozygosity(calls, window=5_000_000, step=200_000, min_depth=0, max_depth=1 << 30):
+def sliding_homozygosity(calls, window=5_000_000, step=200_000, min_depth=0, max_depth=1 << 30, contigs=None):
     """Sites and homozygous sites of each sample per window, inside a depth band."""
     t = calls.filter(F.col("gt").isNotNull() & F.col("dp").between(min_depth, max_depth))
-    return sliding_windows(t, {"n": F.lit(1), "hom": F.col("gt") != 1}, window, step, ("sample", "chrom"))
+    return sliding_windows(t, {"n": F.lit(1), "hom": F.col("gt") != 1}, window, step, ("sample", "chrom"), contigs)
 
 
 def shared_homozygosity(calls, samples, window=5_000_000, step=200_000, bands=None):
@@ -396,15 +408,17 @@ def coverage_quantiles(hist, probs, value="dp", n="n", inclusive=False):
 
 
 def recombination_density(breakpoints, fai, step, window):
-    """Moving average over window / step of the share of a chromosome's breakpoints per step."""
+    """Moving average over window / step of the share of a chromosome's breakpoints per step; 0 without breakpoints."""
+    if window % step:
+        raise ValueError("the window must hold a whole number of steps")
     per = window // step
     counts = breakpoints.groupBy("chrom", tiling.tile_of("pos", step).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     steps = F.ceil(F.col("length") / step).cast("long")
     grid = fai.select("chrom", "length", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("k"))
     total = counts.groupBy("chrom").agg(F.sum("n").alias("_t"))
-    t = grid.join(counts, ["chrom", "k"], "left").fillna(0, ["n"]).join(total, "chrom")
+    t = grid.join(counts, ["chrom", "k"], "left").fillna(0, ["n"]).join(total, "chrom", "left")
     ahead = W.partitionBy("chrom").orderBy("k").rowsBetween(0, per - 1)  # one row per step of the contig
-    t = t.withColumn("density", F.avg(F.col("n") / F.col("_t")).over(ahead))
+    t = t.withColumn("density", F.avg(F.coalesce(F.col("n") / F.col("_t"), F.lit(0.0))).over(ahead))
     full = F.col("k") <= F.ceil(F.col("length") / step) - per
     return t.filter(full).select("chrom", (F.col("k") * step + window // 2).alias("mid"), "density")
 

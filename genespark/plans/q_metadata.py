@@ -292,11 +292,11 @@ def _(spark, d):
     return c.select("id", D.wrap_longitude(F.col("lon")).alias("lon"), D.clean_age(text).alias("age"), shown.alias("name_age"), D.lon_class(F.col("lon")).alias("lon_class"), D.date_class(k % 700 + 1400).alias("date_class"))
 
 
-@query("material_class", sql("", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Petrosal' WHEN 1 THEN 'Leg' WHEN 2 THEN 'Foot' WHEN 3 THEN 'Horn' WHEN 4 THEN 'Vertebra' END AS material, CASE WHEN p_partkey % 6 IN (0, 3) THEN 'Crania' WHEN p_partkey % 6 < 5 THEN 'Postcrania' END AS part,
+@query("material_class", sql("", """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'Petrosal' WHEN 1 THEN 'Leg' WHEN 2 THEN 'Foot' WHEN 3 THEN 'Horn' WHEN 4 THEN 'Vertebra' WHEN 6 THEN 'Petrosal' WHEN 7 THEN 'Foot' END AS material, CASE WHEN p_partkey % 9 IN (0, 3, 6) THEN 'Crania' WHEN p_partkey % 9 NOT IN (5, 8) THEN 'Postcrania' END AS part,
  CASE p_partkey % 3 WHEN 0 THEN 'Cave' WHEN 1 THEN 'Anthropogenic' ELSE 'Sediment' END AS site FROM part"""))
 def _(spark, d):
     k = F.col("p_partkey")
-    word = F.element_at(F.array(*[F.lit(x) for x in ("left petrous bone", "Humerus (prox.)", "metacarpal", "Horncores", "verte, vertebra", "unknown")]), (k % 6 + 1).cast("int"))
+    word = F.element_at(F.array(*[F.lit(x) for x in ("left petrous bone", "Humerus (prox.)", "metacarpal", "Horncores", "verte, vertebra", "unknown", "left_petrous_bone", "meta-x", "cranium")]), (k % 9 + 1).cast("int"))
     place = F.element_at(F.array(*[F.lit(x) for x in ("Big Cave, entrance", "old hunting ground", "river gravel")]), (k % 3 + 1).cast("int"))
     m = D.material_class(word, F.col("p_name"))
     return v.table(spark, d, "part").select("p_partkey", m.alias("material"), D.body_part(m).alias("part"), D.site_class(place).alias("site"))

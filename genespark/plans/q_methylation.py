@@ -11,7 +11,7 @@ from genespark.plans.views import r6, rnd, sql
 KEY = 'chrom, "start", "end", strand'
 
 
-@query("meth_count_table", sql("meth", "SELECT mc AS methylated, c AS unmethylated, count(*) AS n FROM meth WHERE c + mc < 1024 GROUP BY 1, 2"))
+@query("meth_count_table", sql("meth", "SELECT mc AS methylated, c AS unmethylated, count(*) AS n FROM meth GROUP BY 1, 2"))
 def _(spark, d):
     return M.meth_count_table(v.meth(spark, d))
 
@@ -81,11 +81,11 @@ def _(spark, d):
     return t.select("chrom", "min_coverage", *[r6(F.col(c)).alias(c) for c in ("q0", "q1", "q2")])
 
 
-@query("meth_level_mixture", sql("meth", f""", k AS (SELECT mc, c, count(*) AS n FROM meth WHERE c + mc <= 6 GROUP BY 1, 2), x AS (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS x),
+@query("meth_level_mixture", sql("meth", f""", k AS (SELECT mc, c, count(*) AS n FROM meth GROUP BY 1, 2), x AS (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS x),
 f AS (SELECT mc + c AS depth, x, n, (SELECT sum(exp(lgamma(mc + c + 2) - lgamma(j + 1) - lgamma(mc + c + 2 - j)) * pow(x, j) * pow(1 - x, mc + c + 1 - j)) FROM (SELECT unnest(range(mc + 1, mc + c + 2)) AS j)) AS p FROM k, x)
 SELECT depth, x, {rnd('sum(n * p) / sum(n)', 4)} AS cdf FROM f GROUP BY 1, 2"""))
 def _(spark, d):
-    t = M.meth_level_mixture(M.meth_count_table(v.meth(spark, d)), [0.1, 0.5, 0.9], max_depth=6)
+    t = M.meth_level_mixture(M.meth_count_table(v.meth(spark, d)), [0.1, 0.5, 0.9])
     return t.withColumn("cdf", r6(F.col("cdf"), 4))
 
 

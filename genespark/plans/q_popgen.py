@@ -66,15 +66,15 @@ def _(spark, d):
 HETS = {r: f"(s{r} * (2 * n{r} - s{r}) / (2 * n{r} * (2 * n{r} - 1)))" for r in range(1, 5)}
 
 
-@query("f2", sql(GENO, f"""{TESTS}
-SELECT test, {rnd(f'avg((s1/n1 - s2/n2) * (s1/n1 - s2/n2) - {HETS[1]} / (2 * n1) - {HETS[2]} / (2 * n2))')} AS f2, count(*) AS sites
-FROM (SELECT * FROM tests UNION ALL SELECT 'x' || test, site_id, n1, s1, n2, s2, 1, 1, 1, 1 FROM tests WHERE false) GROUP BY test"""))
-def _(spark, d):
-    # the oracle's tests table needs all four groups called, so the pairs are taken from such sites
-    g = v.genotypes(spark, d)
-    whole = popgen.tuple_sites(g, {"all": tuple(GROUPS)}).select("site_id")
-    g = g.join(whole, "site_id", "left_semi")
-    return popgen.f2(g, {t: q[:2] for t, q in QUADS.items()}).withColumn("f2", r6(F.col("f2")))
+def f2_sql(test, i, j):
+    het = lambda r: f"s_{r} * (2.0 * n_{r} - s_{r}) / (2.0 * n_{r} * (2 * n_{r} - 1)) / (2 * n_{r})"
+    return f"SELECT '{test}' AS test, s_{i} / n_{i} - s_{j} / n_{j} AS d, {het(i)} + {het(j)} AS h FROM wide WHERE n_{i} > 0 AND n_{j} > 0"
+
+
+@query("f2", sql(GENO, f""", {WIDE}, t AS ({' UNION ALL '.join(f2_sql(t, *[GROUPS.index(p) for p in q[:2]]) for t, q in QUADS.items())})
+SELECT test, {rnd('avg(d * d - h)')} AS f2, count(*) AS sites FROM t GROUP BY test"""))
+def _(spark, d):
+    return popgen.f2(v.genotypes(spark, d), {t: q[:2] for t, q in QUADS.items()}).withColumn("f2", r6(F.col("f2")))
 
 
 @query("f3", sql(GENO, f""", {WIDE}, t AS (

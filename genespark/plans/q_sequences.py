@@ -96,9 +96,9 @@ def _(spark, d):
     return Q.quality_histogram(with_qual(spark, d))
 
 
-@query("read_length_histogram", sql("reads", "SELECT r.range AS length, coalesce(n, 0) AS n FROM range(500) r LEFT JOIN (SELECT length(seq) AS l, count(*) AS n FROM reads GROUP BY 1) ON l = r.range"))
+@query("read_length_histogram", sql("reads", "SELECT r.range AS length, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, (SELECT max(length(seq)) FROM reads) + 1)) AS range) r LEFT JOIN (SELECT length(seq) AS l, count(*) AS n FROM reads GROUP BY 1) ON l = r.range"))
 def _(spark, d):
-    return Q.length_histogram(v.reads(spark, d), most=500)
+    return Q.length_histogram(v.reads(spark, d), dense=True)
 
 
 @query("alignment_length_histogram", f"""WITH {ALN} SELECT CAST(CASE WHEN flag & 1 <> 0 THEN abs(isize) ELSE len END AS BIGINT) AS length, count(*) AS n FROM aln

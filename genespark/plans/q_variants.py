@@ -196,11 +196,13 @@ def records(spark, d):
 
 
 @query("merge_call_sets_majority", sql(GENO, f"""{RECORDS}
-SELECT chrom, pos, site.ref, site.alt, sample, CASE WHEN rec.alt = '.' THEN CASE WHEN dp_ref > 0 THEN 2 END WHEN dp_ref > dp_alt THEN 2 ELSE 0 END AS gt
-FROM rec JOIN site USING (chrom, pos) WHERE NOT (dp_ref = dp_alt AND dp_alt > 0)"""))
+SELECT chrom, pos, site.ref, site.alt, sample, CASE WHEN rec.alt = '.' THEN CASE WHEN dp_ref > 0 THEN 2 END WHEN dp_ref = dp_alt THEN 1 WHEN dp_ref > dp_alt THEN 2 ELSE 0 END AS gt
+FROM rec JOIN site USING (chrom, pos)"""))
 def _(spark, d):
     m = variants.merge_call_sets(records(spark, d), majority=True)
-    return m.filter("not (dp_ref = dp_alt and dp_alt > 0)").select("chrom", "pos", "ref", "alt", "sample", "gt")
+    # a tie is drawn: 0 or 2 both show as 1, which no majority gives
+    tie = F.expr("dp_ref = dp_alt and dp_alt > 0 and gt in (0, 2)")
+    return m.select("chrom", "pos", "ref", "alt", "sample", F.when(tie, 1).otherwise(F.col("gt")).alias("gt"))
 
 
 @query("merge_call_sets_filtered")
@@ -249,8 +251,8 @@ def _(spark, d):
 
 
 @query("depth_histogram", sql("calls", f""", h AS (SELECT dp, count(*) AS n, avg(qual) AS m, var_pop(qual) AS vv FROM calls GROUP BY dp)
-SELECT r.range AS dp, coalesce(n, 0) AS n, {rnd('coalesce(n, 0) / (SELECT count(*) FROM calls WHERE dp < 1024)')} AS share,
- {rnd('coalesce(m, 0)')} AS qual_mean, {rnd('coalesce(vv, 0)')} AS qual_var FROM range(1024) r LEFT JOIN h ON h.dp = r.range"""))
+SELECT r.range AS dp, coalesce(n, 0) AS n, {rnd('coalesce(n, 0) / (SELECT count(dp) FROM calls)')} AS share,
+ {rnd('coalesce(m, 0)')} AS qual_mean, {rnd('coalesce(vv, 0)')} AS qual_var FROM (SELECT unnest(range(0, (SELECT max(dp) FROM calls) + 1)) AS range) r LEFT JOIN h ON h.dp = r.range"""))
 def _(spark, d):
     h = variants.depth_histogram(v.calls(spark, d))
     return h.select("dp", "n", *[r6(F.col(c)).alias(c) for c in ("share", "qual_mean", "qual_var")])
@@ -337,6 +339,16 @@ def _(spark, d):
     return variants.coverage_quantiles(h, [0.1, 0.25, 0.5, 0.75, 0.9, 0.99])
 
 
+@query("sliding_homozygosity_uneven", sql(GENO, """, u AS (SELECT sample, chrom, (pos - 1) // 2000 AS c, count(*) AS n, count(*) FILTER (gt <> 1) AS hom FROM genotypes WHERE gt IS NOT NULL AND dp BETWEEN 5 AND 60 GROUP BY 1, 2, 3),
+grid AS (SELECT sample, chrom, unnest(range(0, CAST(greatest(0, floor((last - 24) / 2.0)) AS BIGINT) + 1)) AS k FROM (SELECT sample, chrom, max(c) AS last FROM u GROUP BY 1, 2)),
+ends AS (SELECT chrom, max(pos) AS length FROM sites GROUP BY chrom)
+SELECT grid.sample, grid.chrom, k * 4000 AS "start", least(k * 4000 + 50000, length) AS "end", CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(hom), 0) AS BIGINT) AS hom
+FROM grid JOIN ends ON ends.chrom = grid.chrom LEFT JOIN u ON u.sample = grid.sample AND u.chrom = grid.chrom AND u.c >= k * 2 AND u.c < k * 2 + 25 GROUP BY ALL"""))
+def _(spark, d):
+    ends = v.sites(spark, d).groupBy("chrom").agg(F.max("pos").alias("length"))
+    return variants.sliding_homozygosity(v.genotypes(spark, d), 50_000, 4_000, 5, 60, ends)
+
+
 @query("recombination_density", sql("sites", f""", fai AS (SELECT chrom, max(pos) + 500 AS length FROM sites GROUP BY chrom),
 g AS (SELECT chrom, length, unnest(range(0, CAST(ceil(length / 20000) AS BIGINT))) AS k FROM fai),
 n AS (SELECT g.chrom, g.k, length, count(s.pos) AS n FROM g LEFT JOIN sites s ON s.chrom = g.chrom AND s.pos // 20000 = g.k GROUP BY 1, 2, 3),
@@ -406,6 +418,16 @@ def _(spark, d):
     return b.select("chrom", "bin_start", "bin_end", "n", *[r6(F.col(c)).alias(c) for c in ("total", "mean", "low", "high", "median")])
 
 
+@query("interval_aggregate_overlapping", sql("meth", f""", iv AS (SELECT DISTINCT CAST(p_partkey % 5 + 1 AS INTEGER) AS chrom, p_partkey * 10 AS "start", p_partkey * 10 + p_size * 40 AS "end" FROM part)
+SELECT iv.chrom, iv."start", iv."end", count(m.mc) AS n, CAST(sum(m.mc) AS BIGINT) AS total, {rnd('avg(m.mc)')} AS mean, min(m.mc) AS low, max(m.mc) AS high
+FROM iv LEFT JOIN meth m ON m.chrom = iv.chrom AND m."start" >= iv."start" AND m."start" < iv."end" GROUP BY 1, 2, 3"""))
+def _(spark, d):
+    k = F.col("p_partkey")
+    iv = v.table(spark, d, "part").select((k % 5 + 1).cast("int").alias("chrom"), (k * 10).alias("start"), (k * 10 + F.col("p_size") * 40).alias("end")).distinct()
+    m = v.meth(spark, d).select("chrom", F.col("start").alias("pos0"), "mc")
+    return intervals.interval_aggregate(iv, m, "mc").fillna(0, ["n"]).withColumn("mean", r6(F.col("mean")))
+
+
 @query("interval_aggregate", sql("meth", f""", iv AS (SELECT CAST(p_partkey % 5 + 1 AS INTEGER) AS chrom, p_partkey * 40 AS "start", p_partkey * 40 + p_size AS "end" FROM part)
 SELECT iv.chrom, iv."start", iv."end", count(m.mc) AS n, CAST(sum(m.mc) AS BIGINT) AS total, {rnd('avg(m.mc)')} AS mean, min(m.mc) AS low, max(m.mc) AS high
 FROM iv LEFT JOIN meth m ON m.chrom = iv.chrom AND m."start" >= iv."start" AND m."start" < iv."end" GROUP BY 1, 2, 3"""))

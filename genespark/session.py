@@ -1,33 +1,28 @@
 """Session defaults used by the tests and the benchmark."""
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def session(cores=None, shuffle_partitions=8, app="genespark", memory="12g"):
-    cores = cores or os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+def session(cores=None, shuffle_partitions=None, app="genespark", memory=None):
+    """A session with adaptive plans and UTC. Master, shuffle width and memory are the cluster's unless they are given."""
+    cores = cores or os.environ.get("BENCH_CPUS")
+    builder = (
+        SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if cores:
+        builder = builder.master(f"local[{cores}]")
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark):
-    """Use the cluster's checkpoint folder; fall back to a private one only if none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="genespark-"))

@@ -54,8 +54,10 @@ def snp_lines(sites, six=False, autosomes=29):
 
 
 def ind_lines(individuals, label=None):
+    """Name, sex and group; the format holds 39 characters of a name, and a longer one is an error rather than cut."""
+    name = F.when(F.length("sample") <= 39, F.col("sample")).otherwise(F.raise_error(F.concat(F.lit("sample name over 39 characters: "), "sample")))
     group = F.lit(label) if label else F.coalesce(F.col("grp"), F.col("sample"))
-    return individuals.select("idx", F.concat_ws("\t", F.substring("sample", 1, 39), F.lit("U"), group).alias("line"))
+    return individuals.select("idx", F.concat_ws("\t", name, F.lit("U"), group).alias("line"))
 
 
 def flip_genotypes(gts):

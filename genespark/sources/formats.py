@@ -400,10 +400,10 @@ def parse_hybrid_blocks(lines):
 def parse_nt_pairs(lines):
     """CTX5p and CTX3p rows as (end, position, pair, count, share within the row)."""
     head = lines.filter(F.col("value").rlike("^#CTX[53]p")).select(
-        F.substring("value", 2, 5).alias("end"), F.slice(F.split("value", "\t"), 3, 64).alias("_pairs")
+        F.substring("value", 2, 5).alias("end"), F.expr("slice(split(value, '\t'), 3, size(split(value, '\t')))").alias("_pairs")
     )
     t = lines.filter(F.col("value").rlike("^CTX[53]p")).withColumn("_f", fields())
-    t = t.select(_at(F.col("_f"), 0).alias("end"), _at(F.col("_f"), 1, "int").alias("pos"), F.slice("_f", 3, 64).alias("_n")).join(head, "end")
+    t = t.select(_at(F.col("_f"), 0).alias("end"), _at(F.col("_f"), 1, "int").alias("pos"), F.slice("_f", F.lit(3), F.size("_f")).alias("_n")).join(head, "end")
     t = t.withColumn("_n", F.transform("_n", lambda x: x.try_cast("double"))).withColumn("_t", F.aggregate("_n", F.lit(0.0), lambda a, x: a + x))
     e = t.select("end", "pos", "_t", F.explode(F.arrays_zip(F.col("_pairs").alias("pair"), F.col("_n").alias("n"))).alias("e"))
     return e.select("end", "pos", "e.pair", F.col("e.n").cast("long").alias("n"), F.coalesce(F.try_divide("e.n", "_t"), F.lit(0.0)).alias("share"))

@@ -10,7 +10,7 @@ from genespark.session import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session(cores="8", app="tests", memory="8g")
+    s = session(cores="8", shuffle_partitions=8, app="tests", memory="8g")
     yield s
     s.stop()
 

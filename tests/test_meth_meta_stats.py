@@ -179,3 +179,37 @@ def test_dosage_clusters_and_components(spark):
     np.testing.assert_allclose(explained, values[::-1][:2] / values.sum(), rtol=1e-6)
     got = np.array([r.pc for r in sorted(pcs.collect(), key=lambda r: int(r["sample"][1:]))])
     np.testing.assert_allclose(np.abs(got[:, 0]), np.abs(dose @ vectors[:, -1]), rtol=1e-6)
+
+
+def test_tails_at_large_counts():
+    from genespark.functions import special
+
+    for n in (10**4, 10**6, 10**8, 10**9):
+        half = math.exp(special.lgamma(n + 1) - 2 * special.lgamma(n / 2 + 1) - n * math.log(2)) if n < 10**6 else math.sqrt(2 / (math.pi * n))
+        got = float(special.betainc(n // 2, n - n // 2 + 1, 0.5))
+        assert math.isclose(got, 0.5 + half / 2, abs_tol=1e-6)
+    for k, n, p in ((3, 10, 0.2), (0.5, 3.5, 0.7), (40, 100, 0.41), (700, 1000, 0.69)):
+        a, b, steps = k, n - k + 1, 400_000
+        grid = (np.arange(steps) + 0.5) / steps
+        dens = np.exp((a - 1) * np.log(grid) + (b - 1) * np.log1p(-grid) + special.lgamma(a + b) - special.lgamma(a) - special.lgamma(b))
+        assert math.isclose(float(special.betainc(a, b, p)), float(dens[grid < p].sum() / steps), rel_tol=2e-3, abs_tol=1e-5)
+    assert math.isclose(float(special.gamma_upper(50_000.0, 50_000.0)), 0.5 - 1 / (3 * math.sqrt(2 * math.pi * 50_000)), abs_tol=1e-6)
+    # hypergeometric: far tails, both sides of the mode, and counts whose terms would not fit into memory
+    assert math.isclose(special.hypergeom_tail(3, 50, 10, 12), sum(math.comb(10, k) * math.comb(40, 12 - k) for k in range(3, 11)) / math.comb(50, 12), rel_tol=1e-10)
+    assert math.isclose(special.hypergeom_tail(1, 50, 10, 12), 1 - math.comb(40, 12) / math.comb(50, 12), rel_tol=1e-10)
+    assert math.isclose(special.hypergeom_tail(25 * 10**7, 10**9, 5 * 10**8, 5 * 10**8), 0.5, abs_tol=1e-4)
+
+
+def test_site_and_material_words(spark):
+    df = spark.createDataFrame([("meta-x",), ("metax",), ("left_petrous_bone",), ("cranium",), ("Skull",), ("left Hum.",), (None,)], "t string")
+    got = [r.m for r in df.select(D.material_class(F.col("t")).alias("m")).collect()]
+    assert got == ["Foot", "Foot", "Petrosal", None, "OtherCrania", "Leg", None]
+
+
+def test_density_is_zero_without_breakpoints(spark):
+    fai = spark.createDataFrame([("a", 100), ("b", 60)], "chrom string, length long")
+    t = variants.recombination_density(spark.createDataFrame([("a", 5)], "chrom string, pos long"), fai, 10, 20)
+    got = {(r.chrom, r.mid): r.density for r in t.collect()}
+    assert got["a", 10] == 0.5 and set(v for (c, _), v in got.items() if c == "b") == {0.0}
+    with pytest.raises(ValueError):
+        variants.recombination_density(fai, fai, 10, 25)
