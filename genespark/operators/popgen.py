@@ -144,17 +144,15 @@ def shared_derived(gts, quads, method="consensus"):
             else:
                 v = d * d - F.try_divide(_het(i), 2 * F.col(f"n{i}")) - F.try_divide(_het(j), 2 * F.col(f"n{j}"))
             t = t.withColumn(name[i] + name[j], v)
-    t = t.filter("yz >= 0 and xz >= 0 and yz < xz and xy >= 0 and yz < xy")
-    near = "yz < wz and yz < wy and wx < wy and wx < wz and wx < xy and wx < xz"
+    # Y and Z are the closest of the three to each other
+    t = t.filter("yz >= 0 and yz < least(xy, xz)")
+    pairs = "greatest(wx, yz) < least(wy, wz)"  # W with X and Y with Z, rather than across
     if method == "abs":
-        close = "yz < wz and yz < wy and wx < wy and wx < wz and wx < xy"
-        t = t.withColumn("pattern", F.when(F.expr(close), "AABB").otherwise("BABB"))
+        t = t.withColumn("pattern", F.when(F.expr(f"{pairs} and wx < xy"), "AABB").otherwise("BABB"))
         return t.select("site_id", "test", "pattern")
-    usable = "wz >= 0 and wx >= 0 and wy >= 0"
-    far = "wx > wy and wx > wz and xy > wy and xy > wz and xz > wy and xz > wz"
-    pattern = F.when(F.expr(f"{usable} and wy >= 0 and {near}"), "AABB").when(
-        F.expr(f"{usable} and (yz >= wz or wy >= 0) and {far}"), "BABB"
-    )
+    usable = "least(wx, wy, wz) >= 0"
+    alone = "least(wx, xy, xz) > greatest(wy, wz)"  # X is far from all, W is near Y and Z
+    pattern = F.when(F.expr(f"{usable} and {pairs} and wx < least(xy, xz)"), "AABB").when(F.expr(f"{usable} and {alone}"), "BABB")
     return t.withColumn("pattern", pattern).filter("pattern is not null").select("site_id", "test", "pattern")
 
 

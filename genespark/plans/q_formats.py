@@ -142,6 +142,13 @@ def _(spark, d):
 POLY = ", poly AS (SELECT * FROM sites WHERE site_id IN (SELECT site_id FROM genotypes WHERE gt IS NOT NULL GROUP BY 1 HAVING sum(gt) > 0 AND sum(gt) < 2 * count(gt)))"
 
 
+@query("to_phylip_polymorphic", sql(GENO, f"""{POLY}{frag_sql(_iupac, 'N', 60, sites='poly')}
+SELECT -1 AS idx, -1 AS fragment, ' ' || (SELECT count(*) FROM people) || ' ' || (SELECT count(*) FROM poly) AS line UNION ALL
+SELECT idx, fragment, CASE WHEN fragment = 0 THEN sample || ' ' || text ELSE text END FROM frags"""))
+def _(spark, d):
+    return K.to_phylip(v.genotypes(spark, d), v.sites(spark, d), numeric=False, drop_monomorphic=True)
+
+
 @query("to_multifasta", sql(GENO, f"""{POLY}{frag_sql(_iupac, 'N', 60, sites='poly')}
 SELECT idx, -1 AS fragment, '>' || sample AS line FROM people UNION ALL SELECT idx, fragment, text FROM frags"""))
 def _(spark, d):

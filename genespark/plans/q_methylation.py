@@ -120,7 +120,7 @@ ct AS (SELECT chrom, pos0, count(*) AS depth, count(*) FILTER (pair = 'TG') AS t
 SELECT chrom, CAST(pos0 AS BIGINT) AS "start", CAST(pos0 + 1 AS BIGINT) AS "end", CASE WHEN plus THEN '+' ELSE '-' END AS strand, depth, CASE WHEN plus THEN tg ELSE gt END AS c, CASE WHEN plus THEN cg ELSE gc END AS mc, context FROM ct JOIN cy USING (chrom, pos0)"""))
 def _(spark, d):
     r = v.reads(spark, d)
-    ref = r.groupBy(F.concat(F.lit("c"), F.col("doc_id") % 7).alias("name")).agg(F.max_by("seq", F.length("seq") * 100000 - F.col("doc_id")).alias("seq"))
+    ref = r.groupBy(F.concat(F.lit("c"), F.col("doc_id") % 7).alias("name")).agg(F.max_by("seq", F.length("seq").cast("long") * 100000 - F.col("doc_id")).alias("seq"))
     return M.methylation_pileup(M.aligned_pairs(folded(spark, d)), M.reference_cytosines(ref, size=500))
 
 

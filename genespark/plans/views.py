@@ -88,8 +88,13 @@ def blocks(spark, d):
     )
 
 
+#: Every letter of the texts stands for a base: a, c, g, t for themselves, the others in turn.
+LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñóíABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍ"
+BASES = "".join(c.upper() if c in "acgtACGT" else "ACGT"[i % 4] for i, c in enumerate(LETTERS))
+
+
 def reads(spark, d):
-    seq = F.upper(F.regexp_replace("text", "[^acgtACGT]", ""))
+    seq = F.regexp_replace(F.translate("text", LETTERS, BASES), "[^ACGT]", "")
     return (
         spread_scan(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
         .select(F.col("doc_id"), F.concat(F.lit("r"), F.col("doc_id")).alias("name"), seq.alias("seq"))
@@ -148,8 +153,8 @@ CTES = {
     "blocks": """blocks AS (
       SELECT 'S' || (s_suppkey % 7 + 1) AS sample, CAST(s_suppkey % 5 + 1 AS INTEGER) AS chrom,
              s_suppkey * 10000 + 1 AS "start", s_suppkey * 10000 + 40001 AS "end" FROM supplier)""",
-    "reads": """reads AS (
-      SELECT * FROM (SELECT doc_id, 'r' || doc_id AS name, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq
+    "reads": f"""reads AS (
+      SELECT * FROM (SELECT doc_id, 'r' || doc_id AS name, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g') AS seq
       FROM documents) WHERE length(seq) > 0)""",
     "meth": """meth AS (
       SELECT chrom, "start", "start" + 1 AS "end", strand, context, CAST(sum(c) AS BIGINT) AS c, CAST(sum(mc) AS BIGINT) AS mc

@@ -135,8 +135,17 @@ def invariant_counts(gts):
     return s.withColumn("base", base).filter("base is not null").groupBy("base").agg(F.count(F.lit(1)).alias("n"))
 
 
-def to_phylip(gts, sites, numeric=True, width=60):
-    """Sequential PHYLIP: a count line, then per sample its name followed by fragments of its row."""
+def to_phylip(gts, sites, numeric=True, width=60, drop_monomorphic=False):
+    """Sequential PHYLIP: a count line, then per sample its name followed by fragments of its row.
+
+    ``drop_monomorphic`` leaves out the sites whose calls hold one allele; `invariant_counts` says how many there are.
+    """
+    if drop_monomorphic:
+        keep = polymorphic(gts)
+        people = gts.select("idx", "sample", "grp").distinct()
+        sites = sites.join(keep, "site_id", "left_semi")
+        # a sample that has calls at dropped sites only keeps its (empty) row
+        gts = people.join(gts.drop("sample", "grp").join(keep, "site_id", "left_semi"), "idx", "left")
     ranked = ranked_sites(sites)
     char = F.col("gt").cast("string") if numeric else iupac_char()
     frags = sample_fragments(gts, ranked, char, "?" if numeric else "N", width)

@@ -21,22 +21,38 @@ def _space(col="value"):
 # --- variants -------------------------------------------------------------------------------------
 
 
-def parse_vcf(lines):
-    """One row per record: fixed columns, ``samples`` array of (sample, FORMAT map).  FORMAT is read per row."""
-    head = lines.filter(F.col("value").startswith("#CHROM")).withColumn("_f", fields())
-    head = head.select("file", F.slice("_f", 10, F.greatest(F.size("_f") - 9, F.lit(0))).alias("_names"))
-    body = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("_f", fields())
-    body = body.join(head, "file")
+def per_file(table, value, many_files):
+    """A lookup of one value per file, as a column: one map that every task gets, so the lines stay where they are.
+
+    ``many_files`` joins the lines with the table instead, for so many files that searching a map for each line costs
+    more than a shuffle.
+    """
+    if many_files:
+        return lambda lines: lines.join(table.select("file", value.alias("_of_file")), "file")
+    known = table.agg(F.map_from_entries(F.collect_list(F.struct("file", value.alias("v")))).alias("m"))
+    return lambda lines: lines.withColumn("_of_file", F.try_element_at(known.scalar(), F.col("file"))).filter("_of_file is not null")
+
+
+def parse_vcf(lines, many_files=False):
+    """One row per record: fixed columns, ``format``, ``calls`` (sample, text), ``samples`` array of (sample, FORMAT map).
+
+    FORMAT is read per row. Records of a file without a header line are left out.
+    """
+    head = lines.filter(F.col("value").startswith("#CHROM")).withColumn("_f", fields()).dropDuplicates(["file"])
+    names = F.slice("_f", 10, F.greatest(F.size("_f") - 9, F.lit(0)))
+    body = lines.filter(~F.col("value").startswith("#") & (F.col("value") != ""))
+    body = per_file(head, names, many_files)(body).withColumn("_f", fields())
     f = F.col("_f")
     fmt = F.split(_at(f, 8), ":")
-    calls = F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0)))
+    texts = F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0)))
     as_map = lambda g: F.map_from_entries(F.filter(
         F.zip_with(fmt, F.split(g, ":"), lambda k, x: F.struct(k.alias("k"), x.alias("v"))), lambda e: e["k"].isNotNull()))
-    samples = F.zip_with(F.col("_names"), calls, lambda n, g: F.struct(n.alias("sample"), as_map(g).alias("fmt")))
+    samples = F.zip_with(F.col("_of_file"), texts, lambda n, g: F.struct(n.alias("sample"), as_map(g).alias("fmt")))
+    calls = F.zip_with(F.col("_of_file"), texts, lambda n, g: F.struct(n.alias("sample"), g.alias("text")))
     return body.select(
         "file", strip_chr(_at(f, 0)).alias("chrom"), _at(f, 1).cast("long").alias("pos"), _at(f, 2).alias("id"),
         _at(f, 3).alias("ref"), F.split(_at(f, 4), ",").alias("alts"), _at(f, 5, "double").alias("qual"),
-        _at(f, 6).alias("filter"), _at(f, 7).alias("info"), samples.alias("samples"),
+        _at(f, 6).alias("filter"), _at(f, 7).alias("info"), fmt.alias("format"), calls.alias("calls"), samples.alias("samples"),
     )
 
 
@@ -51,15 +67,20 @@ def vcf_headers(lines):
 
 
 def vcf_genotypes(variants):
-    """Long calls: gt = copies of the reference allele (NULL if missing), depth, allele depths."""
-    t = variants.select("chrom", "pos", "id", "ref", "alts", "qual", "filter", F.explode("samples").alias("s"))
-    get = lambda k: F.try_element_at(F.col("s.fmt"), F.lit(k))
-    alleles = F.split(get("GT"), r"[/|]")
-    missing = get("GT").isNull() | F.array_contains(alleles, ".")
+    """Long calls: gt = copies of the reference allele (NULL if missing), depth, allele depths.
+
+    The places of GT, DP and AD are looked up once per record.
+    """
+    places = [F.array_position("format", k).cast("int").alias(f"_{k}") for k in ("GT", "DP", "AD")]
+    t = variants.select("chrom", "pos", "id", "ref", "alts", "qual", "filter", *places, F.explode("calls").alias("c"))
+    t = t.withColumn("_v", F.split("c.text", ":"))
+    t = t.select("*", *[F.when(F.col(f"_{k}") > 0, F.get("_v", F.col(f"_{k}") - 1)).alias(k.lower()) for k in ("GT", "DP", "AD")])
+    alleles = F.split("gt", r"[/|]")
+    missing = F.col("gt").isNull() | F.array_contains(alleles, ".")
     return t.select(
-        "chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"), "qual", "filter", F.col("s.sample").alias("sample"),
-        F.when(~missing, F.size(F.filter(alleles, lambda a: a == "0"))).alias("gt"), get("DP").try_cast("int").alias("dp"),
-        F.transform(F.split(get("AD"), ","), lambda x: x.try_cast("int")).alias("ad"), get("GT").alias("gt_text"),
+        "chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"), "qual", "filter", F.col("c.sample").alias("sample"),
+        F.when(~missing, F.size(F.filter(alleles, lambda a: a == "0"))).alias("gt"), F.col("dp").try_cast("int").alias("dp"),
+        F.transform(F.split("ad", ","), lambda x: x.try_cast("int")).alias("ad"), F.col("gt").alias("gt_text"),
     )
 
 
@@ -259,15 +280,16 @@ def flagstat_table(stats, descriptions):
     return stats.groupBy("sample").pivot("description", list(descriptions)).agg(F.first("passed"))
 
 
-def parse_dstats(lines):
+def parse_dstats(lines, many_files=False):
     """Result tables of three programs in one shape; the BABA - ABBA convention is turned into ABBA - BABA."""
-    head = lines.filter("line_no = 0").select("file", _at(fields(), 0).alias("_first"), F.array_contains(fields(), "D_Z").alias("_jack"))
+    head = lines.filter("line_no = 0")
+    kind = F.struct(_at(fields(), 0).alias("first"), F.array_contains(fields(), "D_Z").alias("jack"))
     f = F.col("_f")
-    t = lines.filter("line_no > 0 and value <> ''").withColumn("_f", fields()).join(head, "file")
-    angsd, jack = F.col("_first") == "H1", F.col("_jack")
-    d = F.when(angsd, _at(f, 5, "double")).when(jack, -_at(f, 4, "double")).otherwise(-_at(f, 4, "double"))
-    z = F.when(angsd, _at(f, 8, "double")).when(jack, -_at(f, 6, "double")).otherwise(-_at(f, 5, "double"))
-    known = checked(F.col("_first").isin("H1", "P1"), _at(f, 0), "unknown D statistics format")
+    t = per_file(head, kind, many_files)(lines.filter("line_no > 0 and value <> ''")).withColumn("_f", fields())
+    first, jack = F.col("_of_file.first"), F.col("_of_file.jack")
+    d = F.when(first == "H1", _at(f, 5, "double")).otherwise(-_at(f, 4, "double"))
+    z = F.when(first == "H1", _at(f, 8, "double")).when(jack, -_at(f, 6, "double")).otherwise(-_at(f, 5, "double"))
+    known = checked(first.isin("H1", "P1"), _at(f, 0), "unknown D statistics format")
     return t.select("line_no", known.alias("p1"), _at(f, 1).alias("p2"), _at(f, 2).alias("p3"), d.alias("d"), z.alias("z"))
 
 
