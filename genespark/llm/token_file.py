@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from genespark.llm import tokens
 
 SCALE = 16
-LANES = 1024
+LANES = 4096
 #: Steps of all lanes between two checkpoints.
-STEPS = 128
+STEPS = 64
 BLOCK_IDS = 1 << 19
 SEGMENT_IDS = 1 << 22
 
@@ -73,9 +73,11 @@ class Table:
     """Symbols, frequencies, and what coding looks up in them."""
 
     def __init__(self, symbols: np.ndarray, freq: np.ndarray):
-        self.symbols, self.freq = symbols.astype(np.uint32), freq.astype(np.uint64)
-        self.low = np.concatenate(([0], np.cumsum(self.freq)[:-1])).astype(np.uint64)
-        self.slots = np.repeat(np.arange(len(symbols), dtype=np.int32), freq)
+        self.symbols, self.freq = symbols.astype(np.uint32), freq.astype(np.uint32)
+        self.low = np.concatenate(([0], np.cumsum(self.freq)[:-1])).astype(np.uint32)
+        # for each of the 2^SCALE slots: its symbol, that symbol's frequency, and how far into it the slot lies
+        self.symbol_at, self.freq_at = np.repeat(self.symbols, freq), np.repeat(self.freq, freq)
+        self.rest_at = np.arange(len(self.freq_at), dtype=np.uint32) - np.repeat(self.low, freq)
 
     @classmethod
     def of(cls, parts: list[np.ndarray]) -> Table:
@@ -104,20 +106,21 @@ class Table:
 
 def encode(ids: np.ndarray, table: Table) -> tuple[bytes, list[tuple[int, int, bytes, int]]]:
     """The word stream and the checkpoints (step, word, states, CRC up to the next) of one block."""
-    n = len(ids)
-    steps = -(-n // LANES)
-    at = table.places(ids)
-    states = np.full(LANES, 1 << 16, dtype=np.uint64)
+    at, half = table.places(ids), np.uint32(16)
+    freqs, lows = table.freq[at], table.low[at]
+    states = np.full(LANES, 1 << 16, dtype=np.uint32)
     out, marks, written = [], [], 0
-    for step in range(steps - 1, -1, -1):
-        s = at[step * LANES : (step + 1) * LANES]
-        x, f = states[: len(s)], table.freq[s]
-        full = x >= (f << np.uint64(16))
-        out.append((x[full] & np.uint64(0xFFFF)).astype("<u2"))
-        written += len(out[-1])
-        x = np.where(full, x >> np.uint64(16), x)
+    for step in range(-(-len(ids) // LANES) - 1, -1, -1):
+        here = slice(step * LANES, (step + 1) * LANES)
+        f = freqs[here]
+        x = states[: len(f)]
+        full = np.flatnonzero((x >> half) >= f)  # no room for another symbol: a word leaves
+        leaving = x[full]
+        out.append(leaving.astype("<u2"))
+        written += len(full)
+        x[full] = leaving >> half
         q = x // f
-        states[: len(s)] = (q << np.uint64(SCALE)) + (x - q * f) + table.low[s]
+        x += q * (np.uint32(1 << SCALE) - f) + lows[here]
         if step % STEPS == 0:
             part = ids[step * LANES : (step + STEPS) * LANES].astype("<u4")
             marks.append((step, written, states.astype("<u4").tobytes(), zlib.crc32(part.tobytes())))
@@ -127,26 +130,25 @@ def encode(ids: np.ndarray, table: Table) -> tuple[bytes, list[tuple[int, int, b
 
 def decode(words: bytes, marks, n_ids: int, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
     """The ids between checkpoints `first` and `last` (exclusive; all by default); a wrong checksum is an error."""
-    stream, done = np.frombuffer(words, dtype="<u2").astype(np.uint64), []
+    stream, half = np.frombuffer(words, dtype="<u2"), np.uint32(16)
+    done = [np.zeros(0, dtype="<u4")]
     for step, word, states, crc in marks[first:last]:
-        x = np.frombuffer(states, dtype="<u4").astype(np.uint64)
-        part = []
-        for t in range(step, min(step + STEPS, -(-n_ids // LANES))):
-            width = min(LANES, n_ids - t * LANES)
-            y = x[:width]
-            slot = (y & np.uint64(0xFFFF)).astype(np.int64)
-            s = table.slots[slot]
-            part.append(table.symbols[s])
-            y = table.freq[s] * (y >> np.uint64(SCALE)) + slot.astype(np.uint64) - table.low[s]
+        x = np.frombuffer(states, dtype="<u4").copy()
+        ids = np.empty(min(STEPS * LANES, n_ids - step * LANES), dtype="<u4")
+        for at in range(0, len(ids), LANES):
+            y = x[: len(ids) - at]
+            slot = y & np.uint32(0xFFFF)
+            ids[at : at + len(y)] = table.symbol_at[slot]
+            y >>= half
+            y *= table.freq_at[slot]
+            y += table.rest_at[slot]
             empty = np.flatnonzero(y < (1 << 16))
-            y[empty] = (y[empty] << np.uint64(16)) | stream[word : word + len(empty)]
+            y[empty] = (y[empty] << half) | stream[word : word + len(empty)]
             word += len(empty)
-            x[:width] = y
-        ids = np.concatenate(part).astype("<u4") if part else np.zeros(0, dtype="<u4")
-        if zlib.crc32(ids.tobytes()) != crc:
+        if zlib.crc32(ids) != crc:
             raise ValueError("the token file is damaged: a checksum differs")
         done.append(ids)
-    return np.concatenate(done) if done else np.zeros(0, dtype="<u4")
+    return np.concatenate(done)
 
 
 def _segments(width: str):

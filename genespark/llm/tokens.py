@@ -30,7 +30,7 @@ class Encoder(dict):
     library's model once. Any other word goes through the library whole. The caches start anew when they are full.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
