@@ -53,22 +53,45 @@ def minima(shingles: np.ndarray, hashes: int) -> np.ndarray:
     block = max(1, 65_536 // hashes)
     low = np.full(hashes, np.iinfo(U64).max, dtype=U64)
     for at in range(0, len(shingles), block):
-        x = shingles[at : at + block, None] * _A[:hashes] + _B[:hashes]
-        x ^= x >> U64(32)
+        x = shingles[at : at + block, None] * _A[:hashes]
+        x += _B[:hashes]
         np.minimum(low, x.min(axis=0), out=low)
+    return low ^ (low >> U64(32))  # the high bits decided; let the low ones, which are kept, depend on them
+
+
+def minima_of(sets: list[np.ndarray], hashes: int) -> np.ndarray:
+    """A row of minima for each (non-empty) set. Small sets share one pass of numpy; a large one goes by itself."""
+    low = np.empty((len(sets), hashes), dtype=U64)
+    small = [k for k, x in enumerate(sets) if len(x) <= 1024]
+    for k, x in enumerate(sets):
+        if len(x) > 1024:
+            low[k] = minima(x, hashes)
+    at = 0
+    while at < len(small):
+        to, size = at, 0
+        while to < len(small) and (to == at or size + len(sets[small[to]]) <= 1024):
+            size += len(sets[small[to]])
+            to += 1
+        group = [sets[k] for k in small[at:to]]
+        x = np.concatenate(group)[:, None] * _A[:hashes]
+        x += _B[:hashes]
+        least = np.minimum.reduceat(x, np.cumsum([0, *map(len, group[:-1])]), axis=0)
+        low[small[at:to]] = least ^ (least >> U64(32))
+        at = to
     return low
 
 
 def pack(low: np.ndarray) -> np.ndarray:
-    """Two low bits of each minimum, 32 to a long."""
-    bits = (low & U64(3)).reshape(-1, 32) << (U64(2) * np.arange(32, dtype=U64))
-    return np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+    """Two low bits of each minimum, 32 to a long; one row or many."""
+    bits = (low & U64(3)).reshape(*low.shape[:-1], -1, 32) << (U64(2) * np.arange(32, dtype=U64))
+    return np.bitwise_or.reduce(bits, axis=-1).view(np.int64)
 
 
 def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    total = mix(np.arange(1, bands + 1, dtype=U64))
+    used = low[..., : bands * rows].reshape(*low.shape[:-1], bands, rows)
+    total = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U64)), used.shape[:-1])
     for r in range(rows):
-        total = mix(total + low[: bands * rows].reshape(bands, rows)[:, r])
+        total = mix(total + used[..., r])
     return total.view(np.int64)
 
 
@@ -77,31 +100,32 @@ def _numbered(frames: Iterator[pd.DataFrame], cut: Callable, size: int, bands: i
 
     number, table = TaskContext.get().partitionId() << 33, WordHashes()
     columns = [f.name for f in ITEM]
+
+    def signed(out, sets):
+        full = [k for k, x in enumerate(sets) if len(x)]
+        low = minima_of([sets[k] for k in full], HASHES)
+        keys = dict(zip(full, zip(pack(low).tolist(), band_keys(low, bands, rows).tolist()))) if full else {}
+        none = ([None] * LONGS, None)
+        whole = [(*row[:-1], *keys.get(k, none)[0], keys.get(k, none)[1], row[-1]) for k, row in enumerate(out)]
+        frame = pd.DataFrame(whole, columns=columns)
+        frame["doc_id"] = frame["doc_id"].astype("Int64")
+        for i in range(LONGS):
+            frame[f"s{i}"] = pd.array([r[8 + i] for r in whole], dtype="Int64")
+        return frame
+
     for frame in frames:
-        out = []
+        out, sets, held = [], [], 0
         for doc_id, text, hashed in zip(frame["doc_id"], frame["text"], frame["hash"]):
             doc_id = None if pd.isna(doc_id) else int(doc_id)
             for item, start, length, ws in cut(text):
                 sh = shingle_hashes(table.array(ws), size)
-                if len(sh):
-                    low = minima(sh, HASHES)
-                    sig, keys = pack(low).tolist(), band_keys(low, bands, rows)
-                else:
-                    sig, keys = [None] * LONGS, None
-                out.append((number, doc_id, item, start, length, len(ws), len(sh), fingerprint(sh), *sig, keys, hashed))
-                number += 1
-            if len(out) >= 20_000:
-                yield _typed(out, columns)
-                out = []
-        yield _typed(out, columns)
-
-
-def _typed(rows, columns):
-    frame = pd.DataFrame(rows, columns=columns)
-    frame["doc_id"] = frame["doc_id"].astype("Int64")
-    for i in range(LONGS):
-        frame[f"s{i}"] = pd.array([r[8 + i] for r in rows], dtype="Int64")
-    return frame
+                out.append((number, doc_id, item, start, length, len(ws), len(sh), fingerprint(sh), hashed))
+                sets.append(sh)
+                number, held = number + 1, held + len(sh)
+            if held >= 200_000:
+                yield signed(out, sets)
+                out, sets, held = [], [], 0
+        yield signed(out, sets)
 
 
 def whole(text):
@@ -167,13 +191,25 @@ def wide_signatures(texts: DataFrame, size: int) -> DataFrame:
         table = WordHashes()
         for f in frames:
             sets = [shingle_hashes(table.array(lower_words(t)), size) for t in f["text"]]
-            packed = np.array([pack(minima(x, WIDE_HASHES)) for x in sets], dtype=np.int64).reshape(-1, WIDE_LONGS)
+            packed = pack(np.array([minima(x, WIDE_HASHES) for x in sets], dtype=U64).reshape(-1, WIDE_HASHES))
             yield pd.DataFrame({"pid": f["pid"], **{f"s{i}": packed[:, i] for i in range(WIDE_LONGS)}})
 
     longs = [f"s{i}" for i in range(WIDE_LONGS)]
     return texts.mapInPandas(sign, ", ".join(["pid long", *[f"{x} long" for x in longs]])).select("pid", F.struct(*longs).alias("wide"))
 
 
+def shingle_arrays(texts: DataFrame, size: int) -> DataFrame:
+    """pid and the full set of shingle hashes of each item of texts (pid, text)."""
+
+    def sets(frames):
+        table = WordHashes()
+        for f in frames:
+            found = [shingle_hashes(table.array(lower_words(t)), size).view(np.int64) for t in f["text"]]
+            yield pd.DataFrame({"pid": f["pid"], "wide": found})
+
+    return texts.mapInPandas(sets, "pid long, wide array<long>")
+
+
 def same_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -257,10 +293,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("pid"), F.col("b").alias("root"))
 
 
-def classes(found: DataFrame, docs: DataFrame, cut: Callable, size: int, percent: int) -> DataFrame:
+def classes(found: DataFrame, docs: DataFrame, cut: Callable, size: int, percent: int, short_items: bool = False) -> DataFrame:
     """(pid, root, copies_of) of every item with shingles: root names its component, copies_of its class of equal sets.
 
-    found: the stashed result of `items`.
+    found: the stashed result of `items`. Members of large groups are compared by wide signatures before their full
+    sets; short items (paragraphs) have sets that are no larger than these, so their sets are compared at once.
     """
     full = found.filter("n_shingles > 0")
     first = full.groupBy("print").agg(F.min("pid").alias("copies_of"))
@@ -296,17 +333,22 @@ def classes(found: DataFrame, docs: DataFrame, cut: Callable, size: int, percent
     at = stash(at.join(apart.select("bucket"), "bucket"))
     texts = _texts_of(at.select("pid").distinct(), one, docs, cut, size)
     short = one.select("pid", F.struct(*[f"s{i}" for i in range(LONGS)]).alias("short"), "bands")
-    signed = at.join(stash(short.join(wide_signatures(texts, size), "pid")), "pid")
+    full_or_wide = shingle_arrays(texts, size) if short_items else wide_signatures(texts, size)
+    signed = at.join(stash(short.join(full_or_wide, "pid")), "pid")
     x, y = (signed.select("bucket", "pid", "root", *[F.col(c).alias(f"{c}_{k}") for c in ("short", "wide", "bands")]).alias(k) for k in "xy")
     close = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))
     close = close & (estimated("short_x", "short_y") >= bound)
-    close = close & (estimated("wide_x", "wide_y", WIDE_HASHES) >= least_estimate(percent, WIDE_HASHES))
     # a pair that shares several buckets is a row of the first one only
     close = close & (F.get(F.array_intersect("bands_x", "bands_y"), F.lit(0)) == F.col("x.bucket"))
+    if short_items:
+        both = F.size(F.array_intersect("wide_x", "wide_y"))
+        close = close & (100 * both >= percent * (F.size("wide_x") + F.size("wide_y") - both))
+    else:
+        close = close & (estimated("wide_x", "wide_y", WIDE_HASHES) >= least_estimate(percent, WIDE_HASHES))
     rest = x.join(y, close).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b"))
     tried = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = stash(rest.join(tried, ["a", "b"], "left_anti"))
-    more = stash(verified(rest, texts, size, percent))
+    more = rest if short_items else stash(verified(rest, texts, size, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
     named = own.join(roots, "pid", "left").select(F.col("pid").alias("copies_of"), F.coalesce("root", "pid").alias("root"))
