@@ -147,7 +147,7 @@ def paragraphs(least: int):
     return cut
 
 
-def _texts(docs):
+def texts(docs):
     """The columns that are read; hash and doc_id tell rows apart later."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
 
@@ -156,7 +156,7 @@ def items(docs: DataFrame, cut: Callable, size: int, bands: int, rows: int) -> D
     """One row for each item that `cut` finds in the texts; pid numbers them. Stash it before use: pid is made here."""
     if bands * rows > HASHES:
         raise ValueError(f"{bands} bands of {rows} need more than {HASHES} hash functions")
-    return _texts(docs).mapInPandas(lambda frames: _numbered(frames, cut, size, bands, rows), ITEM)
+    return texts(docs).mapInPandas(lambda frames: _numbered(frames, cut, size, bands, rows), ITEM)
 
 
 def matches(a: str, b: str, hashes: int = HASHES):
@@ -261,7 +261,7 @@ def item_texts(wanted: DataFrame, docs: DataFrame, cut: Callable, size: int) ->
 
     # the items of one document that are wanted: bounded by that document
     asked = wanted.groupBy(F.col("hash").alias("h"), F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("pid", "item", "print")).alias("asked"))
-    found = _texts(docs).join(asked, (F.col("hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    found = texts(docs).join(asked, (F.col("hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("of")))
     return found.select("text", "asked").mapInPandas(find, "pid long, text string").dropDuplicates(["pid"])
 
 
