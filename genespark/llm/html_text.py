@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,14 +24,44 @@ _SKIPPED = frozenset(
     "audio video canvas".split()
 )
 _CONTENT = frozenset("article main".split())
-#: Words of class, id or role that mark menus, notices, adverts, comments and the like.
-_MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments commentlist "
-    "reply replies respond disqus sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer cookie "
-    "cookies consent notice notices gdpr newsletter subscribe signup popup modal overlay share sharing social related "
-    "recommended widget toolbar search login pagination pager complementary contentinfo dialog alert alertdialog tablist".split()
+#: Whole tokens of class, id or role that mark adverts, comments and lists of other articles, with any article in them.
+_FOREIGN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist reply replies "
+    "respond disqus related recommended".split()
 )
+_FORMS = frozenset("newsletter subscribe signup search login".split())
+#: Those that count inside an article or main element too, and on headings.
+_EVERYWHERE = (_FOREIGN - {"related", "recommended"}) | _FORMS
+#: Menus, notices and the like; an article or main element inside is kept.
+_MARKS = _FOREIGN | _FORMS | frozenset(
+    "banner sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer cookie cookies consent notice notices "
+    "gdpr popup modal overlay share sharing social widget toolbar pagination pager complementary contentinfo dialog alert "
+    "alertdialog tablist".split()
+)
+_ROLES = frozenset("navigation complementary contentinfo search menu menubar tablist dialog alertdialog toolbar".split())
 _PAGE_ONLY = frozenset("header masthead".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Compounds are marks with such words before and after; any other word makes a name of its own (has-sidebar, related-work).
+_BEFORE = frozenset("main site primary secondary left right top bottom global".split())
+_AFTER = frozenset("area bar box button buttons item items left links list posts right slot unit".split())
+_AROUND = frozenset("container section wrap wrapper".split())
+_SOFT, _HARD = 1, 2
+
+
+@lru_cache(maxsize=10_000)
+def _marks_of(token: str) -> frozenset[str]:
+    """The marks that a token consists of, none if it says anything else."""
+    if token in _MARKS or token in _PAGE_ONLY:
+        return frozenset((token,))
+    parts = [w for w in re.split(r"[-_]+", token) if w]
+    while parts and parts[0] in _BEFORE:
+        del parts[0]
+    around = False
+    while parts and (parts[-1] in _AFTER or parts[-1] in _AROUND):
+        around |= parts.pop() in _AROUND
+    marks = frozenset(parts)
+    # a wrapper named after a side bar or menu may hold the page, one named after adverts or comments doesn't
+    return marks if marks and marks <= (_EVERYWHERE if around else _MARKS) else frozenset()
 
 
 @dataclass
@@ -49,14 +80,14 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, skipped, region, inside article or main
+        self.open: list[tuple[str, int, int, bool]] = []  # tag, skipped (_SOFT: but for articles), region, inside article or main
         self.lines: list[Line] = []
         self.regions = 0
         self.parts, self.tags, self.linked = [], 0, 0
 
     @property
     def top(self):
-        return self.open[-1] if self.open else ("", False, 0, False)
+        return self.open[-1] if self.open else ("", 0, 0, False)
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
@@ -79,7 +110,9 @@ class _Lines(HTMLParser):
             return
         _, skipped, region, content = self.top
         within = content or tag in _CONTENT
-        skipped = skipped or tag in _SKIPPED or self._marked(tag, attrs, within)
+        if tag in _CONTENT and skipped == _SOFT:
+            skipped = 0
+        skipped = max(skipped, _HARD if tag in _SKIPPED else self._marked(tag, attrs, within))
         if tag in _CONTENT or (not content and tag in ("div", "section", "td", "body")):
             self.regions += 1
             region = self.regions
@@ -93,16 +126,22 @@ class _Lines(HTMLParser):
     @staticmethod
     def _marked(tag, attrs, within):
         if tag in ("html", "body"):
-            return False
-        if tag == "header":
-            return not within
+            return 0
         a = dict(attrs)
         if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style") or ""):
-            return True
-        said = {w for k in ("class", "id", "role") for w in re.split(r"[^a-z]+", (a.get(k) or "").lower())}
+            return _HARD
+        if tag == "header":
+            return 0 if within else _SOFT
+        said = {w for k in ("class", "id", "role") for token in (a.get(k) or "").lower().split() for w in _marks_of(token)}
+        if said & (_EVERYWHERE if within and tag not in _CONTENT else _FOREIGN) and (tag not in _HEADINGS or said & _EVERYWHERE):
+            return _HARD
         if tag in _CONTENT:
-            return bool(said & {"comment", "comments", "reply", "ad", "ads", "advert", "related"})
-        return bool(said & _MARKS) or not within and bool(said & _PAGE_ONLY)
+            return 0
+        if tag in _HEADINGS:
+            return _SOFT if said & _EVERYWHERE else 0
+        if within:
+            return _HARD if _ROLES & set((a.get("role") or "").lower().split()) else 0
+        return _SOFT if said else 0
 
     def handle_endtag(self, tag):
         if tag in _VOID:

@@ -304,6 +304,25 @@ def test_page_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+BODY = "<p>A long enough paragraph of plain text without any markup.</p><p>No.</p>"
+WRAPPED = [
+    f"<div class='content-sidebar-wrap'><main>{BODY}</main><div class=sidebar>s</div></div>",
+    f"<div class='layout has-sidebar'>{BODY}</div>",
+    f"<div class='no-ads'>{BODY}</div>",
+    f"<div id='search-results'>{BODY}</div><div class='main-nav'>m</div><div class='cookie-banner'>c</div>",
+    f"<div class='sidebar'>x<article>{BODY}</article></div><div class='related-posts'><article>other</article></div>",
+    f"<div class='widget'><main>{BODY}<div class='ad-container'>buy</div><div id='comment-list'>c</div></main></div>",
+]
+PARTS = "<article><h2 id='navigation'>H</h2><section id='related-work'><p>r</p></section><p class='notice'>n</p><p class='share'>s</p><div class='ads'>a</div><div role='navigation'>m</div></article>"
+
+
+def test_names_that_only_contain_a_mark_keep_their_text():
+    for html in WRAPPED:
+        assert html_text.main_text(html) == "A long enough paragraph of plain text without any markup.\n\nNo.", html
+    assert html_text.main_text(PARTS) == "H\n\nr\n\nn\n\ns"
+    assert html_text.main_text("<div><h2 id='menu'>H</h2><p>text</p></div>") == "H\n\ntext"
+
+
 def test_a_very_long_page_is_kept_whole():
     body = "".join(f"<p>paragraph {k} of many</p>" for k in range(20_000))
     assert html_text.main_text(f"<nav>n</nav><article>{body}</article>").count("\n\n") == 19_999
