@@ -5,8 +5,10 @@ import os
 from pyspark.sql import SparkSession
 
 
-def session(cores=None, shuffle_partitions=None, app="genespark", memory=None):
-    """A session with adaptive plans and UTC. Master, shuffle width and memory are the cluster's unless they are given."""
+def session(cores=None, shuffle_partitions=None, app="genespark", memory=None, **options):
+    """A session with adaptive plans and UTC. Master, shuffle width and memory are the cluster's unless they are given.
+
+    options: further settings, with _ for the dots of their names."""
     cores = cores or os.environ.get("BENCH_CPUS")
     builder = (
         SparkSession.builder.appName(app)
@@ -23,6 +25,8 @@ def session(cores=None, shuffle_partitions=None, app="genespark", memory=None):
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if memory:
         builder = builder.config("spark.driver.memory", memory)
+    for name, value in options.items():
+        builder = builder.config(name.replace("_", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

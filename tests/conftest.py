@@ -9,8 +9,8 @@ from genespark.session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session(cores="8", shuffle_partitions=8, app="tests", memory="8g")
+def spark(tmp_path_factory):
+    s = session(cores="8", shuffle_partitions=8, app="tests", memory="8g", spark_checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 
