@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -16,13 +17,12 @@ def documents(spark, sf_dir):
 
 
 def shared_folder(spark) -> str:
-    """The folder that all executors share. Only a local master, as in tests, may fall back to a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir of the session; a plain local master may do with the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="genespark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
     return folder.rstrip("/")
 
 
@@ -33,6 +33,42 @@ def stash(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_numbers_from() -> int:
+    """The first number of this task's rows: tasks have eight billion each. Stash what is numbered before it is used twice."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() << 33
+
+
+def slices(batches, column: str, most: int):
+    """The batches in slices that hold about `most` bytes of one string or binary column, a row at least."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def attach(rows, groups, keys: list[str], spread: str):
+    """rows with the other columns of their group (null if it is not there). groups: one row for each key, with group_size.
+
+    A group of over a thousandth of all rows in groups is one of a thousand at most, so these are broadcast; the others
+    are joined by key. Rows of the large ones are dealt by `spread` then, which is any column that tells rows apart.
+    """
+    more = [c for c in groups.columns if c not in keys]
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    large = groups.filter(F.col("group_size") * 1000 > total)
+    hot = large.select(*keys, F.struct(*more).alias("_hot"))
+    cold = groups.filter(F.col("group_size") * 1000 <= total).select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*more).alias("_cold"))
+    out = rows.join(F.broadcast(hot), keys, "left")
+    out = out.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1000))).cast("long"))
+    out = out.join(cold, [*keys, "_salt"], "left").withColumn("_of", F.coalesce("_hot", "_cold"))
+    return out.select(*rows.columns, *[F.col(f"_of.{c}").alias(c) for c in more])
+
+
 def words(text: str | None) -> list[bytes]:
     """Words between the six ASCII white-space characters, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
-from genespark.llm import decontaminate, html_text, near_dedup, packing, quality_lm, quality_rules, secrets, substring_dedup, token_file, url_filter
+import numpy as np
+from pyspark.sql import functions as F
+
+from genespark.llm import collocations, decontaminate, exact_dedup, html_text, near_dedup, packing, periodic, quality_lm, quality_rules, secrets, substring_dedup, token_file, url_filter
 from genespark.llm.common import documents, shared_folder
 
 QUERIES = {}
@@ -89,3 +93,75 @@ def op9_best_fit_packing(spark, sf_dir):
 @query
 def op10_html_text(spark, sf_dir):
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+ORACLES["op11_exact_dedup"] = r"""
+WITH plain AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+sets AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM plain GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256, CAST(strlen(t) AS BIGINT) AS n_bytes
+FROM plain JOIN sets USING (t)"""
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.top_phrases(collocations.phrases(documents(spark, sf_dir)))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS k)
+  WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(generate_series(1, k)) AS i FROM candidates), (SELECT unnest([2, 3]) AS m)
+  WHERE m < k AND i + m - 1 <= k),
+longest AS (SELECT lang, phrase, max(a) AS over FROM inner_parts GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN longest USING (lang, phrase) JOIN total USING (lang)
+WHERE over IS NULL OR 100 * over < 80 * a
+QUALIFY rank <= 2000"""
+
+
+def periodic_tail(doc_id, n):
+    """Of every tenth document by the checksum of its id, which word stands at each place once its tail repeats."""
+    h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    place = np.arange(n)
+    place[a:] = a + (place[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return place
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(documents(spark, sf_dir), rewrite=periodic_tail)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", periodic.longest_exponent())
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
