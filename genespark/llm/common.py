@@ -65,7 +65,8 @@ def attach(rows, groups, keys: list[str], spread: str):
     cold = groups.filter(F.col("group_size") * 1000 <= total).select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*more).alias("_cold"))
     out = rows.join(F.broadcast(hot), keys, "left")
     out = out.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1000))).cast("long"))
-    out = out.join(cold, [*keys, "_salt"], "left").withColumn("_of", F.coalesce("_hot", "_cold"))
+    # by a shuffle at every size
+    out = out.join(cold.hint("merge"), [*keys, "_salt"], "left").withColumn("_of", F.coalesce("_hot", "_cold"))
     return out.select(*rows.columns, *[F.col(f"_of.{c}").alias(c) for c in more])
 
 

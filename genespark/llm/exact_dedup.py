@@ -25,7 +25,7 @@ BASES = (1_103_515_245, 1_566_083_941, 69_621 * 12_345, 1_812_433_253 % PRIME)
 #: Bytes of a chunk, and of the windows that are summed at once.
 CHUNK, WINDOW = 1 << 20, 1 << 18
 #: Members of a group that are compared with its first row in one stream.
-STREAM = 256
+STREAM = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _KEY = ["f0", "f1", "n_bytes"]
