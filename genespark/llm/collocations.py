@@ -18,24 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from genespark.llm.common import row_numbers_from, slices, stash
+from genespark.llm.common import release, row_numbers_from, slices, stash
 
 LEAST, PERCENT, TOP, MOST_WORDS = 30, 80, 2000, 4
 #: Bytes of text in a unit.
-UNIT = 1 << 22
+UNIT = 1 << 24
 #: Ids up to HEAD are in blocks of NEAR ids (tiles of 2^20 cells, counted densely once they are full enough), others in blocks of FAR.
 HEAD, NEAR, FAR = 1 << 13, 1 << 10, 1 << 13
 #: Tasks for the first sums of the tile of the most frequent words; others get fewer, as their ids fall.
 SALTS = 64
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _MARK = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz" + b"." * len(_BREAKS))
-_LONGS = pa.list_(pa.int64())
-_DICTIONARY = pa.schema([("unit", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("local", pa.int64()), ("n", pa.int64()), ("ids", _LONGS)])
-_TILES = pa.schema([("lang", pa.string()), ("ti", pa.int64()), ("tj", pa.int64()), ("salt", pa.int64()), ("unit", pa.int64()), ("cells", _LONGS), ("counts", _LONGS)])
-_SUMS = pa.schema([("lang", pa.string()), ("ti", pa.int64()), ("tj", pa.int64()), ("cells", _LONGS), ("counts", _LONGS)])
-_FOUND = pa.schema([("lang", pa.string()), ("unit", pa.int64()), ("keys", _LONGS), ("ids", _LONGS)])
-_UNITS = pa.schema([("lang", pa.string()), ("unit", pa.int64()), ("ids", _LONGS)])
-_SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", _LONGS: "array<long>"}
+_DICTIONARY = pa.schema([("unit", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("local", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+_TILES = pa.schema([("lang", pa.string()), ("ti", pa.int64()), ("tj", pa.int64()), ("salt", pa.int64()), ("unit", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
+_SUMS = pa.schema([("lang", pa.string()), ("ti", pa.int64()), ("tj", pa.int64()), ("cells", pa.binary()), ("counts", pa.binary())])
+_FREQUENT = pa.schema([("lang", pa.string()), ("ti", pa.int64()), ("tj", pa.int64()), ("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("f", pa.int64())])
+_FOUND = pa.schema([("unit", pa.int64()), ("ti", pa.int64()), ("tj", pa.int64()), ("cells", pa.binary()), ("new", pa.binary())])
+_UNITS = pa.schema([("lang", pa.string()), ("unit", pa.int64()), ("ids", pa.binary())])
+_SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -47,6 +47,25 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
+def _packed(x: np.ndarray, width: int = 4) -> bytes:
+    """Whole numbers as planes of their bytes, lowest first: the higher ones are mostly zeros, which shuffles and files compress."""
+    if len(x) and int(x.max()) >> (8 * width):
+        raise ValueError(f"{int(x.max())} does not fit {width} bytes")
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _unpacked(raw: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _packed_cells(cells: np.ndarray) -> bytes:
+    return _packed(np.diff(cells, prepend=0))
+
+
+def _unpacked_cells(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw))
+
+
 class _Codes(dict):
     def __missing__(self, word):
         self[word] = code = len(self)
@@ -73,8 +92,8 @@ def encoded(docs: DataFrame) -> DataFrame:
                 if not n:
                     continue
                 dictionary = [pa.array(np.full(n, unit)), pa.array([lang] * n, pa.string()), pa.array(ws, pa.binary()), pa.array(np.arange(1, n + 1)), pa.array(many[1:])]
-                yield pa.RecordBatch.from_arrays([*dictionary, pa.nulls(n, _LONGS)], schema=_DICTIONARY)
-                yield _batch([(unit, lang, None, None, None, codes)], _DICTIONARY)
+                yield pa.RecordBatch.from_arrays([*dictionary, pa.nulls(n, pa.binary())], schema=_DICTIONARY)
+                yield _batch([(unit, lang, None, None, None, _packed(codes))], _DICTIONARY)
                 unit += 1
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
@@ -112,13 +131,12 @@ def _first(block: np.ndarray) -> np.ndarray:
 
 
 def _unit_tiles(units: DataFrame) -> DataFrame:
-    """What each unit sends to each tile: the cells of its pairs of neighbours, with counts."""
+    """What each unit sends to each tile: the cells of its pairs of neighbours, with counts. Ids of units are one more than the id, 0 a break."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                lang, unit = batch.column("lang")[k].as_py(), batch.column("unit")[k].as_py()
-                ids = batch.column("ids")[k].values.to_numpy()
+            for lang, unit, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "unit", "ids"))):
+                ids = _unpacked(packed) - 1
                 a, b = ids[:-1], ids[1:]
                 real = (a >= 0) & (b >= 0)
                 keys, counts = np.unique(_keys(a[real], b[real]), return_counts=True)
@@ -132,12 +150,11 @@ def _unit_tiles(units: DataFrame) -> DataFrame:
                 at = np.flatnonzero(np.concatenate(([True], (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1]))))
                 salts = np.maximum(1, SALTS // ((1 + ti[at]) * (1 + tj[at])))
                 salt = (unit * 2654435761 % 1000003) % salts
-                cut = pa.array(np.append(at, len(cells)).astype(np.int32))
-                arrays = [pa.array([lang] * len(at), pa.string()), pa.array(ti[at]), pa.array(tj[at]), pa.array(salt), pa.array(np.full(len(at), unit))]
-                lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (cells, counts)]
-                whole = pa.RecordBatch.from_arrays([*arrays, *lists], schema=_TILES)
-                for lo in range(0, len(at), 4096):
-                    yield whole.slice(lo, 4096)
+                ends = np.append(at[1:], len(cells)).tolist()
+                rows = zip(ti[at].tolist(), tj[at].tolist(), salt.tolist(), at.tolist(), ends)
+                out = [(lang, i, j, s, unit, _packed_cells(cells[x:y]), _packed(counts[x:y])) for i, j, s, x, y in rows]
+                for lo in range(0, len(out), 4096):
+                    yield _batch(out[lo : lo + 4096], _TILES)
 
     return units.mapInArrow(count, _ddl(_TILES))
 
@@ -155,115 +172,142 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]], dense: bool) -> tuple[np
     return cells[first], np.add.reduceat(counts, first)
 
 
-def _sum_tiles(tiles: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """One row for each tile (and salt, if it is among the keys): cells with their sums of `least` or more."""
+def _sum_tiles(tiles: DataFrame, keys: list[str], width: int, least: int | None = None) -> DataFrame:
+    """One row for each tile (and salt, if it is among the keys) with the sums of its cells; with `least` one for each frequent cell.
+
+    width: bytes of the counts that come in; sums go out in eight.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parts, held = None, [], 0
 
+        def near():
+            return here[1] < HEAD // NEAR and here[2] < HEAD // NEAR
+
         def row():
-            cells, counts = _summed(parts, here[1] < HEAD // NEAR and here[2] < HEAD // NEAR)
-            some = counts >= least
-            return _batch([(*here[:3], cells[some], counts[some])], _SUMS)
+            cells, counts = _summed(parts, near())
+            if least is None:
+                return _batch([(*here[:3], _packed_cells(cells), _packed(counts, 8))], _SUMS)
+            cells, counts = cells[counts >= least], counts[counts >= least]
+            lang, ti, tj = here
+            a, b = _first(np.int64(ti)) + cells // FAR, _first(np.int64(tj)) + cells % FAR
+            n = len(cells)
+            columns = [pa.array([lang] * n, pa.string()), pa.array(np.full(n, ti)), pa.array(np.full(n, tj)), *map(pa.array, (cells, a, b, counts))]
+            return pa.RecordBatch.from_arrays(columns, schema=_FREQUENT)
 
         for batch in batches:
-            names = [batch.column(c).to_pylist() for c in keys]
-            for k, key in enumerate(zip(*names)):
+            for *key, cells, counts in zip(*(batch.column(c).to_pylist() for c in [*keys, "cells", "counts"])):
                 if key != here:
                     if here is not None:
                         yield row()
                     here, parts, held = key, [], 0
-                parts.append((batch.column("cells")[k].values.to_numpy(), batch.column("counts")[k].values.to_numpy()))
+                parts.append((_unpacked_cells(cells), _unpacked(counts, width)))
                 held += len(parts[-1][0])
                 if held > 2 * len(parts[0][0]) + (1 << 20):
-                    parts = [_summed(parts, key[1] < HEAD // NEAR and key[2] < HEAD // NEAR)]
+                    parts = [_summed(parts, near())]
                     held = len(parts[0][0])
         if here is not None:
             yield row()
 
-    dealt = tiles.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "cells", "counts").mapInArrow(add, _ddl(_SUMS))
+    dealt = tiles.select(*keys, "cells", "counts").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(add, _ddl(_SUMS if least is None else _FREQUENT))
 
 
 def frequent_pairs(tiles: DataFrame, least: int) -> DataFrame:
     """lang, ti, tj, cell, a, b, f, id of the pairs that occur `least` times or more."""
-    sums = _sum_tiles(_sum_tiles(tiles, ["lang", "ti", "tj", "salt"], 1), ["lang", "ti", "tj"], least)
-    rows = sums.select("lang", "ti", "tj", F.explode(F.arrays_zip("cells", "counts")).alias("x"))
-    near = HEAD // NEAR
+    sums = _sum_tiles(_sum_tiles(tiles, ["lang", "ti", "tj", "salt"], 4), ["lang", "ti", "tj"], 8, least)
+    return stash(ranked(stash(sums), ["a", "b"]))
 
-    def first(t):
-        return F.when(F.col(t) < near, F.col(t) * NEAR).otherwise(HEAD + (F.col(t) - near) * FAR)
 
-    cell = F.col("x.cells")
-    rows = rows.select(
-        "lang", "ti", "tj", cell.alias("cell"), (first("ti") + F.floor(cell / FAR)).alias("a"), (first("tj") + cell % FAR).alias("b"), F.col("x.counts").alias("f"),
-    )
-    return stash(ranked(stash(rows), ["a", "b"]))
+def _runs(*columns: np.ndarray):
+    """(from, to) of stretches of rows that agree in all columns."""
+    n = len(columns[0])
+    at = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))) if n else []
+    return zip(at, [*at[1:], n])
 
 
 def _recoded(units: DataFrame, found: DataFrame, pairs: bool) -> DataFrame:
-    """Units whose ids are those of `found` (lang, unit, keys, ids): of single codes, or of pairs of neighbours."""
-    none = F.lit(None).cast("array<long>").alias("keys")
-    both = found.select("unit", F.lit(0).alias("kind"), "lang", "keys", "ids").unionByName(units.select("unit", F.lit(1).alias("kind"), "lang", none, "ids"))
+    """Units in the ids of `found`: (unit, local, id) of single codes, or (unit, ti, tj, cells, new) of pairs of neighbours."""
+    empty = {"ids": "binary", "lang": "string"} | ({"ti": "long", "tj": "long", "cells": "binary", "new": "binary"} if pairs else {"local": "long", "id": "long"})
+
+    def padded(table, kind):
+        return table.select("unit", F.lit(kind).alias("kind"), *[F.col(c) if c in table.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()])
 
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, known = None, []
         for batch in batches:
-            for k, (unit, kind) in enumerate(zip(batch.column("unit").to_pylist(), batch.column("kind").to_pylist())):
-                if unit != here:
-                    here, known = unit, []
-                ids = batch.column("ids")[k].values.to_numpy()
-                if kind == 0:
-                    known.append((batch.column("keys")[k].values.to_numpy(), ids))
+            unit, kind = batch.column("unit").to_numpy(), batch.column("kind").to_numpy()
+            for lo, hi in _runs(unit, kind):
+                if unit[lo] != here:
+                    here, known = unit[lo], []
+                part = batch.slice(lo, hi - lo)
+                if kind[lo] == 0 and not pairs:
+                    known.append((part.column("local").to_numpy(), part.column("id").to_numpy()))
+                elif kind[lo] == 0:
+                    for ti, tj, cells, new in zip(*(part.column(c).to_pylist() for c in ("ti", "tj", "cells", "new"))):
+                        cells = _unpacked_cells(cells)
+                        known.append((_keys(_first(np.int64(ti)) + cells // FAR, _first(np.int64(tj)) + cells % FAR), _unpacked(new)))
                 elif known:
                     keys, new = (np.concatenate(x) for x in zip(*known))
                     order = np.argsort(keys)
                     keys, new = keys[order], new[order]
+                    asked = _unpacked(part.column("ids")[0].as_py())
                     if pairs:
-                        a, b = ids[:-1], ids[1:]
+                        a, b = asked[:-1] - 1, asked[1:] - 1
                         asked = np.where((a >= 0) & (b >= 0), _keys(np.maximum(a, 0), np.maximum(b, 0)), -1)
-                    else:
-                        asked = ids
                     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                    out = np.where(keys[at] == asked, new[at], -1)
+                    out = np.where(keys[at] == asked, new[at] + 1, 0)
                     # one break between stretches is enough
-                    out = out[np.concatenate(([True], (out[1:] >= 0) | (out[:-1] >= 0)))] if len(out) else out
-                    if (out >= 0).any():
-                        yield _batch([(batch.column("lang")[k].as_py(), unit, out)], _UNITS)
+                    out = out[np.concatenate(([True], (out[1:] > 0) | (out[:-1] > 0)))] if len(out) else out
+                    if out.any():
+                        yield _batch([(part.column("lang")[0].as_py(), int(here), _packed(out))], _UNITS)
 
+    both = padded(found, 0).unionByName(padded(units, 1))
     return both.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(translate, _ddl(_UNITS))
 
 
 def _found_in_units(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Which frequent pairs (as keys) each unit holds, and their ids: the rows of a tile meet the tile's frequent cells."""
+    """Which frequent pairs each unit holds, and their ids: the rows of a tile meet the tile's frequent cells."""
     salts = F.greatest(F.lit(1).cast("long"), F.floor(SALTS / ((1 + F.col("ti")) * (1 + F.col("tj")))).cast("long"))
-    cells = pairs.groupBy("lang", "ti", "tj").agg(F.sort_array(F.collect_list(F.struct("cell", "id"))).alias("x"))
-    known = cells.select(
-        "lang", "ti", "tj", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("unit"),
-        F.col("x.cell").alias("cells"), F.col("x.id").alias("ids"),
-    )
     keys = ["lang", "ti", "tj", "salt"]
-    both = known.unionByName(tiles.select(*keys, "unit", "cells", F.lit(None).cast("array<long>").alias("ids")))
+    none = F.lit(None).cast("long")
+    known = pairs.select("lang", "ti", "tj", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), none.alias("unit"), "cell", "id", F.lit(None).cast("binary").alias("cells"))
+    both = known.unionByName(tiles.select(*keys, "unit", none.alias("cell"), none.alias("id"), "cells"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = known = ids = None
+        here, parts, known, ids = None, [], None, None
         for batch in batches:
             out = []
-            names = [batch.column(c).to_pylist() for c in keys]
-            for k, key in enumerate(zip(*names)):
-                unit, cells = batch.column("unit")[k].as_py(), batch.column("cells")[k].values.to_numpy()
-                if unit is None:
-                    here, known, ids = key, cells, batch.column("ids")[k].values.to_numpy()
-                elif key == here:
-                    at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
-                    hit = known[at] == cells
+            place = [batch.column(c).to_pylist() for c in keys]
+            unit = batch.column("unit").to_pylist()
+            cell, new = (batch.column(c).fill_null(0).to_numpy() for c in ("cell", "id"))
+            cells = batch.column("cells")
+            k = 0
+            while k < len(unit):
+                key = tuple(p[k] for p in place)
+                if key != here:
+                    here, parts, known = key, [], None
+                if unit[k] is None:
+                    # the frequent cells of a tile come first, in order
+                    to = k
+                    while to < len(unit) and unit[to] is None and tuple(p[to] for p in place) == here:
+                        to += 1
+                    parts.append((cell[k:to], new[k:to]))
+                    k = to
+                    continue
+                if known is None and parts:
+                    known, ids = (np.concatenate(x) for x in zip(*parts))
+                    parts = []
+                if known is not None:
+                    mine = _unpacked_cells(cells[k].as_py())
+                    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                    hit = known[at] == mine
                     if hit.any():
-                        ti, tj = np.int64(key[1]), np.int64(key[2])
-                        a, b = _first(ti) + cells[hit] // FAR, _first(tj) + cells[hit] % FAR
-                        out.append((key[0], unit, _keys(a, b), ids[at[hit]]))
+                        out.append((unit[k], key[1], key[2], _packed_cells(mine[hit]), _packed(ids[at[hit]])))
+                k += 1
             yield _batch(out, _FOUND)
 
-    return both.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first("unit")).mapInArrow(meet, _ddl(_FOUND))
+    return both.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first("unit"), "cell").mapInArrow(meet, _ddl(_FOUND))
 
 
 def _with_cut(table: DataFrame, cuts: list[tuple[str, str]]) -> DataFrame:
@@ -288,17 +332,19 @@ def phrases(docs: DataFrame, least: int = LEAST, percent: int = PERCENT) -> Data
     words = stash(ranked(stash(counted.filter(F.col("f") >= least)), ["word"]))
     total = of_units.groupBy("lang").agg(F.sum("n").alias("n"))
 
-    ids = of_units.select("unit", "lang", "word", "local").join(words.select("lang", "word", "id"), ["lang", "word"])
-    # the words of one unit: bounded by the unit
-    ids = ids.groupBy("lang", "unit").agg(F.collect_list(F.struct("local", "id")).alias("x")).select("lang", "unit", F.col("x.local").alias("keys"), F.col("x.id").alias("ids"))
-    units = stash(_recoded(found.filter("ids is not null"), ids, pairs=False))
+    total = stash(total)
+    ids = of_units.select("unit", "lang", "word", "local").join(words.select("lang", "word", "id"), ["lang", "word"]).select("unit", "local", "id")
+    units = stash(_recoded(found.filter("ids is not null").select("lang", "unit", "ids"), ids, pairs=False))
+    release(found)
 
     levels = []
     for size in range(2, MOST_WORDS + 1):
         tiles = stash(_unit_tiles(units))
         levels.append(frequent_pairs(tiles, least))
+        was = units
         if size < MOST_WORDS:
             units = stash(_recoded(units, _found_in_units(tiles, levels[-1]), pairs=True))
+        release(tiles, was)
     two, three, four = levels
 
     # of each phrase: how often its first and last word occur, its first and last two, its last word

@@ -30,7 +30,15 @@ def stash(df):
     """Write a table into the shared folder and read it back: the lineage ends there, and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/genespark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def release(*tables):
+    """Empty stashed tables once what was made of them is written itself."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(t.stashed_at)
 
 
 def row_numbers_from() -> int:
