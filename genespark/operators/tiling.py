@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from genespark.scratch import stash
+
 TILE = 1 << 20
 RANK_TILES = 256
 HASH_SHIFT = 48
@@ -195,22 +197,142 @@ def _jump(p, gap):
 
 
 def _exits(p, gap):
-    """Last anchor of the tile when the chain enters at each position."""
-    nxt = _jump(p, gap)
-    last = np.empty(len(p), dtype=np.int64)
-    for i in range(len(p) - 1, -1, -1):
-        last[i] = p[i] if nxt[i] == len(p) else last[nxt[i]]
-    return last
+    """Last anchor of the tile when the chain enters at each position, by doubling the steps."""
+    n = len(p)
+    to = np.minimum(_jump(p, gap), n)
+    to = np.where(to == n, np.arange(n), to)
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return p[to]
+        to = further
+
+
+#: A step function holds what lies within the gap of its tile's start; up to this share of a tile a chromosome's functions are chained at once.
+SHORT = 64
 
 
 def greedy_anchors(sites, keys, pos, gap, size=TILE):
     """Anchor of every position: the first position is an anchor, and so is each next one past anchor + gap.
 
-    The scan is sequential, yet a tile only matters to its successor through its last anchor.  Each tile
-    first reports, for every possible entry, the anchor it would leave with (a step function); those short
-    step functions are chained per key; then all tiles resolve their anchors at once.
+    The scan is sequential, yet a tile only matters to its successor through its last anchor.  Where the gap is short
+    against the tile, each tile reports, for every possible entry, the anchor it would leave with (a step function);
+    those short step functions are chained per key; then all tiles resolve their anchors at once.  For any other gap
+    the functions are rows, composed pairwise up a tree of tiles (``_anchors_by_tree``).
     """
     keys = list(keys)
+    if gap * SHORT <= size:
+        return _anchors_by_chain(sites, keys, pos, gap, size)
+    p = sites.select(*keys, F.col(pos).cast("long").alias(pos)).distinct()
+    anchors = _anchors_by_tree(p, keys, pos, gap, size)
+    marked = p.join(anchors.withColumn("_own", F.col(pos)), [*keys, pos], "left")
+    return nearest(marked, keys, pos, [], "_own", "anchor", size).select(*keys, pos, "anchor")
+
+
+def nearest(rows, keys, at, ties, value, out, size=TILE, forward=False):
+    """Last non-NULL ``value`` up to each row in (at, ties) order, or the first one from it on; tile borders are crossed."""
+    t = _tiled(rows, at, size)
+    direction = F.desc if forward else F.asc
+    w = W.partitionBy(*keys, "_tile").orderBy(direction(at), *[direction(c) for c in ties]).rowsBetween(W.unboundedPreceding, 0)
+    known = F.when(F.col(value).isNotNull(), F.col(at))
+    edge = F.min_by(value, known) if forward else F.max_by(value, known)
+    carry = t.groupBy(*keys, "_tile").agg(edge.alias("_edge"))
+    before = W.partitionBy(*keys).orderBy(direction("_tile")).rowsBetween(W.unboundedPreceding, -1)
+    carry = carry.select(*keys, "_tile", F.last("_edge", ignorenulls=True).over(before).alias("_carry"))
+    return (
+        t.withColumn("_local", F.last(value, ignorenulls=True).over(w))
+        .join(carry, [*keys, "_tile"])
+        .withColumn(out, F.coalesce("_local", "_carry"))
+        .drop("_local", "_carry", "_tile")
+    )
+
+
+def _anchors_by_tree(p, keys, pos, gap, size):
+    """The anchors among the distinct positions ``p``, for any gap.
+
+    ``exit`` of a position is where the chain that enters a group of tiles there comes out of it: the first anchor past
+    the group.  In a group no wider than the gap that is the next position past the gap; two neighbouring groups compose by
+    a look-up of the left one's exits among the right one's entries.  Only positions that can be entries of a group have a
+    row (those within the gap of its start, and the next one), so wider groups have fewer.  Going down again, each
+    group passes its entry on.  Every step is a join by position, so no task holds a chromosome, or a tile of any width.
+    """
+    far = p.select(*keys, (F.col(pos) + gap).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_p"), F.col(pos).alias("_of"))
+    here = p.select(*keys, F.col(pos).alias("_at"), F.lit(0).alias("_kind"), F.col(pos).alias("_p"), F.lit(None).cast("long").alias("_of"))
+    after = nearest(here.unionByName(far), keys, "_at", ["_kind"], "_p", "_exit", size, forward=True)
+    after = after.filter("_kind = 1").select(*keys, F.col("_of").alias(pos), "_exit")
+    table = with_neighbour(after, keys, pos, pos, "_before", size)
+
+    def group(c, width):
+        return F.floor(F.col(c) / F.lit(width)).cast("long")
+
+    def entries(t, width):
+        start = group(pos, width) * width
+        return t.filter(F.col("_before").isNull() | (F.col("_before") < start + gap))
+
+    width = size
+    if gap < size:
+        table = _exits_of_tiles(table, keys, pos, size)
+    while 2 * width <= gap + 1:
+        width *= 2
+    levels = [(width, stash(entries(table, width)))]
+    span = p.agg(F.min(pos).alias("low"), F.max(pos).alias("high")).first()
+    if span["low"] is None:
+        return p
+    while span["low"] // width != span["high"] // width:
+        below = levels[-1][1]
+        width *= 2
+        inside = F.when(group("_exit", width) == group(pos, width), F.col("_exit"))
+        right = below.select(*keys, F.col(pos).alias("_via"), F.col("_exit").alias("_out"))
+        t = entries(below, width).withColumn("_via", inside).join(right, [*keys, "_via"], "left")
+        t = t.select(*keys, pos, F.when(F.col("_via").isNull(), F.col("_exit")).otherwise(F.col("_out")).alias("_exit"), "_before")
+        levels.append((width, stash(t)))
+    entry = p.groupBy(*keys).agg(F.min(pos).alias(pos)) if keys else p.agg(F.min(pos).alias(pos))
+    for (wide, _), (_, below) in zip(reversed(levels), reversed(levels[:-1])):
+        out = entry.join(below.select(*keys, pos, "_exit"), [*keys, pos])
+        right = out.filter(group("_exit", wide) == group(pos, wide)).select(*keys, F.col("_exit").alias(pos))
+        entry = stash(entry.unionByName(right))
+    if gap >= size:
+        return entry
+    return _anchors_of_tiles(p, entry, keys, pos, gap, size)
+
+
+def _exits_of_tiles(table, keys, pos, size):
+    """For a gap under a tile: the exits of positions from their tile, from those of one step each."""
+
+    def follow(pdf):
+        pdf = pdf.sort_values(pos)
+        p, out = pdf[pos].to_numpy(dtype=np.int64), pdf["_exit"]
+        n = len(p)
+        to = np.searchsorted(p, out.fillna(-1).to_numpy(dtype=np.int64))
+        inside = out.notna().to_numpy() & (to < n)
+        to = np.where(inside, to, np.arange(n))
+        while not (to[to] == to).all():
+            to = to[to]
+        return pdf.assign(_exit=out.to_numpy()[to])[[*keys, pos, "_exit", "_before"]]
+
+    t = _tiled(table, pos, size)
+    return spread(t, *keys, "_tile").groupBy(*keys, "_tile").applyInPandas(follow, table.select(*keys, pos, "_exit", "_before").schema)
+
+
+def _anchors_of_tiles(p, entry, keys, pos, gap, size):
+    """For a gap under a tile: all anchors, from the first one of each tile."""
+
+    def walk(pdf):
+        at = np.sort(pdf[pos].to_numpy(dtype=np.int64))
+        i = int(np.searchsorted(at, pdf[pos][pdf["_entry"]].min()))
+        nxt, kept = _jump(at, gap), []
+        while i < len(at):
+            kept.append(at[i])
+            i = nxt[i]
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, pos: kept})
+
+    marked = p.join(entry.withColumn("_entry", F.lit(True)), [*keys, pos], "left").fillna(False, ["_entry"])
+    first = _tiled(entry, pos, size).select(*keys, "_tile").distinct()
+    t = _tiled(marked, pos, size).join(first, [*keys, "_tile"], "left_semi")
+    return spread(t, *keys, "_tile").groupBy(*keys, "_tile").applyInPandas(walk, p.select(*keys, pos).schema)
+
+
+def _anchors_by_chain(sites, keys, pos, gap, size):
     t = _tiled(sites.select(*keys, pos).distinct(), pos, size)
     fields = {f.name: f.dataType for f in t.schema.fields}
     key_fields = [T.StructField(k, fields[k]) for k in keys]

@@ -183,6 +183,23 @@ def _(spark, d):
     return b.select("chrom", "block", "test", "nsites", *[r6(F.col(c)).alias(c) for c in BCOLS])
 
 
+#: Blocks from the first site past the last one's start + WIDE, over the homozygous sites.
+WIDE = 5_000_000
+GREEDY = f""", gs AS (SELECT DISTINCT chrom, pos FROM genotypes WHERE gt IN (0, 2)),
+nx AS MATERIALIZED (SELECT a.chrom, a.pos, b.pos AS nxt FROM gs a ASOF LEFT JOIN gs b ON a.chrom = b.chrom AND a.pos + {WIDE} < b.pos),
+k AS (SELECT chrom, min(pos) AS pos FROM gs GROUP BY chrom UNION ALL SELECT k.chrom, nx.nxt FROM k JOIN nx USING (chrom, pos) WHERE nx.nxt IS NOT NULL),
+gb AS (SELECT gs.chrom, gs.pos, k.pos AS block FROM gs ASOF JOIN k ON gs.chrom = k.chrom AND gs.pos >= k.pos)""" + BLOCKS.replace(
+    f"CAST(floor(pos / {BLOCK}) * {BLOCK} AS BIGINT) AS block", "block"
+).replace("FROM genotypes WHERE", "FROM genotypes JOIN gb USING (chrom, pos) WHERE")
+
+
+@query("abba_baba_blocks_greedy", sql(GENO, f"""{GREEDY}
+SELECT chrom, block, test, nsites, {', '.join(f'{rnd(c)} AS {c}' for c in BCOLS)} FROM blk""").replace("WITH ", "WITH RECURSIVE ", 1))
+def _(spark, d):
+    b = popgen.abba_baba_blocks(v.genotypes(spark, d), QUADS, WIDE, mode="greedy", patterns="expected")
+    return b.select("chrom", "block", "test", "nsites", *[r6(F.col(c)).alias(c) for c in BCOLS])
+
+
 @query("abba_baba_blocks_drawn")
 def _(spark, d):
     return popgen.abba_baba_blocks(v.genotypes(spark, d), QUADS, BLOCK)

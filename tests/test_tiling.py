@@ -55,14 +55,25 @@ def greedy(ps, gap):
 
 
 def test_greedy_anchors(spark):
-    for gap in (0, 1, 7, 25, 90, 1000):
-        for size in (8, 32, 1 << 20):
+    # chained step functions, then the tree: gaps under a tile, of a few tiles, and past the whole axis
+    for gap, sizes in ((0, (8, 32)), (1, (64,)), (7, (8, 32, 1 << 20)), (25, (8, 32)), (90, (8, 1 << 20)), (1000, (32,))):
+        for size in sizes:
             t = tiling.greedy_anchors(frame(spark), ["chrom"], "pos", gap, size=size)
             got = {(r.chrom, r.pos): r.anchor for r in t.collect()}
             want = {(c, p): a for c, ps in POS.items() for p, a in greedy(ps, gap).items()}
             assert got == want, (gap, size)
 
 
+def test_no_task_holds_more_than_a_tile_of_a_wide_gap(spark):
+    ps = [7 * k + k * k % 5 for k in range(3000)]
+    df = spark.createDataFrame([("a", p) for p in ps], "chrom string, pos long")
+    for gap in (999, 5000):
+        t = tiling.greedy_anchors(df, ["chrom"], "pos", gap, size=1000)
+        plan = t._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInPandas" not in plan or gap < 1000
+        assert {r.pos: r.anchor for r in t.collect()} == greedy(ps, gap)
+
+
 def test_exact_quantiles_with_heavy_ties(spark, partitions):
     values = [3.0] * 500 + [RNG.random() * 10 for _ in range(300)] + [None]
     df = spark.createDataFrame([("k", v) for v in values] + [("one", 4.0)], "k string, v double").repartition(3)
