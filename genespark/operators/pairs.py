@@ -1,88 +1,126 @@
-"""All pairs of individuals, as a blocked matrix product.
+"""All pairs of individuals, counted on bit planes.
 
-Emitting every pair at every site would multiply the data by the number of samples.  Here sites are cut
-into blocks, samples into tiles, and one task multiplies the indicator matrices of (block, tile, tile); it
-emits one row per pair of the two tiles for the whole block.
+Emitting every pair at every site would multiply the data by the number of samples.  Here the calls of a site become
+two bits each, packed by 32 into longs; a task turns the sites it holds into two planes of bits per individual and counts a
+pair's comparable and differing sites by AND and population count.  Only these sums are shuffled.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genespark.operators import tiling
 
-SITE_BLOCK = 1 << 16  # base pairs, hence at most so many sites per block
-SAMPLE_TILE = 512
+#: Sites whose planes are held at once, and longs of calls at which a block ends earlier.
+SITE_BLOCK, HELD = 1 << 13, 1 << 22
+#: Longs that one pass over pairs of individuals may make.
+PAIR_WORDS = 1 << 21
 
 # Effect classes from weakest to strongest.
 IMPACTS = ["MODIFIER", "LOW", "MODERATE", "HIGH"]
 
 
-def _products(keys, tile):
-    """Grouped-map function: counts of comparable and differing calls and the summed |difference| per pair."""
-
-    def planes(part, t):
-        part = part[part["idx"] // tile == t]
-        names, at = np.unique(part["idx"].to_numpy(), return_inverse=True)
-        rows, gt = part["_site"].to_numpy(), part["gt"].to_numpy()
-        out = []
-        for v in (0, 1, 2):
-            m = np.zeros((len(names), rows.max() + 1 if len(rows) else 0), dtype=np.float32)
-            m[at[gt == v], rows[gt == v]] = 1
-            out.append(m)
-        return names, out
-
-    def pairs_of(part, ti, tj):
-        part = part.assign(_site=np.unique(part["pos"].to_numpy(), return_inverse=True)[1])
-        ni, a = planes(part, ti)
-        nj, b = (ni, a) if ti == tj else planes(part, tj)
-        width = min(a[0].shape[1], b[0].shape[1])
-        count = [[np.rint(a[u][:, :width] @ b[v][:, :width].T).astype(np.int64) for v in range(3)] for u in range(3)]
-        cells = [(u, v) for u in range(3) for v in range(3)]
-        comparable = sum(count[u][v] for u, v in cells)
-        differ = sum(count[u][v] for u, v in cells if u != v)
-        weight = sum(abs(u - v) * count[u][v] for u, v in cells)
-        left, right = np.meshgrid(ni, nj, indexing="ij")
-        keep = (left < right) & (comparable > 0)
-        return pd.DataFrame({
-            "idx_i": left[keep], "idx_j": right[keep],
-            "differ": differ[keep], "comparable": comparable[keep], "weight": weight[keep],
-        })
-
-    def run(pdf):
-        ti, tj = int(pdf["_ti"].iloc[0]), int(pdf["_tj"].iloc[0])
-        groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
-        out = []
-        for key, part in groups:
-            rows = pairs_of(part, ti, tj)
-            for i, (k, value) in enumerate(zip(keys, key)):
-                rows.insert(i, k, value)
-            out.append(rows)
-        return pd.concat(out)
-
-    return run
-
-
-def pair_counts(gts, keys=(), individuals=None, site_block=SITE_BLOCK, tile=SAMPLE_TILE):
+def _planes(site, word, bits, sites):
+    """Individuals with a call, and for each a row of longs over the sites: has a call, has one copy or two, has two."""
+    words, at = np.unique(word, return_inverse=True)
+    codes = np.zeros((len(words), sites), dtype=np.int64)
+    codes[at, site] = bits
+    shift = 2 * np.arange(32, dtype=np.int64)[None, :, None]
+    width = -(-sites // 64) * 8
+
+    def packed(plane):
+        raw = np.zeros((plane.shape[0] * 32, width), dtype=np.uint8)
+        raw[:, : -(-sites // 8)] = np.packbits(plane.reshape(-1, sites).astype(bool), axis=1)
+        return raw.view(np.uint64)
+
+    low, high = (packed((codes[:, None, :] >> (shift + k)) & 1) for k in (0, 1))
+    called = low | high
+    some = np.flatnonzero(called.any(axis=1))
+    return (words[some // 32].astype(np.int64) * 32 + some % 32), called[some], high[some], (low & high)[some]
+
+
+def _counts(called, one, two):
+    """For all pairs i < j of rows: (i, j, differing sites, comparable sites, sum of differences)."""
+    n, words = called.shape
+    step = max(1, PAIR_WORDS // max(1, n * words))
+
+    def many(x):
+        return np.bitwise_count(x).sum(axis=2, dtype=np.int64)
+
+    for lo in range(0, n, step):
+        rows = slice(lo, min(n, lo + step))
+        both = called[rows, None] & called[None, lo:]
+        x, y = (both & (p[rows, None] ^ p[None, lo:]) for p in (one, two))
+        i, j = np.meshgrid(np.arange(lo, rows.stop), np.arange(lo, n), indexing="ij")
+        comparable = many(both)
+        keep = (i < j) & (comparable > 0)
+        yield i[keep], j[keep], many(x | y)[keep], comparable[keep], (many(x) + many(y))[keep]
+
+
+def pair_counts(gts, keys=(), individuals=None, site_block=SITE_BLOCK):
     """(keys, idx_i < idx_j) -> differ, comparable, weight; ``keys`` are columns of the site (class, block).
 
-    The individual table (idx, sample) saves a pass over the genotypes.
+    An individual has one call at a site (chrom, pos and, where there is one, site_id).  The individual table (idx,
+    sample) saves a pass over the genotypes.
     """
     keys = list(keys)
     samples = (gts if individuals is None else individuals).select("idx", "sample").distinct()
-    tiles = samples.select((F.floor(F.col("idx") / tile)).cast("int").alias("_t")).distinct()
-    others = tiles.agg(F.array_sort(F.collect_list("_t")).alias("t"))  # number of samples / tile
-    g = gts.filter("gt is not null").select(
-        "chrom", *[k for k in keys if k != "chrom"], "pos", F.col("idx").cast("int").alias("idx"),
-        F.col("gt").cast("int").alias("gt"),
-        tiling.tile_of("pos", site_block).alias("_b"), F.floor(F.col("idx") / tile).cast("int").alias("_t"),
-    ).withColumn("_o", F.explode(others.scalar()))
-    g = g.withColumn("_ti", F.least("_t", "_o")).withColumn("_tj", F.greatest("_t", "_o")).drop("_t", "_o")
-    types = {f.name: f.dataType.simpleString() for f in g.schema.fields}
+    site = [c for c in ("site_id", "chrom", "pos") if c in gts.columns and c not in keys]
+    # none 00, no copy 01, one 10, two 11
+    code = F.call_function("shiftleft", (F.col("gt") + 1).cast("long"), (2 * F.pmod(F.col("idx"), F.lit(32))).cast("int"))
+    g = gts.filter("gt is not null").withColumn("_w", F.floor(F.col("idx") / 32).cast("long"))
+    words = g.groupBy(*site, *keys, "_w").agg(F.bit_or(code).alias("_bits"))
+    sites = words.groupBy(*site, *keys).agg(F.collect_list(F.struct("_w", "_bits")).alias("_calls")).select(*keys, "_calls")
+    sites = sites.sortWithinPartitions(*keys) if keys else sites
+    types = {f.name: f.dataType.simpleString() for f in sites.schema.fields}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, held, longs = None, [], 0, 0
+
+        def block():
+            site, word, bits = (np.concatenate(x) for x in zip(*parts))
+            names, *planes = _planes(site, word, bits, held)
+            for i, j, *sums in _counts(*planes):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.array([x.as_py()] * len(i), x.type) for x in key], pa.array(names[i].astype(np.int32)), pa.array(names[j].astype(np.int32)), *map(pa.array, sums)],
+                        names=[*keys, "idx_i", "idx_j", "differ", "comparable", "weight"],
+                    )
+
+        for batch in batches:
+            calls = batch.column("_calls")
+            of = [batch.column(c) for c in keys]
+            starts = [0]
+            if keys:
+                same = np.ones(batch.num_rows - 1, dtype=bool)
+                for c in of:
+                    at = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                    same &= at[1:] == at[:-1]
+                starts += (np.flatnonzero(~same) + 1).tolist()
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+                here = [c[lo] for c in of]
+                if parts and here != key:
+                    yield from block()
+                    parts, held, longs = [], 0, 0
+                key = here
+                while lo < hi:
+                    take = min(hi - lo, site_block - held)
+                    some = calls.slice(lo, take)
+                    at = np.repeat(np.arange(take), some.value_lengths().to_numpy())
+                    flat = some.flatten()
+                    parts.append((held + at, flat.field("_w").to_numpy(), flat.field("_bits").to_numpy()))
+                    lo, held, longs = lo + take, held + take, longs + len(at)
+                    if held == site_block or longs > HELD:
+                        yield from block()
+                        parts, held, longs = [], 0, 0
+        if parts:
+            yield from block()
+
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "idx_i int, idx_j int, differ long, comparable long, weight long"])
-    parts = tiling.spread(g, "chrom", "_b", "_ti", "_tj").groupBy("chrom", "_b", "_ti", "_tj").applyInPandas(_products(keys, tile), schema)
-    total = parts.groupBy(*keys, "idx_i", "idx_j").agg(*[F.sum(c).alias(c) for c in ("differ", "comparable", "weight")])
+    total = sites.mapInArrow(count, schema).groupBy(*keys, "idx_i", "idx_j").agg(*[F.sum(c).alias(c) for c in ("differ", "comparable", "weight")])
     name = lambda s: samples.select(F.col("idx").cast("int").alias(f"idx_{s}"), F.col("sample").alias(s))
     return total.join(name("i"), "idx_i").join(name("j"), "idx_j").drop("idx_i", "idx_j")
 

@@ -401,7 +401,7 @@ SELECT i, j, row_number() OVER (ORDER BY w / n, i, j) AS place FROM (
 SELECT a.sample AS i, b.sample AS j, sum(abs(a.gt - b.gt)) AS w, count(*) AS n
 FROM genotypes a JOIN genotypes b ON a.site_id = b.site_id AND a.idx < b.idx WHERE a.gt IS NOT NULL AND b.gt IS NOT NULL GROUP BY 1, 2)"""))
 def _(spark, d):
-    return pairs.rank_pairs(pairs.pairwise_distance_by_class(v.genotypes(spark, d).withColumn("class", F.lit("all")), "class")).select("i", "j", "place")
+    return pairs.rank_pairs(pairs.pairwise_distance_by_class(v.genotypes(spark, d).withColumn("class", F.lit("all")), "class", individuals=v.individuals(spark, d))).select("i", "j", "place")
 
 
 @query("impact_shares", sql(GENO, f""", p AS (
@@ -411,7 +411,7 @@ t AS (SELECT *, sum(w) OVER (PARTITION BY i, j) AS tw, sum(n) OVER (PARTITION BY
 SELECT i, j, class, {rnd('w / tw')} AS share FROM t WHERE tw / tn <= 0.9"""))
 def _(spark, d):
     g = v.genotypes(spark, d).withColumn("class", F.expr(IMPACT))
-    return pairs.impact_shares(pairs.pairwise_distance_by_class(g, "class"), 0.9).select("i", "j", "class", r6(F.col("share")).alias("share"))
+    return pairs.impact_shares(pairs.pairwise_distance_by_class(g, "class", individuals=v.individuals(spark, d)), 0.9).select("i", "j", "class", r6(F.col("share")).alias("share"))
 
 
 @query("percentile_bin_means", sql("calls", f""", q AS (SELECT quantile_cont(CAST(dp AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM calls),

@@ -66,9 +66,29 @@ def test_drawn_patterns_add_up_and_do_not_depend_on_partitions(spark, partitions
     assert got == test_drawn_patterns_add_up_and_do_not_depend_on_partitions.seen
 
 
-def test_pairwise_distance_with_many_tiles(spark):
+def test_pair_counts_of_many_individuals_on_bit_planes(spark):
+    rng = random.Random(11)
+    calls = {(c, s, k): rng.choice([0, 1, 2, None]) for c in "ab" for s in range(150) for k in range(0, 210, 3) if rng.random() < 0.7}
+    rows = [(c, s * 10, f"k{s % 3}", k, f"I{k}", g) for (c, s, k), g in calls.items()]
+    df = spark.createDataFrame(rows, "chrom string, pos long, class string, idx int, sample string, gt int").repartition(6)
+    want = {}
+    for c in "ab":
+        for s in range(150):
+            here = [(k, calls[c, s, k]) for k in range(0, 210, 3) if calls.get((c, s, k)) is not None]
+            for n, (k, g) in enumerate(here):
+                for other, h in here[n + 1 :]:
+                    w = want.setdefault((f"k{s % 3}", f"I{k}", f"I{other}"), [0, 0, 0])
+                    w[0], w[1], w[2] = w[0] + (g != h), w[1] + 1, w[2] + abs(g - h)
+    for block in (64, 1 << 13):
+        out = pairs.pair_counts(df, ["class"], site_block=block).collect()
+        assert {(r["class"], r.i, r.j): [r.differ, r.comparable, r.weight] for r in out} == want
+    # a call crosses the network as two bits of a long: sites times longs, and sums of pairs
+    assert pairs.pair_counts(df.limit(0), ["class"]).collect() == []
+
+
+def test_pairwise_distance_with_many_blocks(spark):
     rows, df = genotypes(spark)
-    got = {(r.i, r.j): (r.differ, r.comparable) for r in pairs.pairwise_distance(df, tile=2, site_block=64).collect()}
+    got = {(r.i, r.j): (r.differ, r.comparable) for r in pairs.pairwise_distance(df, site_block=7).collect()}
     by = {(r[0], r[3]): r[6] for r in rows}
     want = {}
     for i in range(9):
