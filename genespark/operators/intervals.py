@@ -110,57 +110,82 @@ def bin_aggregate(points, value, width, keys=("chrom",), start="start", quantile
         F.avg(value).alias("mean"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
-        *([F.median(value).alias("median")] if quantiles else []),
     )
+    if quantiles:
+        middle = tiling.exact_quantiles(binned, group, value, [0.5]).withColumnRenamed("q0", "median")
+        stats = stats.join(middle, group, "left")
     return stats.withColumn("bin_end", F.col("bin_start") + width)
 
 
-def interval_aggregate(bins, points, value, keys=("chrom",), start="start", end="end", at="pos0", width=BIN):
-    """Left join points to intervals of any width and overlap and aggregate; intervals without points keep NULLs.
+def over_spans(spans, points, keys, at, aggregates, size=tiling.TILE):
+    """For each span (keys, _start, _end; half open) the aggregates of the points in it; spans without points are left out.
 
-    Points are summed per position first. A position then meets the intervals of its bin, so what is written out is one
-    row for each position and interval over it: the depth of the overlap, not the size of the bin.
+    aggregates: name -> (function that merges parts, column of points).  The ends of all spans cut the axis into numbered
+    pieces.  A piece is aggregated once, and so are the nodes of a binary tree over the pieces; a span is made of at most
+    two nodes of each level.  So neither the depth of the overlap nor the width of a span multiplies rows.
     """
     keys = list(keys)
-    here = points.groupBy(*keys, F.col(at).cast("long").alias("_at")).agg(
-        F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high")
-    ).withColumn("_bin", tiling.tile_of("_at", width))
-    spans = bins.filter(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end")).distinct()
-    cells = spans.withColumn("_bin", F.explode(F.sequence(tiling.tile_of("_start", width), tiling.tile_of(F.col("_end") - 1, width))))
-    met = here.join(cells, [*keys, "_bin"]).filter("_at >= _start and _at < _end")
-    stats = met.groupBy(*keys, F.col("_start").alias(start), F.col("_end").alias(end)).agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")
-    )
-    stats = stats.withColumn("mean", F.try_divide("total", "n"))
+    ends = spans.select(*keys, F.col("_start").alias("_at")).unionByName(spans.select(*keys, F.col("_end").alias("_at"))).distinct()
+    cuts = tiling.row_numbers(ends, keys, "_at", "_cut", size)
+    here = points.groupBy(*keys, F.col(at).cast("long").alias("_at")).agg(*[f(c).alias(n) for n, (f, c) in aggregates.items()])
+    rows = here.withColumn("_cut", F.lit(None).cast("long")).withColumn("_kind", F.lit(1)).unionByName(cuts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    placed = tiling.nearest(rows, keys, "_at", ["_kind"], "_cut", "_piece", size).filter("_kind = 1 and _piece is not null")
+    leaf = placed.groupBy(*keys, "_piece").agg(*[f(n).alias(n) for n, (f, _) in aggregates.items()])
+
+    first, last = (cuts.select(*keys, F.col("_at").alias(e), F.col("_cut").alias(n)) for e, n in (("_start", "_a"), ("_end", "_b")))
+    numbered = spans.join(first, [*keys, "_start"]).join(last, [*keys, "_end"])
+    height = F.floor(F.log2(F.col("_b") - F.col("_a"))).cast("int")
+    top = numbered.agg(F.coalesce(F.max(height), F.lit(0)).alias("top")).scalar()
+    nodes = leaf.withColumn("_level", F.explode(F.sequence(F.lit(0), top))).withColumn("_node", F.expr("shiftright(_piece, _level)"))
+    nodes = nodes.groupBy(*keys, "_level", "_node").agg(*[f(n).alias(n) for n, (f, _) in aggregates.items()])
+
+    def parts(level):
+        # what is left of the span at a level: its first node if that is a right child, its last one if that is a left child
+        low, high = F.ceil(F.col("_a") / F.pow(F.lit(2.0), level)).cast("long"), F.floor(F.col("_b") / F.pow(F.lit(2.0), level)).cast("long")
+        left = F.when((low < high) & (low % 2 == 1), F.struct(level.alias("_level"), low.alias("_node")))
+        right = F.when((low < high) & (high % 2 == 1), F.struct(level.alias("_level"), (high - 1).alias("_node")))
+        return F.array_compact(F.array(left, right))
+
+    made_of = numbered.select(*keys, "_start", "_end", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), height), parts))).alias("_p")).select(*keys, "_start", "_end", "_p.*")
+    met = made_of.join(nodes, [*keys, "_level", "_node"])
+    return met.groupBy(*keys, "_start", "_end").agg(*[f(n).alias(n) for n, (f, _) in aggregates.items()])
+
+
+def interval_aggregate(bins, points, value, keys=("chrom",), start="start", end="end", at="pos0"):
+    """Left join points to intervals of any width and overlap and aggregate; intervals without points keep NULLs."""
+    keys = list(keys)
+    spans = bins.filter(F.col(start) < F.col(end)).select(*keys, F.col(start).cast("long").alias("_start"), F.col(end).cast("long").alias("_end")).distinct()
+    known = points.withColumn("_one", F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("long"))
+    stats = over_spans(spans, known, keys, at, {"n": (F.sum, "_one"), "total": (F.sum, value), "low": (F.min, value), "high": (F.max, value)})
+    stats = stats.withColumnsRenamed({"_start": start, "_end": end}).withColumn("mean", F.try_divide("total", "n"))
     return bins.join(stats, [*keys, start, end], "left").select(*bins.columns, "n", "total", "mean", "low", "high")
 
 
 def target_window_coverage(depths, targets, width, keys=("chrom",), pos="pos", depth="dp"):
     """Per target: area, covered positions, own depth, deepest, mean and shape of depth within +/- width/2.
 
-    A position takes part in the targets of its own and the neighbouring cells only, so the fan-out is at
-    most the number of distinct targets within the window.
+    Depths are whole numbers; their sums and sums of squares are exact, so windows that overlap share them as pieces.
     """
+    keys = list(keys)
     half = width // 2
-    cell = width
-    left = depths.select(*keys, F.col(pos).alias("_pos"), F.col(depth).alias("_d"), tiling.tile_of(pos, cell).alias("_cell"))
-    t = targets.select(*keys, F.col(pos).alias("target")).distinct()
-    around = t.withColumn(
-        "_cell",
-        F.explode(F.sequence(tiling.tile_of(F.col("target") - half, cell), tiling.tile_of(F.col("target") + half, cell))),
-    )
-    pairs = left.join(around, [*keys, "_cell"]).filter(F.abs(F.col("_pos") - F.col("target")) <= half)
-    covered = F.col("_d") > 0
-    stats = pairs.groupBy(*keys, "target").agg(
-        F.sum("_d").alias("area"),
-        F.count_if(covered).alias("nonzero"),
-        F.max(F.when(F.col("_pos") == F.col("target"), F.col("_d"))).alias("target_depth"),
-        F.max("_d").alias("max_depth"),
-        F.avg(F.when(covered, F.col("_d"))).alias("mean_depth"),
-        F.var_samp(F.when(covered, F.col("_d").cast("double"))).alias("_var"),
+    d = F.col(depth)
+    t = targets.select(*keys, F.col(pos).cast("long").alias("target")).distinct()
+    spans = t.select(*keys, (F.col("target") - half).alias("_start"), (F.col("target") + half + 1).alias("_end"))
+    points = depths.select(
+        *keys, F.col(pos).alias("_pos"), d.alias("_d"), (d > 0).cast("long").alias("_covered"), F.when(d > 0, d.cast("long")).otherwise(0).alias("_sum"),
+        F.when(d > 0, d.cast("decimal(19,0)") * d.cast("decimal(19,0)")).otherwise(0).alias("_squares"),
     )
-    out = t.join(stats, [*keys, "target"], "left").fillna(0, ["area", "nonzero", "target_depth", "max_depth"])
-    return out.withColumn("sd_depth", F.sqrt("_var")).drop("_var")
+    stats = over_spans(spans, points, keys, "_pos", {
+        "area": (F.sum, "_d"), "nonzero": (F.sum, "_covered"), "max_depth": (F.max, "_d"), "_sum": (F.sum, "_sum"), "_squares": (F.sum, "_squares"),
+    })
+    stats = stats.withColumn("target", F.col("_start") + half).drop("_start", "_end")
+    own = depths.groupBy(*keys, F.col(pos).cast("long").alias("target")).agg(F.max(F.when(d > 0, d)).alias("target_depth"))
+    out = t.join(stats, [*keys, "target"], "left").join(own, [*keys, "target"], "left").fillna(0, ["area", "nonzero", "target_depth", "max_depth"])
+    n, total = F.col("nonzero"), F.col("_sum").cast("decimal(19,0)")
+    spread = (n.cast("decimal(10,0)") * F.col("_squares").cast("decimal(28,0)") - total * total).cast("double")
+    out = out.withColumn("mean_depth", F.try_divide(F.col("_sum").cast("double"), n))
+    out = out.withColumn("sd_depth", F.when(n > 1, F.sqrt(spread / (n.cast("double") * (n - 1)))))
+    return out.select(*keys, "target", "area", "nonzero", "target_depth", "max_depth", "mean_depth", "sd_depth")
 
 
 def mappability_window(windows, segments, keys=("chrom",)):

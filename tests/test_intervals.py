@@ -52,3 +52,54 @@ def test_target_window(spark):
     for r in I.target_window_coverage(dep, tgt, 10).collect():
         near = [p % 4 for p in range(1, 60) if abs(p - r.target) <= 5]
         assert r.area == sum(near) and r.nonzero == sum(1 for x in near if x) and r.max_depth == max(near, default=0)
+
+
+def test_aggregates_over_deep_overlaps(spark, partitions):
+    rng = random.Random(8)
+    iv = [("c", a, a + rng.randrange(1, 400)) for a in (rng.randrange(0, 900) for _ in range(150))] + [("c", 0, 1300), ("c", 5, 5), ("d", 1, 9), ("c", 0, 1300)]
+    pts = [("c", rng.randrange(-20, 1400), rng.choice([None, *range(-9, 10)])) for _ in range(700)]
+    bins = spark.createDataFrame(iv, "chrom string, start long, end long")
+    out = I.interval_aggregate(bins, spark.createDataFrame(pts, "chrom string, pos0 long, x int"), "x").collect()
+    assert len(out) == len(iv)
+    for r in out:
+        here = [x for c, p, x in pts if c == r.chrom and r.start <= p < r.end]
+        known = [x for x in here if x is not None]
+        if not here:
+            assert r.n is None
+        else:
+            assert (r.n, r.total, r.low, r.high) == (len(known), sum(known) if known else None, min(known, default=None), max(known, default=None))
+
+
+def test_rows_do_not_grow_with_the_depth_of_overlap(spark):
+    """A span is made of two nodes a level at most, however many spans lie over a point."""
+    pts = spark.range(2000).select(F.lit("c").alias("chrom"), F.col("id").alias("p"), F.lit(1).alias("x"))
+    deep = spark.range(1000).select(F.lit("c").alias("chrom"), F.col("id").alias("_start"), (F.lit(2000) - F.col("id")).alias("_end"))
+    out = I.over_spans(deep, pts, ["chrom"], "p", {"n": (F.sum, "x")})
+    assert {r._start: r.n for r in out.collect()} == {k: 2000 - 2 * k for k in range(1000)}
+    plan = out._jdf.queryExecution().executedPlan()
+    rows = [int(m) for m in _join_rows(spark, plan)]
+    assert rows and max(rows) < 2000 * 24  # 1,001,000 pairs of a span and a point
+
+
+def _join_rows(spark, plan):
+    def walk(node):
+        if "Join" in node.nodeName():
+            m = node.metrics().get("numOutputRows")
+            if m.isDefined():
+                yield m.get().value()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            yield from walk(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            yield from walk(node.plan())
+        for k in range(node.children().size()):
+            yield from walk(node.children().apply(k))
+
+    return list(walk(plan))
+
+
+def test_bin_median(spark):
+    pts = [("c", p, float(p * 7 % 13)) for p in range(95)] + [("c", 12, None)]
+    for r in I.bin_aggregate(spark.createDataFrame(pts, "chrom string, start long, x double"), "x", 20).collect():
+        here = sorted(x for _, p, x in pts if r.bin_start <= p < r.bin_end and x is not None)
+        mid = len(here) // 2
+        assert r.median == (here[mid] if len(here) % 2 else (here[mid - 1] + here[mid]) / 2)
