@@ -199,9 +199,16 @@ def aligned_pairs(aln, min_base_quality=0, min_5=0, min_3=0):
 
 
 def reference_cytosines(contigs, size=1 << 20):
-    """Every C and G of the reference with its strand and trinucleotide context (N beyond the ends)."""
-    padded = contigs.select("name", F.concat(F.lit("NN"), F.upper("seq"), F.lit("NN")).alias("seq"))
-    t = chunks(padded, 4, size).select("name", "offset", F.posexplode(F.regexp_extract_all("piece", F.lit("(?=(.{5}))"), F.lit(1))).alias("i", "w"))
+    """Every C and G of the reference with its strand and trinucleotide context (N beyond the ends).
+
+    contigs: (name, seq), or pieces from ``fasta_pieces`` with this ``size`` and two bases before and after.
+    """
+    if "piece" in contigs.columns:
+        lead = F.when(F.col("offset") == 0, "NN").otherwise("")
+        t = contigs.select("name", "offset", F.concat(lead, F.upper("piece"), F.lit("NN")).alias("piece"))
+    else:
+        t = chunks(contigs.select("name", F.concat(F.lit("NN"), F.upper("seq"), F.lit("NN")).alias("seq")), 4, size)
+    t = t.select("name", "offset", F.posexplode(F.regexp_extract_all("piece", F.lit("(?=(.{5}))"), F.lit(1))).alias("i", "w"))
     mid = F.substring("w", 3, 1)
     fwd = F.substring("w", 3, 3)
     rev = F.reverse(_complement(F.substring("w", 1, 3)))

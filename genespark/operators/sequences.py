@@ -1,5 +1,7 @@
 """Reads and contigs.  Long contigs are handled as overlapping chunks, never base by base in one task."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from genespark.functions.draws import draw
 from genespark.operators import tiling
 
 CHUNK = 1 << 20
+RUN = pa.schema([("name", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 # The hairpin adapter and its counterpart on the second mate.
 HAIRPIN = "ACGCCGGCGGCAAGTGAAGCCGCCGGCGT"
@@ -20,7 +23,13 @@ STRICT_PAIR_FLAGS = (0x63, 0x93, 0x53, 0xA3)
 
 
 def chunks(seqs, overlap, size=CHUNK):
-    """(name, offset, piece): pieces of ``size`` bases plus ``overlap`` bases of the next piece."""
+    """(name, offset, piece): pieces of ``size`` bases plus ``overlap`` bases of the next piece.
+
+    seqs: whole sequences (name, seq), or pieces of contigs as ``fasta_pieces`` gives them with the same ``size`` and at
+    least ``overlap`` bases after; contigs that are no single row take the second form.
+    """
+    if "piece" in seqs.columns:
+        return seqs.select("name", "offset", F.substring("piece", 1, size + overlap).alias("piece"))
     n = F.length("seq")
     at = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")))
     return seqs.filter(n > 0).select("name", "seq", at.alias("_i")).select(
@@ -211,31 +220,33 @@ def unmasked_windows(windows, count):
 
 
 def cpg_islands(seqs, window=100, least=200, ratio=0.006, size=CHUNK):
-    """Runs of sliding windows rich in C, G and CpG; 0-based half-open, at least ``least`` long."""
-    half = window // 2
-    t = chunks(seqs, window - 1, size).withColumn("piece", F.upper("piece"))
-    base = t.select("name", "offset", F.posexplode(F.split("piece", "")).alias("i", "b")).filter("b <> ''")
-    nxt = F.lead("b").over(W.partitionBy("name", "offset").orderBy("i"))
-    flag = lambda c: F.when(c, 1).otherwise(0)
-    base = base.select(
-        "name", "offset", "i", flag(F.col("b") == "C").alias("c"), flag(F.col("b") == "G").alias("g"),
-        flag((F.col("b") == "C") & (nxt == "G")).alias("cg"),
-    )
-    over = lambda last: W.partitionBy("name", "offset").orderBy("i").rowsBetween(0, last)
-    w = base.select(
-        "name", (F.col("offset") + F.col("i")).alias("pos"), "i",
-        F.sum("c").over(over(window - 1)).alias("c"), F.sum("g").over(over(window - 1)).alias("g"),
-        F.sum("cg").over(over(window - 2)).alias("cg"), F.count(F.lit(1)).over(over(window - 1)).alias("full"),
-    )
-    rich = (F.col("c") + F.col("g") > half) & (F.col("cg") > 0) & (F.try_divide("cg", F.col("c") * F.col("g")) > ratio)
-    flagged = w.filter((F.col("full") == window) & (F.col("i") < size) & rich).select("name", "pos")
-    return _runs(flagged, window, least)
+    """Runs of sliding windows rich in C, G and CpG; 0-based half-open, at least ``least`` long.
 
+    seqs as for ``chunks``.  A piece gives the runs of its windows, not a row for each; runs that meet at a border are joined.
+    """
+    half = window // 2
 
-def _runs(flagged, window, least):
-    t = tiling.with_neighbour(flagged, ["name"], "pos", "pos", "_prev")
-    t = tiling.islands(t, ["name"], "pos", F.col("pos") - F.col("_prev") == 1, "run")
-    r = t.groupBy("name", "run").agg(F.min("pos").alias("start"), (F.max("pos") + window).alias("end"))
+    def rich_runs(batches):
+        for batch in batches:
+            out = []
+            for name, offset, piece in zip(*(batch.column(c).to_pylist() for c in ("name", "offset", "piece"))):
+                base = np.frombuffer(piece.upper().encode("ascii", "replace"), dtype=np.uint8)
+                n = min(len(base) - window + 1, size)
+                if n < 1:
+                    continue
+                is_c, is_g = base == ord("C"), base == ord("G")
+                total = lambda x, wide: np.diff(np.cumsum(np.concatenate(([0], x)))[[np.arange(n), np.arange(n) + wide]], axis=0)[0]
+                c, g, cg = total(is_c, window), total(is_g, window), total(is_c[:-1] & is_g[1:], window - 1)
+                rich = (c + g > half) & (cg > 0)
+                rich[rich] = cg[rich] / (c[rich] * g[rich]) > ratio
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], rich.astype(np.int8), [0]))))
+                out += [(name, offset + a, offset + b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+            yield pa.RecordBatch.from_pylist([dict(zip(RUN.names, r)) for r in out], schema=RUN)
+
+    runs = chunks(seqs, window - 1, size).select("name", F.col("offset").cast("long"), "piece").mapInArrow(rich_runs, "name string, start long, end long")
+    t = tiling.with_neighbour(runs, ["name"], "start", "end", "_prev")
+    t = tiling.islands(t, ["name"], "start", F.col("_prev") == F.col("start"), "run")
+    r = t.groupBy("name", "run").agg(F.min("start").alias("start"), (F.max("end") + window - 1).alias("end"))
     return r.filter(F.col("end") - F.col("start") >= least).drop("run")
 
 

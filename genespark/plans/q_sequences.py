@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from genespark.functions import sequence as S
 from genespark.operators import sequences as Q
 from genespark.plans import views as v
-from genespark.plans.registry import query
+from genespark.plans.registry import ORACLES, query
 from genespark.plans.views import r6, rnd, sql
+from genespark.sources import formats as R
 
 RC = "reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))"
 
@@ -221,12 +222,31 @@ def _(spark, d):
 @query("cpg_islands", sql("reads", """, b AS (SELECT name, i, substr(seq, i + 1, 1) AS b, substr(seq, i + 2, 1) AS nx FROM (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM reads)),
 w AS (SELECT name, i, sum((b = 'C')::INT) OVER f AS c, sum((b = 'G')::INT) OVER f AS g, sum((b = 'C' AND nx = 'G')::INT) OVER e AS cg, count(*) OVER f AS n FROM b
  WINDOW f AS (PARTITION BY name ORDER BY i ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING), e AS (PARTITION BY name ORDER BY i ROWS BETWEEN CURRENT ROW AND 98 FOLLOWING)),
-x AS (SELECT name, i, i - row_number() OVER (PARTITION BY name ORDER BY i) AS r FROM w WHERE n = 100 AND c + g > 40 AND cg > 0 AND cg / (c * g) > 0.006)
-SELECT name, min(i) AS "start", max(i) + 100 AS "end" FROM x GROUP BY name, r HAVING max(i) + 100 - min(i) >= 120""".replace("c + g > 40", "c + g > 50")))
+x AS (SELECT name, i, i - row_number() OVER (PARTITION BY name ORDER BY i) AS r FROM w WHERE n = 100 AND c + g > 50 AND cg > 0 AND cg / (c * g) > 0.006)
+SELECT name, min(i) AS "start", max(i) + 100 AS "end" FROM x GROUP BY name, r HAVING max(i) + 100 - min(i) >= 120"""))
 def _(spark, d):
     return Q.cpg_islands(v.reads(spark, d), least=120, size=2000)
 
 
+def contig_lines(spark, d):
+    """The texts as FASTA lines of two files, 50 letters a line."""
+    r = v.reads(spark, d)
+    body = F.split(F.regexp_replace("seq", "(.{50})", "$1\n"), "\n")
+    t = r.select("doc_id", F.posexplode(F.concat(F.array(F.concat(F.lit(">"), "name", F.lit(" a contig"))), body)).alias("i", "value"))
+    return t.select("value", F.concat(F.lit("f"), F.col("doc_id") % 2).alias("file"), (F.col("doc_id") * 1_000_000 + F.col("i")).alias("line_no"))
+
+
+@query("fasta_pieces", sql("reads", """, k AS (SELECT name, seq, unnest(range(0, (length(seq) - 1) // 1000 + 1)) * 1000 AS "offset" FROM reads)
+SELECT name, "offset", substr(seq, greatest("offset" - 2, 0) + 1, CASE WHEN "offset" = 0 THEN 1002 ELSE 1004 END) AS piece FROM k"""))
+def _(spark, d):
+    return R.fasta_pieces(contig_lines(spark, d), size=1000, before=2, after=2)
+
+
+@query("cpg_islands_of_pieces", ORACLES["cpg_islands"])
+def _(spark, d):
+    return Q.cpg_islands(R.fasta_pieces(contig_lines(spark, d), size=2000, after=99), least=120, size=2000)
+
+
 ENZ = [("e1", "GAAT", 1), ("e2", "TTA", 0), ("e3", "CAG", 2)]
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genespark.functions.coords import natural_key, strip_chr
+from genespark.operators import tiling
 from genespark.sources.lines import checked, fields, read_lines, read_numbered
 
 SPACE = r"[ \t]+"
@@ -147,6 +148,42 @@ def read_fasta(spark, paths):
     return parse_fasta(read_lines(spark, paths, sep="\n>"))
 
 
+def fasta_pieces(lines, size=1 << 20, before=0, after=0, tile=1 << 20):
+    """(name, offset, piece): a contig's bases from offset on, ``size`` of them with ``before`` and ``after`` more around.
+
+    lines: value, file, line_no (ascending, not necessarily dense).  A contig is never a row: line lengths are summed along
+    the file, tile by tile, the last header before a line is carried on, and each piece is put together from the lines that
+    reach into it.  Offsets are multiples of ``size``; at the ends of a contig there is nothing beyond.
+    """
+    head = F.col("value").startswith(">")
+    text = F.regexp_replace("value", r"[\r\n]", "")
+    t = lines.select("file", "line_no", text.alias("_text"), head.alias("_head"))
+    t = tiling.running_sum(t, ["file"], "line_no", {"_through": F.when(F.col("_head"), 0).otherwise(F.length("_text")).cast("long")}, tile)
+    name = F.split(F.expr("substring(_text, 2)"), r"\s", 2)[0]
+    t = t.withColumn("_own", F.when(F.col("_head"), F.struct(name.alias("name"), F.col("_through").alias("at"))))
+    t = tiling.nearest(t, ["file"], "line_no", [], "_own", "_of", tile).filter("not _head and _of is not null and _text <> ''")
+    start = F.col("_through") - F.length("_text") - F.col("_of.at")
+    t = t.select(F.col("_of.name").alias("name"), start.alias("_start"), "_text")
+    end = F.col("_start") + F.length("_text")
+    first = F.greatest(F.lit(0), F.floor((F.col("_start") - after) / size)).cast("long")
+    # the last pieces begin with what stands before them
+    last = F.floor((end - 1 + before) / size).cast("long")
+    t = t.withColumn("_k", F.explode(F.sequence(first, last)))
+    low, high = F.col("_k") * size - before, (F.col("_k") + 1) * size + after
+    skip = F.greatest(F.lit(0), low - F.col("_start"))
+    take = F.least(end, high) - F.col("_start") - skip
+    part = F.call_function("substring", F.col("_text"), (skip + 1).cast("int"), take.cast("int"))
+    t = t.filter(take > 0).select("name", "_k", F.struct((F.col("_start") + skip).alias("at"), part.alias("part")).alias("_p"))
+    t = t.groupBy("name", "_k").agg(F.array_sort(F.collect_list("_p")).alias("_p"), F.max(F.col("_p.at") + F.length("_p.part")).alias("_end"))
+    t = t.filter(F.col("_end") > F.col("_k") * size)
+    return t.select("name", (F.col("_k") * size).alias("offset"), F.array_join(F.col("_p.part"), "").alias("piece"))
+
+
+def read_fasta_pieces(spark, paths, size=1 << 20, before=0, after=0):
+    """Contigs of any length from FASTA files of any number of splits, as pieces."""
+    return fasta_pieces(read_numbered(spark, paths), size, before, after)
+
+
 def parse_fastq(lines):
     """Four numbered lines make a read."""
     k = F.col("line_no") % 4

@@ -10,9 +10,10 @@ def read_lines(spark, paths, sep=None):
 
 
 def read_numbered(spark, paths):
-    """Lines with their 0-based number in their file, without gathering a file anywhere.
+    """Lines with their 0-based number in their file, without gathering a file or moving a line.
 
-    Each input split counts its own lines; the offsets of the splits are summed per file.
+    Each input split counts its own lines; the offsets of the splits are summed per file.  That table has one row for each
+    input split, which the driver lists anyway, so every task gets it.
     """
     raw = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
@@ -21,7 +22,7 @@ def read_numbered(spark, paths):
     splits = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # one row per split
     splits = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = raw.join(splits.drop("_n"), ["file", "_block"])
+    joined = raw.join(F.broadcast(splits.drop("_n")), ["file", "_block"])
     return joined.select("value", "file", (F.col("_offset") + F.col("_id") - F.col("_first")).alias("line_no"))
 
 

@@ -1,9 +1,10 @@
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from genespark.operators import variants
+from genespark.operators import methylation, sequences, variants
 from genespark.sinks import formats as K
 from genespark.sources import formats as R
 from genespark.sources.lines import read_lines, read_numbered
@@ -54,6 +55,42 @@ def test_line_numbers_across_splits_and_files(spark, tmp_path):
         assert r.value.split("-")[1] == str(r.line_no)
 
 
+def test_lines_stay_where_they_are_when_they_are_numbered(spark, tmp_path):
+    path = write(tmp_path / "a.txt.gz", "".join(f"{k}\n" for k in range(500)))
+    t = read_numbered(spark, path)
+    assert sorted((r.line_no, r.value) for r in t.collect()) == [(k, str(k)) for k in range(500)]
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_contigs_over_many_splits(spark, tmp_path):
+    rng = random.Random(6)
+    contigs = {f"chr{k}": "".join(rng.choice("ACGTacgtN") for _ in range(n)) for k, n in enumerate((40_000, 1, 59, 60, 61, 3000, 4000, 0))}
+    contigs["chr9"] = "ACG" + "CG" * 3000 + "AT" * 300 + "cgGCgc" * 200 + "A"
+    text = "".join(f">{n} some words\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) for n, s in contigs.items())
+    path = write(tmp_path / "a.fa", text)
+    other = write(tmp_path / "b.fa", ">last\nACGT\r\nAC\r\n")
+    contigs["last"] = "ACGTAC"
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        for size, before, after in ((1000, 0, 99), (700, 2, 2), (1 << 20, 0, 0)):
+            got = {(r.name, r.offset): r.piece for r in R.read_fasta_pieces(spark, [path, other], size, before, after).collect()}
+            want = {(n, k): s[max(0, k - before) : k + size + after] for n, s in contigs.items() for k in range(0, len(s), size)}
+            assert got == want
+        pieces = R.read_fasta_pieces(spark, [path, other], 1000, 0, 99)
+        whole = spark.createDataFrame(list(contigs.items()), "name string, seq string")
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        assert rows(sequences.cpg_islands(pieces, size=1000)) == rows(sequences.cpg_islands(whole)) != []
+        assert rows(sequences.masked_runs(R.read_fasta_pieces(spark, [path, other], 1000), size=1000)) == rows(sequences.masked_runs(whole))
+        cuts = [("e1", "GAT", 1), ("e2", "CGG", 0)]
+        assert rows(sequences.restriction_fragments(pieces, cuts, 3, 400, size=1000)) == rows(sequences.restriction_fragments(whole, cuts, 3, 400))
+        two = R.read_fasta_pieces(spark, [path, other], 700, 2, 2)
+        assert rows(methylation.reference_cytosines(two, size=700)) == rows(methylation.reference_cytosines(whole))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_eigenstrat_files(spark, tmp_path):
     geno = write(tmp_path / "a.geno", "029\n911\n")
     snp = write(tmp_path / "a.snp", " rs1 1 0.0 100 A C\nrs2   30\t0.0 200 G T\n")
