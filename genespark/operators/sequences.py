@@ -304,16 +304,21 @@ def shuffle_and_rename(seqs, seed=1):
     return tiling.hash_rank(seqs, [], ["name"], seed, "number")
 
 
-def nested_subreads(reads, nrep, sizes, seed=1):
-    """The reads themselves and, per replicate, nested random substrings of the given falling sizes."""
-    t = reads.filter(F.length("seq") >= max(sizes)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(nrep))))
+def nested_subreads(reads, nrep, sizes, seed=1, short="error"):
+    """The reads themselves and, per replicate, nested random substrings of the given falling sizes.
+
+    A read shorter than a size fails the job; with ``short="whole"`` all that is left of it is taken instead.
+    """
+    t = reads.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(nrep))))
     off, length, rows = F.lit(0), F.length("seq"), []
+    if short == "error":
+        length = F.when(length >= max(sizes), length).otherwise(F.raise_error(F.lit("a read is shorter than the sizes asked for")))
     for size in sizes:
         off = off + draw(F.greatest(length - size, F.lit(1)), seed, "name", "rep", F.lit(size)).cast("int")
-        length = F.lit(size)
+        length = F.least(length, F.lit(size))
         rows.append(F.struct(
-            F.concat_ws(":", "name", "rep", F.lit(str(size))).alias("name"), F.substring("seq", off + 1, F.lit(size)).alias("seq"),
-            F.substring("qual", off + 1, F.lit(size)).alias("qual"), off.alias("offset"),
+            F.concat_ws(":", "name", "rep", F.lit(str(size))).alias("name"), F.call_function("substring", F.col("seq"), off + 1, length).alias("seq"),
+            F.call_function("substring", F.col("qual"), off + 1, length).alias("qual"), off.alias("offset"),
         ))
     subs = t.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return reads.select("name", "seq", "qual", F.lit(0).alias("offset")).unionByName(subs)

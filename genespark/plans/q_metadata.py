@@ -48,9 +48,11 @@ def _(spark, d):
     return t.select("sample", *[r6(F.col(c)).alias(c) for c in ("rx", "half_erx", "low")])
 
 
-@query("contig_sets_agree", sql("idxstats", "SELECT sample, count(DISTINCT contig) AS contigs FROM idxstats WHERE nreads > 30 GROUP BY sample HAVING count(DISTINCT contig) <> (SELECT count(DISTINCT contig) FROM idxstats WHERE nreads > 30)"))
+@query("contig_sets_agree", """WITH x AS (SELECT DISTINCT user_id, event_id % 13 AS contig FROM events)
+SELECT 'U' || user_id AS sample, count(*) AS contigs FROM x GROUP BY user_id HAVING count(*) <> (SELECT count(DISTINCT contig) FROM x)""")
 def _(spark, d):
-    return D.contig_sets_agree(v.idxstats(spark, d).filter("nreads > 30"))
+    e = v.table(spark, d, "events").select(F.concat(F.lit("U"), "user_id").alias("sample"), F.concat(F.lit("chr"), F.col("event_id") % 13).alias("contig"))
+    return D.contig_sets_agree(e)
 
 
 @query("sex_cluster")
@@ -223,11 +225,11 @@ def _(spark, d):
     return D.sample_table_merge(c, a, b)
 
 
-@query("elevation_join", with_cust("SELECT id, lat, lon, el FROM (SELECT id, CAST(lat AS VARCHAR) AS lat, CAST(lon AS VARCHAR) AS lon, CASE WHEN nation < 10 AND lon % 2 = 0 THEN CAST(nation * 10 AS BIGINT) END AS el FROM cust)"))
+@query("elevation_join", with_cust("SELECT id, lat, lon, el FROM (SELECT id, CAST(lat AS VARCHAR) AS lat, CAST(lon AS VARCHAR) AS lon, CAST(nation * 10 AS BIGINT) AS el FROM cust)"))
 def _(spark, d):
     c = cust(spark, d).select("id", F.col("lat").cast("string").alias("lat"), F.col("lon").cast("string").alias("lon"))
-    lons = cust(spark, d).filter("lon % 2 = 0").select(F.col("lon").cast("string").alias("lon")).distinct()
-    n = v.table(spark, d, "nation").filter("n_nationkey < 10").select((F.col("n_nationkey") % 60).cast("string").alias("lat"), (F.col("n_nationkey") * 10).cast("long").alias("elevation"))
+    lons = cust(spark, d).select(F.col("lon").cast("string").alias("lon")).distinct()
+    n = v.table(spark, d, "nation").select((F.col("n_nationkey") % 60).cast("string").alias("lat"), (F.col("n_nationkey") * 10).cast("long").alias("elevation"))
     e = c.select("lat", "lon").distinct().join(n, "lat").join(lons, "lon")
     return D.elevation_join(c, e).select("id", "lat", "lon", F.col("elevation").alias("el"))
 

@@ -64,10 +64,10 @@ def _(spark, d):
     return M.meth_pca_extract(v.meth(spark, d), "+", 3).withColumn("percent", r6(F.col("percent")))
 
 
-@query("meth_pca_table", sql("meth", f"""SELECT chrom, "start", {rnd('100 * mc / (c + mc)')} AS a, {rnd('100 * c / (c + mc)')} AS b FROM meth WHERE strand = '+' AND "start" % 2 = 0"""))
+@query("meth_pca_table", sql("meth", f"""SELECT chrom, "start", {rnd('100 * mc / (c + mc)')} AS a, {rnd('100 * c / (c + mc)')} AS b FROM meth WHERE strand = '+'"""))
 def _(spark, d):
     m = v.meth(spark, d)
-    swapped = m.filter("start % 2 = 0").withColumn("x", F.col("c")).withColumn("c", F.col("mc")).withColumn("mc", F.col("x"))
+    swapped = m.withColumn("x", F.col("c")).withColumn("c", F.col("mc")).withColumn("mc", F.col("x"))
     t = M.meth_pca_table({"a": M.meth_pca_extract(m, "+"), "b": M.meth_pca_extract(swapped, "+")})
     return t.select("chrom", "start", r6(F.col("a")).alias("a"), r6(F.col("b")).alias("b"))
 
@@ -90,19 +90,19 @@ def _(spark, d):
 
 
 def folded(spark, d):
-    """Documents as folded reads on one contig each: the contig is the read, the second strand is partly converted."""
-    r = v.reads(spark, d).filter("length(seq) >= 40")
+    """Documents as folded reads on one contig each: the contig is the read, the second strand is partly converted; short ones have a plain cigar."""
+    r = v.reads(spark, d)
     s1 = F.when(F.col("doc_id") % 2 == 0, F.translate("seq", "C", "T")).otherwise(F.col("seq"))
     n = F.length("seq")
-    cig = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10M2D"), n - 12, F.lit("M2I"))).otherwise(F.concat(n, F.lit("M")))
+    cig = F.when((F.col("doc_id") % 3 == 0) & (n >= 40), F.concat(F.lit("10M2D"), n - 12, F.lit("M2I"))).otherwise(F.concat(n, F.lit("M")))
     q = F.expr("repeat('I', length(seq))")
     return r.select(
         "name", F.concat(F.lit("c"), F.col("doc_id") % 7).alias("chrom"), (F.col("doc_id") % 13).cast("int").alias("pos0"), cig.alias("cigar"), (F.col("doc_id") % 5 == 0).alias("rev"),
         s1.alias("s1"), F.translate("seq", "ACGT", "TGCA").alias("s2"), q.alias("q1"), q.alias("q2"), "seq", (F.col("doc_id") % 4 != 1).alias("hairpin"))
 
 
-FOLD = """, fr AS (SELECT name, 'c' || (doc_id % 7) AS chrom, doc_id % 13 AS pos0, doc_id % 3 = 0 AS gap, doc_id % 5 = 0 AS rev, doc_id % 4 <> 1 AS hairpin, length(seq) AS n,
-   CASE WHEN doc_id % 2 = 0 THEN translate(seq, 'C', 'T') ELSE seq END AS s1, translate(seq, 'ACGT', 'TGCA') AS s2, seq FROM reads WHERE length(seq) >= 40),
+FOLD = """, fr AS (SELECT name, 'c' || (doc_id % 7) AS chrom, doc_id % 13 AS pos0, doc_id % 3 = 0 AND length(seq) >= 40 AS gap, doc_id % 5 = 0 AS rev, doc_id % 4 <> 1 AS hairpin, length(seq) AS n,
+   CASE WHEN doc_id % 2 = 0 THEN translate(seq, 'C', 'T') ELSE seq END AS s1, translate(seq, 'ACGT', 'TGCA') AS s2, seq FROM reads),
 b AS (SELECT *, unnest(range(0, n)) AS q FROM fr),
 al AS (SELECT chrom, pos0 + CASE WHEN gap AND q >= 10 THEN q + 2 ELSE q END AS pos0, CASE WHEN rev THEN n - q ELSE q + 1 END AS "at", rev, s1, s2 FROM b WHERE NOT gap OR q < n - 2),
 pr AS (SELECT chrom, pos0, CASE WHEN rev THEN translate(substr(s2, "at", 1), 'ACGT', 'TGCA') || substr(s1, "at", 1) ELSE substr(s1, "at", 1) || translate(substr(s2, "at", 1), 'ACGT', 'TGCA') END AS pair FROM al)"""
@@ -124,14 +124,14 @@ def _(spark, d):
     return M.methylation_pileup(M.aligned_pairs(folded(spark, d)), M.reference_cytosines(ref, size=500))
 
 
-@query("pair_contexts_within", sql("reads", f"""{FOLD}, x AS (SELECT *, unnest(range(0, 10)) AS x FROM fr WHERE NOT gap),
+@query("pair_contexts_within", sql("reads", f"""{FOLD}, x AS (SELECT *, unnest(range(0, 10)) AS x FROM fr WHERE NOT gap AND n >= 20),
 e AS (SELECT '5p' AS "end", 10 + x AS "at", CASE WHEN rev THEN n - x - 1 ELSE x END AS s, rev, s1, s2 FROM x UNION ALL SELECT '3p', 9 - x, CASE WHEN rev THEN x ELSE n - x - 1 END, rev, s1, s2 FROM x WHERE hairpin)
 SELECT "end", CAST("at" AS INTEGER) AS "at", CASE WHEN rev THEN translate(substr(s2, s + 1, 1), 'ACGT', 'TGCA') || substr(s1, s + 1, 1) ELSE substr(s1, s + 1, 1) || translate(substr(s2, s + 1, 1), 'ACGT', 'TGCA') END AS pair, count(*) AS n FROM e GROUP BY 1, 2, 3"""))
 def _(spark, d):
     return M.pair_contexts_within(folded(spark, d), min_base_quality=20)
 
 
-@query("pair_contexts_flanking", sql("reads", f"""{FOLD}, x AS (SELECT *, unnest(range(0, 10)) AS x FROM fr WHERE NOT gap),
+@query("pair_contexts_flanking", sql("reads", f"""{FOLD}, x AS (SELECT *, unnest(range(0, 10)) AS x FROM fr WHERE NOT gap AND n >= 20),
 e AS (SELECT '5p' AS "end", x AS "at", chrom, CASE WHEN rev THEN pos0 + n + 9 - x ELSE pos0 - 10 + x END AS p, rev FROM x UNION ALL SELECT '3p', 10 + x, chrom, CASE WHEN rev THEN pos0 - x - 1 ELSE pos0 + n + x END, rev FROM x WHERE hairpin),
 pl AS (SELECT chrom, pos0, pair, count(*) AS k, sum(count(*)) OVER (PARTITION BY chrom, pos0) AS dp FROM pr GROUP BY 1, 2, 3)
 SELECT "end", CAST("at" AS INTEGER) AS "at", CASE WHEN rev THEN reverse(pair) ELSE pair END AS pair, {rnd('sum(k / dp)', 5)} AS n FROM e JOIN pl ON pl.chrom = e.chrom AND pl.pos0 = e.p GROUP BY 1, 2, 3"""))
@@ -146,7 +146,7 @@ def _(spark, d):
     return M.pair_contexts_flanking(f, M.aligned_pairs(f), mode="draw")
 
 
-@query("pair_context_shares", sql("reads", f"""{FOLD}, x AS (SELECT *, unnest(range(0, 10)) AS x FROM fr WHERE NOT gap),
+@query("pair_context_shares", sql("reads", f"""{FOLD}, x AS (SELECT *, unnest(range(0, 10)) AS x FROM fr WHERE NOT gap AND n >= 20),
 e AS (SELECT '5p' AS "end", 10 + x AS "at", CASE WHEN rev THEN n - x - 1 ELSE x END AS s, rev, s1, s2 FROM x UNION ALL SELECT '3p', 9 - x, CASE WHEN rev THEN x ELSE n - x - 1 END, rev, s1, s2 FROM x WHERE hairpin),
 g AS (SELECT "end", CAST("at" AS INTEGER) AS "at", CASE WHEN rev THEN translate(substr(s2, s + 1, 1), 'ACGT', 'TGCA') || substr(s1, s + 1, 1) ELSE substr(s1, s + 1, 1) || translate(substr(s2, s + 1, 1), 'ACGT', 'TGCA') END AS pair, count(*) AS n FROM e GROUP BY 1, 2, 3)
 SELECT *, {rnd('n / sum(n) OVER (PARTITION BY "end", "at")')} AS share FROM g"""))

@@ -183,11 +183,11 @@ def _(spark, d):
     return Q.hairpin_deletions(mates(spark, d))
 
 
-TILES = ", tiles AS (SELECT name, i, substr(seq, i * 121 + 1, 121) AS seq FROM (SELECT name, seq, unnest(range(0, length(seq) // 121)) AS i FROM reads))"
+TILES = ", tiles AS (SELECT name, i, substr(seq, i * 121 + 1, 121) AS seq FROM (SELECT name, seq, unnest(range(0, (length(seq) + 120) // 121)) AS i FROM reads))"
 
 
 def tiles(spark, d):
-    t = v.reads(spark, d).filter("length(seq) >= 121").select("name", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / 121).cast("int") - 1)).alias("i"))
+    t = v.reads(spark, d).select("name", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 121).cast("int"))).alias("i"))
     return t.select("name", "i", F.substring("seq", F.col("i") * 121 + 1, F.lit(121)).alias("seq"))
 
 
@@ -197,17 +197,17 @@ _pr = ["substr(seq, 1, 60)", "substr(seq, 31, 61)", "substr(seq, 31, 30) || 'A'
 @query("probe_metrics", sql("reads", f"""{TILES}, p AS ({' UNION ALL '.join(f"SELECT name, i, {j} AS j, {e} AS p FROM tiles" for j, e in enumerate(_pr))}),
 k AS (SELECT name, i, j, substr(p, x, 3) AS kk, count(*) AS n FROM (SELECT *, unnest(range(1, length(p) - 1)) AS x FROM p) GROUP BY 1, 2, 3, 4),
 e AS (SELECT name, i, j, -sum(n / t * ln(n / t)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY name, i, j) AS t FROM k) GROUP BY 1, 2, 3),
-g AS (SELECT name, i, avg(length(regexp_replace(p, '[^CG]', '', 'g')) / length(p)) AS gc, avg((length(p) - length(replace(p, 'CG', ''))) / 2) AS cpg FROM p GROUP BY 1, 2)
-SELECT name, CAST(i AS INTEGER) AS i, {rnd('min(h)', 5)} AS entropy, {rnd('any_value(gc)')} AS gc, {rnd('any_value(cpg)')} AS cpg FROM e JOIN g USING (name, i) GROUP BY 1, 2"""))
+g AS (SELECT name, i, CASE WHEN min(length(p)) > 0 THEN avg(length(regexp_replace(p, '[^CG]', '', 'g')) / nullif(length(p), 0)) END AS gc, avg((length(p) - length(replace(p, 'CG', ''))) / 2) AS cpg FROM p GROUP BY 1, 2)
+SELECT name, CAST(i AS INTEGER) AS i, {rnd('min(h)', 5)} AS entropy, {rnd('any_value(gc)')} AS gc, {rnd('any_value(cpg)')} AS cpg FROM g LEFT JOIN e USING (name, i) GROUP BY 1, 2"""))
 def _(spark, d):
     t = Q.probe_metrics(tiles(spark, d).withColumn("alt", F.lit("A")), 60)
     return t.select("name", "i", r6(F.col("entropy"), 5).alias("entropy"), r6(F.col("gc")).alias("gc"), r6(F.col("cpg")).alias("cpg"))
 
 
-@query("unmasked_windows", sql("", """, t AS (SELECT doc_id, i, substr(text, i * 121 + 1, 121) AS seq FROM (SELECT doc_id, text, unnest(range(0, length(text) // 121)) AS i FROM documents))
+@query("unmasked_windows", sql("", """, t AS (SELECT doc_id, i, substr(text, i * 121 + 1, 121) AS seq FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 120) // 121)) AS i FROM documents))
 SELECT doc_id, i FROM t WHERE length(regexp_replace(seq, '[^ACGT]', '', 'g')) = 2"""))
 def _(spark, d):
-    t = v.table(spark, d, "documents").filter("length(text) >= 121").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 121).cast("int") - 1)).alias("i"))
+    t = v.table(spark, d, "documents").filter("length(text) > 0").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 121).cast("int"))).alias("i"))
     t = t.select("doc_id", F.col("i").cast("long").alias("i"), F.substring("text", F.col("i") * 121 + 1, F.lit(121)).alias("seq"))
     return Q.unmasked_windows(t, 2).select("doc_id", "i")
 
@@ -259,12 +259,12 @@ def _(spark, d):
     return Q.restriction_fragments(v.reads(spark, d), ENZ, 20, 200, size=1500)
 
 
-@query("masked_runs", sql("", """, s AS (SELECT doc_id, regexp_replace(text, '[^acgtACGT]', '', 'g') AS seq FROM documents),
+@query("masked_runs", sql("", f""", s AS (SELECT doc_id, regexp_replace(translate(text, '{v.LETTERS}', '{v.MASKED}'), '[^acgtACGT]', '', 'g') AS seq FROM documents),
 b AS (SELECT doc_id, i, substr(seq, i + 1, 1) AS b FROM (SELECT doc_id, seq, unnest(range(0, length(seq))) AS i FROM s)),
 x AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM b WHERE b = lower(b))
 SELECT 'r' || doc_id AS name, min(i) AS "start", max(i) + 1 AS "end" FROM x GROUP BY doc_id, r"""))
 def _(spark, d):
-    t = v.table(spark, d, "documents").select(F.concat(F.lit("r"), "doc_id").alias("name"), F.regexp_replace("text", "[^acgtACGT]", "").alias("seq"))
+    t = v.table(spark, d, "documents").select(F.concat(F.lit("r"), "doc_id").alias("name"), F.regexp_replace(F.translate("text", v.LETTERS, v.MASKED), "[^acgtACGT]", "").alias("seq"))
     return Q.masked_runs(t, size=700)
 
 
@@ -300,13 +300,13 @@ def _(spark, d):
 
 @query("nested_subreads")
 def _(spark, d):
-    return Q.nested_subreads(with_qual(spark, d), 3, [60, 40, 20]).select("name", "seq", "offset")
+    return Q.nested_subreads(with_qual(spark, d), 3, [60, 40, 20], short="whole").select("name", "seq", "offset")
 
 
 @query("nested_subread_lengths", sql("reads", """SELECT length(seq) AS length, count(*) AS n FROM (SELECT seq FROM reads UNION ALL
-SELECT repeat('A', s) FROM reads, (VALUES (60), (40), (20)) t(s), range(3) WHERE length(seq) >= 60) GROUP BY 1"""))
+SELECT substr(seq, 1, s) FROM reads, (VALUES (60), (40), (20)) t(s), range(3)) GROUP BY 1"""))
 def _(spark, d):
-    t = Q.nested_subreads(with_qual(spark, d), 3, [60, 40, 20])
+    t = Q.nested_subreads(with_qual(spark, d), 3, [60, 40, 20], short="whole")
     return t.groupBy(F.length("seq").cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n"))
 
 

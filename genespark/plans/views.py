@@ -11,12 +11,6 @@ def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def spread_scan(df, key):
-    """Hash a scan over the cores when its files give fewer splits than cores; large inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def r6(col, digits=6):
     """Round for comparison; adding zero turns a negative zero into zero."""
     return F.round(col, digits) + F.lit(0.0)
@@ -92,11 +86,14 @@ def blocks(spark, d):
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñóíABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍ"
 BASES = "".join(c.upper() if c in "acgtACGT" else "ACGT"[i % 4] for i, c in enumerate(LETTERS))
 
+#: The same with the case of the letter.
+MASKED = "".join(b if c.isupper() else b.lower() for c, b in zip(LETTERS, BASES))
+
 
 def reads(spark, d):
     seq = F.regexp_replace(F.translate("text", LETTERS, BASES), "[^ACGT]", "")
     return (
-        spread_scan(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+        table(spark, d, "documents").select("doc_id", "text")
         .select(F.col("doc_id"), F.concat(F.lit("r"), F.col("doc_id")).alias("name"), seq.alias("seq"))
         .filter(F.length("seq") > 0)
     )
