@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from genespark.scratch import release, shared_folder, stash  # noqa: F401
 
 U64 = np.uint64
 
@@ -16,31 +20,6 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; a plain local master may do with the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
-    return folder.rstrip("/")
-
-
-def stash(df):
-    """Write a table into the shared folder and read it back: the lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/genespark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stashed_at = path
-    return out
-
-
-def release(*tables):
-    """Empty stashed tables once what was made of them is written itself."""
-    for t in tables:
-        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(t.stashed_at)
-
-
 def row_numbers_from() -> int:
     """The first number of this task's rows: tasks have eight billion each. Stash what is numbered before it is used twice."""
     from pyspark import TaskContext
@@ -60,6 +39,34 @@ def slices(batches, column: str, most: int):
             at = to
 
 
+def give_back():
+    """Let the system have what this worker process has freed: it stays alive between tasks, and the executor shares its memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_slices(function, schema, column: str = "text", most: int = 1 << 22):
+    """function (from and to pandas frames) and schema, for mapInArrow: it gets frames that hold about `most` bytes of one column.
+
+    An Arrow batch may hold 64 MB of text; as Python objects, with arrays over all their words, that is many times more.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back
+        for frame in function(b.to_pandas(integer_object_nulls=True) for b in slices(batches, column, most)):
+            if len(frame):
+                yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+        give_back()
+
+    return run, schema
+
+
 def attach(rows, groups, keys: list[str], spread: str):
     """rows with the other columns of their group (null if it is not there). groups: one row for each key, with group_size.
 
@@ -91,7 +98,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets everything when it holds `most` words, so its memory is bounded."""
 
-    def __init__(self, most=400_000):
+    def __init__(self, most=100_000):
         super().__init__()
         self.most = most
 

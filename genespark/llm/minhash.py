@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genespark.llm.common import U64, WordHashes, lower_words, mix, shingle_hashes, stash
+from genespark.llm.common import U64, WordHashes, in_slices, lower_words, mix, release, shingle_hashes, stash
 
 #: Hash functions of a signature, two low bits of each minimum are kept: 256 bits, four longs.
 HASHES, BITS, LONGS = 128, 2, 4
@@ -156,7 +156,7 @@ def items(docs: DataFrame, cut: Callable, size: int, bands: int, rows: int) -> D
     """One row for each item that `cut` finds in the texts; pid numbers them. Stash it before use: pid is made here."""
     if bands * rows > HASHES:
         raise ValueError(f"{bands} bands of {rows} need more than {HASHES} hash functions")
-    return texts(docs).mapInPandas(lambda frames: _numbered(frames, cut, size, bands, rows), ITEM)
+    return texts(docs).mapInArrow(*in_slices(lambda frames: _numbered(frames, cut, size, bands, rows), ITEM))
 
 
 def matches(a: str, b: str, hashes: int = HASHES):
@@ -195,7 +195,7 @@ def wide_signatures(texts: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"pid": f["pid"], **{f"s{i}": packed[:, i] for i in range(WIDE_LONGS)}})
 
     longs = [f"s{i}" for i in range(WIDE_LONGS)]
-    return texts.mapInPandas(sign, ", ".join(["pid long", *[f"{x} long" for x in longs]])).select("pid", F.struct(*longs).alias("wide"))
+    return texts.mapInArrow(*in_slices(sign, ", ".join(["pid long", *[f"{x} long" for x in longs]]))).select("pid", F.struct(*longs).alias("wide"))
 
 
 def shingle_arrays(texts: DataFrame, size: int) -> DataFrame:
@@ -207,7 +207,7 @@ def shingle_arrays(texts: DataFrame, size: int) -> DataFrame:
             found = [shingle_hashes(table.array(lower_words(t)), size).view(np.int64) for t in f["text"]]
             yield pd.DataFrame({"pid": f["pid"], "wide": found})
 
-    return texts.mapInPandas(sets, "pid long, wide array<long>")
+    return texts.mapInArrow(*in_slices(sets, "pid long, wide array<long>"))
 
 
 def same_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -239,7 +239,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     left = texts.select(F.col("pid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("pid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").mapInPandas(check, "a long, b long")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(*in_slices(check, "a long, b long", "text_a"))
 
 
 def item_texts(wanted: DataFrame, docs: DataFrame, cut: Callable, size: int) -> DataFrame:
@@ -262,7 +262,7 @@ def item_texts(wanted: DataFrame, docs: DataFrame, cut: Callable, size: int) ->
     # the items of one document that are wanted: bounded by that document
     asked = wanted.groupBy(F.col("hash").alias("h"), F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("pid", "item", "print")).alias("asked"))
     found = texts(docs).join(asked, (F.col("hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("of")))
-    return found.select("text", "asked").mapInPandas(find, "pid long, text string").dropDuplicates(["pid"])
+    return found.select("text", "asked").mapInArrow(*in_slices(find, "pid long, text string")).dropDuplicates(["pid"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e):
         return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
 
-    was = mark(edges)
+    was, old = mark(edges), []
     while was[0]:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -284,11 +284,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = stash(large.filter("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old += [edges, large]
         edges = stash(small.union(low).filter("a <> b").distinct())
         now = mark(edges)
         if now == was:
             break
         was = now
+    release(*old)
     # at rest every vertex points at its root
     return edges.select(F.col("a").alias("pid"), F.col("b").alias("root"))
 
@@ -299,16 +301,22 @@ def classes(found: DataFrame, docs: DataFrame, cut: Callable, size: int, percent
     found: the stashed result of `items`. Members of large groups are compared by wide signatures before their full
     sets; short items (paragraphs) have sets that are no larger than these, so their sets are compared at once.
     """
+    scratch = []
+
+    def tmp(df):
+        scratch.append(stash(df))
+        return scratch[-1]
+
     full = found.filter("n_shingles > 0")
     first = full.groupBy("print").agg(F.min("pid").alias("copies_of"))
-    alike = stash(full.select("pid", "print").join(first, "print").select("pid", "copies_of"))
+    alike = tmp(full.select("pid", "print").join(first, "print").select("pid", "copies_of"))
     own = alike.filter("pid = copies_of").select("pid")
-    one = stash(full.join(own, "pid", "left_semi").select("pid", "doc_id", "hash", "item", "print", *[f"s{i}" for i in range(LONGS)], "bands"))
+    one = tmp(full.join(own, "pid", "left_semi").select("pid", "doc_id", "hash", "item", "print", *[f"s{i}" for i in range(LONGS)], "bands"))
     vertices = one.select("pid", *[f"s{i}" for i in range(LONGS)])
 
     entries = one.select(F.explode("bands").alias("bucket"), "pid")
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    members = stash(entries.join(shared, "bucket"))
+    members = tmp(entries.join(shared, "bucket"))
     # the leader of a bucket is the member that meets most others in all its buckets: the source of a group of copies
     # shares nearly every bucket with each of them, so one comparison with it brings the whole group together
     met = members.groupBy("pid").agg(F.sum("many").alias("met"))
@@ -322,19 +330,19 @@ def classes(found: DataFrame, docs: DataFrame, cut: Callable, size: int, percent
         x = x.join(vertices.select(F.col("pid").alias("b"), F.struct(*[f"s{i}" for i in range(LONGS)]).alias("y")), "b")
         return x.filter(estimated("x", "y") >= bound).select("a", "b")
 
-    star = stash(near(led.filter("pid <> leader").select(F.col("pid").alias("a"), F.col("leader").alias("b")).distinct()))
-    links = stash(_confirmed(star, one, docs, cut, size, percent))
+    star = tmp(near(led.filter("pid <> leader").select(F.col("pid").alias("a"), F.col("leader").alias("b")).distinct()))
+    links = tmp(_confirmed(star, one, docs, cut, size, percent, tmp))
     roots = components(links)
 
     # members of one bucket that are not yet together: compare them with each other, the wide signatures included, all
     # inside the join, so that pairs far from the wanted similarity are never rows
     at = members.select("bucket", "pid").join(roots, "pid", "left").withColumn("root", F.coalesce("root", "pid"))
     apart = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    at = stash(at.join(apart.select("bucket"), "bucket"))
-    texts = _texts_of(at.select("pid").distinct(), one, docs, cut, size)
+    at = tmp(at.join(apart.select("bucket"), "bucket"))
+    texts = tmp(_texts_of(at.select("pid").distinct(), one, docs, cut, size))
     short = one.select("pid", F.struct(*[f"s{i}" for i in range(LONGS)]).alias("short"), "bands")
     full_or_wide = shingle_arrays(texts, size) if short_items else wide_signatures(texts, size)
-    signed = at.join(stash(short.join(full_or_wide, "pid")), "pid")
+    signed = at.join(tmp(short.join(full_or_wide, "pid")), "pid")
     x, y = (signed.select("bucket", "pid", "root", *[F.col(c).alias(f"{c}_{k}") for c in ("short", "wide", "bands")]).alias(k) for k in "xy")
     close = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))
     close = close & (estimated("short_x", "short_y") >= bound)
@@ -347,19 +355,21 @@ def classes(found: DataFrame, docs: DataFrame, cut: Callable, size: int, percent
         close = close & (estimated("wide_x", "wide_y", WIDE_HASHES) >= least_estimate(percent, WIDE_HASHES))
     rest = x.join(y, close).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b"))
     tried = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stash(rest.join(tried, ["a", "b"], "left_anti"))
-    more = rest if short_items else stash(verified(rest, texts, size, percent))
+    rest = tmp(rest.join(tried, ["a", "b"], "left_anti"))
+    more = rest if short_items else tmp(verified(rest, texts, size, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
     named = own.join(roots, "pid", "left").select(F.col("pid").alias("copies_of"), F.coalesce("root", "pid").alias("root"))
-    return alike.join(named, "copies_of")
+    out = stash(alike.join(named, "copies_of"))
+    release(*scratch)
+    return out
 
 
 def _texts_of(pids, one, docs, cut, size):
     wanted = one.join(pids, "pid", "left_semi").select("pid", "doc_id", "hash", "item", "print")
-    return stash(item_texts(wanted, docs, cut, size))
+    return item_texts(wanted, docs, cut, size)
 
 
-def _confirmed(pairs, one, docs, cut, size, percent):
+def _confirmed(pairs, one, docs, cut, size, percent, tmp):
     ends = pairs.select(F.explode(F.array("a", "b")).alias("pid")).distinct()
-    return verified(pairs, _texts_of(ends, one, docs, cut, size), size, percent)
+    return verified(pairs, tmp(_texts_of(ends, one, docs, cut, size)), size, percent)

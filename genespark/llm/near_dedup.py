@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genespark.llm import minhash
-from genespark.llm.common import stash
+from genespark.llm.common import attach, release, stash
 
 #: 32 bands of 4: a pair at similarity 0.75 shares no band in 5 cases of a million.
 SIZE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
@@ -17,7 +17,9 @@ def _components(docs, size, percent, bands, rows):
     found = stash(minhash.items(docs, minhash.whole, size, bands, rows))
     of = minhash.classes(found, docs, minhash.whole, size, percent)
     named = found.select("pid", "doc_id", "hash", "n_shingles").join(of.select("pid", "root"), "pid", "left")
-    return stash(named.withColumn("root", F.coalesce("root", "pid")))
+    out = stash(named.withColumn("root", F.coalesce("root", "pid")))
+    release(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -29,9 +31,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, b
     gives an empty result. copies counts the rows of the component.
     """
     named = _components(docs, size, percent, bands, rows)
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("copies"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("group_size"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return named.join(least, "root").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "copies")
+    return attach(named, least, ["root"], "pid").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), F.col("group_size").alias("copies"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -41,8 +43,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCE
     """
     named = _components(docs, size, percent, bands, rows)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "pid")
-    best = named.groupBy("root").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    shared = named.join(best, "root")
+    best = named.groupBy("root").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    shared = attach(named, best, ["root"], "pid").filter("best is not null")
     gone = shared.filter("not (doc_id <=> best.doc_id and hash = best.hash)").select("doc_id", "hash").distinct()
     again = shared.filter("pid <> best.pid and doc_id <=> best.doc_id and hash = best.hash").select("doc_id", "hash").distinct()
 

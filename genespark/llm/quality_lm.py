@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genespark.llm.common import U64, WordHashes, mix, stash, words
+from genespark.llm.common import U64, WordHashes, mix, slices, stash, words
 
 CLASSES = 1 << 16
 #: Trusted documents for each shard of pair counts.
@@ -39,17 +38,11 @@ def word_classes(text: str | None, table: WordHashes) -> np.ndarray:
     return (table.array(words(text)) >> U64(48)).astype(np.uint32)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[dict[str, list]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Fewer texts at a time than a batch holds: as Python objects, with arrays over all their words, they are far larger."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows).to_pydict()
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> WordHashes:
-    """One table for each worker process."""
-    return WordHashes()
+    pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back
+    for batch in slices(batches, "text", 1 << 22):
+        yield batch.to_pydict()
 
 
 def _pairs(classes: np.ndarray) -> np.ndarray:
@@ -81,8 +74,9 @@ def pair_counts(texts: DataFrame, shards: int) -> DataFrame:
     """shard, pairs (ascending uint32) and counts (int64) of all texts, one row for each shard that has any."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
         for f in _slices(batches):
-            found = [_pairs(word_classes(t, _hashes())) for t in f["text"]]
+            found = [_pairs(word_classes(t, table)) for t in f["text"]]
             keys, numbers = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
             _, order, bounds = _by_shard(np.asarray(keys, dtype=np.uint32), shards)
             out = []
@@ -177,9 +171,9 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        uid = TaskContext.get().partitionId() << 33
+        uid, table = TaskContext.get().partitionId() << 33, WordHashes()
         for f in _slices(batches):
-            found = [_pairs(word_classes(t, _hashes())) for t in f["text"]]
+            found = [_pairs(word_classes(t, table)) for t in f["text"]]
             size = np.array([len(p) for p in found])
             pairs = np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
             doc = np.repeat(np.arange(len(found)), size)

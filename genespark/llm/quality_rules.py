@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genespark.llm.common import PLACES, WordHashes, mix, words
+from genespark.llm.common import PLACES, WordHashes, give_back, mix, words
 
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
@@ -66,6 +66,8 @@ def _stats_udf():
         table = WordHashes()
         for s in texts:
             yield pd.DataFrame([statistics(t if isinstance(t, str) else None, table) for t in s], columns=names, dtype="int64")
+        table.clear()
+        give_back()
 
     return stats
 
