@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from genespark.llm import decontaminate, near_dedup, packing, quality_rules, secrets
-from genespark.llm.common import documents, stash
+from genespark.llm.common import documents, release, stash
+
+
+#: Rows of an Arrow batch: whole texts travel between Spark and Python, so batches of Spark's 10,000 rows are dozens of MB for each task.
+BATCH_ROWS = 500
 
 
 def quality_rules_stage(spark, docs, sf_dir):
     """Documents that fail the fixed rules or a learnt one go. Labels of documents that are not there are not used."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.keep_good(docs, quality_rules.fit(docs, labels))
 
@@ -45,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stash(docs)
+            release(*before)
+            before = [docs]
     return docs
