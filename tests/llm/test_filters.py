@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -319,7 +320,7 @@ PARTS = "<article><h2 id='navigation'>H</h2><section id='related-work'><p>r</p><
 def test_names_that_only_contain_a_mark_keep_their_text():
     for html in WRAPPED:
         assert html_text.main_text(html) == "A long enough paragraph of plain text without any markup.\n\nNo.", html
-    assert html_text.main_text(PARTS) == "H\n\nr\n\nn\n\ns"
+    assert html_text.main_text(PARTS) == "H\n\nr"  # notices and share bars are no part of an article
     assert html_text.main_text("<div><h2 id='menu'>H</h2><p>text</p></div>") == "H\n\ntext"
 
 
@@ -329,5 +330,26 @@ def test_a_very_long_page_is_kept_whole():
     assert len(html_text.main_text("x" * 1_000_000)) == 1_000_000
 
 
+def test_wrapping_forms_short_articles_and_linked_paragraphs():
+    long = "A long enough paragraph of plain text without any markup, that goes on."
+    assert html_text.main_text(f"<form id=aspnetForm><p>{long}</p><p>{long}</p></form>") == f"{long}\n\n{long}"
+    assert html_text.main_text(f"<form id=aspnetForm><div><article><p>{long}</p></article></div></form>") == long
+    assert html_text.main_text(f"<form><label>q</label><p>go</p></form><div><p>{long}</p></div>") == long
+    assert html_text.main_text(f"<article><p>{long}</p><form><p>{long * 3}</p></form></article>") == long
+    marked = "<div class='cookie-notice'>c</div><p class='share'>s</p><div class='related-posts'><article>other</article></div>"
+    assert html_text.main_text(f"<article><p>{long}</p>{marked}<div class='comment-form'>c</div></article>") == long
+    assert html_text.main_text(f"<main><article><p>{long}</p><p>{long}</p></article><article><p>Short.</p></article></main>") == f"{long}\n\n{long}\n\nShort."
+    assert html_text.main_text(f"<div><p>{long}</p><p><a href=x>{long}</a></p><ul><li><a>l</a></ul></div>") == f"{long}\n\n{long}"
+    assert html_text.main_text(f"<div><p>{long}</p></div><div><p><a>{long}</a></p><p><a>{long}</a></p></div>") == long
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    n = 30_000
+    for html in ("<div>x" * n, "<p><div><a>x" * n, "<i>" * n + "<b>" * n + "x</i>" * n, "<i><div>" + "<b>" * n + "x</i>" * n, "</div>x" * n):
+        start = time.process_time()
+        html_text.main_text(html)
+        assert time.process_time() - start < 20
+
+
 def test_smoothing_keeps_constants():
     assert np.allclose(html_text.smoothed(np.full(7, 3.0), 2.0), 3.0)
