@@ -73,20 +73,24 @@ class Model:
 
     ratio: np.ndarray
     least: float = 12.0
-    mean: float = 0.3
+    mean: float = 0.9
+    letters: float = 1.5
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Runs of 16 characters or more, with a letter and a digit, that score as random and touch no fixed span."""
+        """Runs of 16 characters or more with a letter that score as random and touch no fixed span.
+
+        A run scores `least` or more in all and `mean` or more a pair; `letters` a pair if it has no digit.
+        """
         out = []
         for m in _RUN.finditer(text):
             run = m[0]
-            if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+            if not any(c.isalpha() for c in run):
                 continue
             if any(s < m.end() and m.start() < e for s, _, e in taken):
                 continue
             c = _CLASS[np.frombuffer(run.encode(), dtype=np.uint8)]
             score = float(self.ratio[c[:-1] * CLASSES + c[1:]].sum())
-            if score >= self.least and score >= self.mean * (len(c) - 1):
+            if score >= self.least and score >= (self.mean if any(x.isdigit() for x in run) else self.letters) * (len(c) - 1):
                 out.append((m.start(), 3, m.end()))
         return out
 
@@ -132,17 +136,49 @@ def _summed(counts):
     return counts.groupBy("random", "pair").agg(F.sum("n").alias("n"))
 
 
+_LOWER, _UPPER, _DIGIT = (np.array([ALPHABET.index(c) for c in part]) for part in (ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]))
+#: What joins the words of a name: signs that paths, constants and slugs are put together with.
+_JOINTS = [ALPHABET.index(c) for c in b"/_-"]
+
+
+def _names(counts: np.ndarray) -> np.ndarray:
+    """Pair counts of identifiers made from ordinary text: its words with a joint, a capital or a number between them, and in capitals.
+
+    counts: of classes, 0 among them, which stands before and after a word. An identifier is as likely as a word, and each way
+    to make one as any other.
+    """
+    inside, ends, starts = counts[1:, 1:].astype(float), counts[1:, 0].astype(float), counts[0, 1:].astype(float)
+    first, out = starts / max(1.0, starts.sum()), inside.copy()
+    ways = len(_JOINTS) + 2
+    for sign in _JOINTS:
+        out[:, sign] += ends / ways
+        out[sign] += starts / ways
+    capital = np.zeros(len(first))
+    capital[_UPPER] = first[_LOWER] + first[_UPPER]
+    out += np.outer(ends / ways, capital)
+    out[:, _DIGIT] += ends[:, None] / ways / len(_DIGIT)
+    # a number has one to four digits, then a joint or the next word
+    number = ends.sum() / ways / len(_DIGIT)
+    out[np.ix_(_DIGIT, _DIGIT)] += 1.5 * number / len(_DIGIT)
+    out[_DIGIT] += number / 2 * (first + capital)
+    out[np.ix_(_DIGIT, _JOINTS)] += number / len(_JOINTS)
+    # the same in capitals, as constants are
+    for old, new in ((np.ix_(_LOWER, _LOWER), np.ix_(_UPPER, _UPPER)), (np.ix_(_LOWER, _JOINTS), np.ix_(_UPPER, _JOINTS)), (np.ix_(_JOINTS, _LOWER), np.ix_(_JOINTS, _UPPER))):
+        out[new] += out[old] / ways
+    return out
+
+
 def fit(counts: DataFrame, prior: float = 20.0) -> Model:
     """Both models from pair counts (at most 2 * 68 * 68 rows).
 
     The prior of a random string is uniform over the alphabet, that of ordinary text nearly nothing, so an alphabet that
-    no sample shows still counts as random.
+    no sample shows still counts as random. Ordinary are words and the identifiers that are made of them.
     """
     total = np.zeros((2, CLASSES, CLASSES))
     for r in counts.collect():
         total[int(r["random"]), r["pair"] // CLASSES, r["pair"] % CLASSES] = r["n"]
-    inside = total[:, 1:, 1:]
-    logs = [np.log((t + p) / (t.sum(axis=1, keepdims=True) + p * t.shape[1])) for t, p in zip(inside, (0.5, prior))]
+    seen = (_names(total[0]), total[1, 1:, 1:])
+    logs = [np.log((t + p) / (t.sum(axis=1, keepdims=True) + p * t.shape[1])) for t, p in zip(seen, (0.5, prior))]
     ratio = np.zeros((CLASSES, CLASSES))
     ratio[1:, 1:] = np.clip(logs[1] - logs[0], -6, 6)
     return Model(ratio.ravel())

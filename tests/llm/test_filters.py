@@ -81,6 +81,33 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert hits >= 480 and false <= 5
 
 
+def test_a_model_of_whole_documents_knows_identifiers(spark):
+    """The path of the query: what the documents label themselves, with names that no document holds."""
+    rng = random.Random(5)
+    vocabulary = (
+        "the of and to in is that for on with as by this from at are was which have an be not or it element get user name list index data "
+        "file path value count wrapper utf general backup spark apache sql writer connection pool size max system factory number test case "
+        "service report water people between country through history language question important different because international"
+    ).split()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key(n, of=alphabet):
+        return "".join(rng.choice(of) for _ in range(n))
+
+    rows = [(k, " ".join(rng.choices(vocabulary, k=200)) + (f" token={key(40)} x" if k % 5 == 0 else "")) for k in range(400)]
+    model = secrets.fit(secrets.count_documents(docs_of(spark, rows)))
+    names = ["utf_general_ci_2021_backup", "org/apache/spark/sql/v2/Writer", "MAX_CONNECTION_POOL_SIZE_2", "user-list-index-of-system-7", "importantDifferentLanguage", "internationalization"]
+    for name in names:
+        assert not model.spans(f"a {name} b", []), name
+    assert sum(bool(model.spans(f"a {key(24)} b", [])) for _ in range(300)) >= 285
+    assert sum(bool(model.spans(f"a {key(24, alphabet[26:52])} b", [])) for _ in range(300)) >= 285  # no digit
+    text = f"a {key(24)} b token={key(30)}"
+    got = secrets.scan(docs_of(spark, [(1, text)]), model).first()
+    assert (got.n_assign, got.n_markov) == (1, 1) and got.spans.startswith("markov:2:26,assign:")
+    long = secrets.scan(docs_of(spark, [(1, "word " * 400_000 + key(24))]), model).first()
+    assert long.spans == "markov:2000000:2000024"
+
+
 # --- quality rules ---------------------------------------------------------------------------------------------------
 
 
