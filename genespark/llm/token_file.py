@@ -187,15 +187,23 @@ WIDTH = "<u2"
 
 
 def token_ids(docs: DataFrame, path: str | None = None, end: int = tokens.END, width: str = WIDTH) -> DataFrame:
-    """doc_id and ids (little-endian unsigned integers, the end id last) of every row; a null text counts as empty."""
-    path = path or tokens.vocabulary_path()
+    """doc_id and ids (little-endian unsigned integers, the end id last) of every row; a null text counts as empty.
+
+    An id that `width` cannot hold is an error.
+    """
+    path, most = path or tokens.vocabulary_path(), np.iinfo(width).max
+
+    def narrow(whole: np.ndarray) -> bytes:
+        if whole.max() > most:
+            raise ValueError(f"id {whole.max()} does not fit into {width}")
+        return whole.astype(width).tobytes()
 
     @F.pandas_udf("binary")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = tokens.encoder(path)
         for s in texts:
             whole = (np.frombuffer(tokens.with_end(encoder, t if isinstance(t, str) else None, end), dtype="<u4") for t in s)
-            yield pd.Series([w.astype(width, casting="same_kind").tobytes() for w in whole], dtype=object)
+            yield pd.Series([narrow(w) for w in whole], dtype=object)
 
     return docs.select(F.col("doc_id").cast("long"), ids(F.col("text").cast("string")).alias("ids"))
 

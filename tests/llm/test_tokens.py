@@ -223,3 +223,11 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(Cluster)
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        token_file.token_ids(docs, end=70_000).collect()
+    wide = token_file.token_ids(docs, end=70_000, width="<u4").first()
+    assert np.frombuffer(wide.ids, dtype="<u4")[-1] == 70_000
