@@ -1,14 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text gives perplexities (operator 3).
 
-Words fall into 2^16 hashed classes, so a pair of words is one 32-bit number and what depends on single words (context
-totals, back-off weights, continuation shares) fits into arrays of fixed size that every task gets. Pair counts grow
-with the text: they live in shards by pair, and texts meet them by sending each shard the pairs that belong to it.
+Every different word of the trusted text has an entry of its own, and every different pair of words. Counts of pairs live
+in shards by pair, and so do the back-off weights and continuation shares of words by word; shards grow in number with
+the trusted text. Texts meet them by sending each shard the pairs and words that belong to it. Only the most frequent
+words (HEAD at most, so this has a fixed size) travel to every task: they are most of any text, and no shard gets them.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,26 +18,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genespark.llm.common import U64, WordHashes, mix, slices, stash, words
+from genespark.llm.common import PLACES, U64, WordHashes, give_back, mix, slices, stash, words
 
-CLASSES = 1 << 16
-#: Trusted documents for each shard of pair counts.
+#: Words that every task gets; texts look up all others in their shards, with the same result.
+HEAD = 1 << 17
+#: Trusted documents for each shard.
 DOCS_A_SHARD = 50_000
 #: Ids of trusted documents up to this number are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Share of the trusted documents that calibrates the thresholds instead of training.
 HELD_OUT = 20
-_START = 0
+#: The context of a first word.
+START = 0
+#: Bits of a word's hash that tell it from others.
+WORD_BYTES = 6
 
-_ROWS = "shard int, kind int, uid long, doc_id long, lang string, n long, logp double, sizes binary, pairs binary, counts binary"
+_ROWS = "shard int, kind int, uid long, doc_id long, lang string, n long, logp double, a binary, b binary, c binary"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 _SENT = pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, _ROWS.split(", "))])
-_COUNTS = pa.schema([("shard", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary())])
-_MODEL, _META, _TEXT = 0, 1, 2
+_COUNTS = "shard int, contexts binary, words binary, counts binary"
+_SUMS = ("total", "ones", "twos", "more", "continuations")
+_PAIRS, _WORDS, _META, _TEXT, _TAIL = range(5)
 
 
-def word_classes(text: str | None, table: WordHashes) -> np.ndarray:
-    return (table.array(words(text)) >> U64(48)).astype(np.uint32)
+def word_ids(text: str | None, table: WordHashes) -> np.ndarray:
+    return np.maximum(table.array(words(text)) >> U64(64 - 8 * WORD_BYTES), U64(1))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -45,177 +52,340 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield batch.to_pydict()
 
 
-def _pairs(classes: np.ndarray) -> np.ndarray:
-    """(context, word) of every word; the first one follows a start mark."""
-    return (np.concatenate(([_START], classes[:-1])).astype(np.uint32) << np.uint32(16)) | classes if len(classes) else classes
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of unsigned numbers, first bytes first: high ones are mostly equal and compress to little."""
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def _shard(pairs: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(pairs.astype(U64)) % U64(shards)).astype(np.int32)
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
 
 
-def _by_shard(pairs: np.ndarray, shards: int):
-    """Order that brings the pairs of a shard together (texts stay in order within), and where each shard starts."""
-    at = _shard(pairs, shards)
-    order = np.argsort(at, kind="stable")
-    return at, order, np.searchsorted(at[order], np.arange(shards + 1))
+def _gaps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=U64(0))
+
+
+def _place(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shard (high half) and fingerprint within the shard (low half), from different bits of a hash.
+
+    A shard has a bounded number of entries, so what 32 bits mistake for an entry is as rare at every size.
+    """
+    return (h >> U64(32)) % U64(shards) << U64(32) | h & U64(0xFFFFFFFF)
+
+
+def _pair_places(contexts: np.ndarray, ids: np.ndarray, shards: int) -> np.ndarray:
+    return _place(mix(contexts * PLACES[0] + ids * PLACES[1]), shards)
+
+
+def _word_places(ids: np.ndarray, shards: int) -> np.ndarray:
+    return _place(mix(ids * PLACES[2]), shards)
+
+
+def _contexts(ids: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.array([START], dtype=U64), ids[:-1])) if len(ids) else ids
+
+
+def _groups(keys: np.ndarray):
+    """For every run of equal high halves: the shard and its slice."""
+    shard = keys >> U64(32)
+    first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+    for s, at, to in zip(shard[first], first, np.append(first[1:], len(keys))):
+        yield int(s), slice(at, to)
 
 
 def _merged(parts):
-    keys = np.concatenate([k for k, _ in parts])
-    numbers = np.concatenate([n for _, n in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, numbers = keys[order], numbers[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[first], np.add.reduceat(numbers, first) if len(first) else numbers
+    """Contexts, words and counts of equal pairs in one, ascending."""
+    contexts, ids, numbers = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ids, contexts))
+    contexts, ids, numbers = contexts[order], ids[order], numbers[order]
+    new = np.concatenate(([True], (contexts[1:] != contexts[:-1]) | (ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, dtype=bool)
+    first = np.flatnonzero(new)
+    return contexts[first], ids[first], np.add.reduceat(numbers, first) if len(first) else numbers
+
+
+def _dump(contexts, ids, numbers):
+    return _packed(_gaps(contexts), WORD_BYTES), _packed(ids, WORD_BYTES), _packed(numbers, 8)
+
+
+def _load(contexts, ids, numbers):
+    return np.cumsum(_unpacked(contexts, WORD_BYTES), dtype=U64), _unpacked(ids, WORD_BYTES), _unpacked(numbers, 8)
 
 
 def pair_counts(texts: DataFrame, shards: int) -> DataFrame:
-    """shard, pairs (ascending uint32) and counts (int64) of all texts, one row for each shard that has any."""
+    """One row for each shard that has any pair: contexts (ascending), words and counts of its pairs, packed."""
+    schema = pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, _COUNTS.split(", "))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for f in _slices(batches):
-            found = [_pairs(word_classes(t, table)) for t in f["text"]]
-            keys, numbers = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
-            _, order, bounds = _by_shard(np.asarray(keys, dtype=np.uint32), shards)
-            out = []
-            for s in range(shards):
-                mine = order[bounds[s] : bounds[s + 1]]
-                if len(mine):
-                    # keys ascend, so their gaps are small numbers
-                    gaps = np.diff(keys[mine], prepend=np.uint32(0))
-                    out.append((s, zlib.compress(gaps.tobytes(), 1), zlib.compress(numbers[mine].astype("<u4").tobytes(), 1)))
-            yield pa.RecordBatch.from_pylist([dict(zip(_COUNTS.names, row)) for row in out], schema=_COUNTS)
+            found = [word_ids(t, table) for t in f["text"]]
+            ids = np.concatenate(found)
+            contexts, ids, numbers = _merged([(np.concatenate([_contexts(x) for x in found]), ids, np.ones(len(ids), dtype=U64))])
+            places = _pair_places(contexts, ids, shards)
+            order = np.argsort(places >> U64(32), kind="stable")
+            out = [(s, *_dump(*(x[order[part]] for x in (contexts, ids, numbers)))) for s, part in _groups(places[order])]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in out], schema=schema)
+        give_back()
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, parts, size = None, [], 0
 
         def row():
-            keys, numbers = _merged(parts)
-            return pd.DataFrame({"shard": [here], "pairs": [keys.astype("<u4").tobytes()], "counts": [numbers.astype("<i8").tobytes()]})
+            return pd.DataFrame([(here, *_dump(*_merged(parts)))], columns=schema.names)
 
         for f in frames:
-            for s, gaps, numbers in zip(f["shard"], f["pairs"], f["counts"]):
+            for s, *packed in f.itertuples(index=False):
                 if here is not None and s != here:
                     yield row()
                     parts, size = [], 0
                 here = s
-                keys = np.cumsum(np.frombuffer(zlib.decompress(gaps), dtype=np.uint32), dtype=np.uint32)
-                parts.append((keys, np.frombuffer(zlib.decompress(numbers), dtype="<u4").astype(np.int64)))
-                size += len(keys)
-                if len(parts) > 1 and size > 2 * len(parts[0][0]) + 4_000_000:
+                parts.append(_load(*packed))
+                size += len(parts[-1][0])
+                if len(parts) > 1 and size > 2 * len(parts[0][0]) + 2_000_000:
                     parts = [_merged(parts)]
                     size = len(parts[0][0])
         if parts:
             yield row()
+        give_back()
 
-    schema = "shard int, pairs binary, counts binary"
-    dealt = texts.select(F.col("text").cast("string")).mapInArrow(count, schema).repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInPandas(gather, schema)
+    dealt = texts.select(F.col("text").cast("string")).mapInArrow(count, _COUNTS).repartition(shards, "shard").sortWithinPartitions("shard")
+    return dealt.mapInPandas(gather, _COUNTS)
 
 
-class Model:
-    """Discounts, and for each class its total as a context, its back-off weight and its continuation share."""
-
-    def __init__(self, of_counts, total, ones, twos, more, continuations):
-        n1, n2, n3, n4 = (max(1, int(n)) for n in of_counts)
-        y = n1 / (n1 + 2 * n2)
-        self.discounts = np.array([0, *(min(k, max(0.05, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
-        kept = self.discounts[1] * ones + self.discounts[2] * twos + self.discounts[3] * more
-        self.total = total
-        self.back_off = np.where(total > 0, kept / np.maximum(total, 1), 1.0)
-        # the lowest order: continuations with one absolute discount, interpolated with an equal share for every class
-        c1, c2 = max(1, int((continuations == 1).sum())), int((continuations == 2).sum())
-        d, everything = c1 / (c1 + 2 * c2), max(1, int(continuations.sum()))
-        seen = int((continuations > 0).sum())
-        spare = d * seen / everything if seen else 1.0
-        self.share = np.maximum(continuations - d, 0) / everything + spare / CLASSES
-
-    def unseen(self, pairs: np.ndarray) -> np.ndarray:
-        """log P(word | context) of pairs that training never saw."""
-        return np.log(self.back_off[pairs >> np.uint32(16)] * self.share[pairs & np.uint32(0xFFFF)])
-
-    def gains(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """What log P(word | context) of pairs that were seen is above that."""
-        lower = self.back_off[pairs >> np.uint32(16)] * self.share[pairs & np.uint32(0xFFFF)]
-        own = np.maximum(counts - self.discounts[np.minimum(counts, 3)], 0) / self.total[pairs >> np.uint32(16)]
-        return np.log1p(own / lower)
-
-
-def fit(counts: DataFrame) -> Model:
-    """The model from stashed pair counts; at most 2 * 2^16 + 4 sums reach the driver."""
+def word_sums(counts: DataFrame) -> DataFrame:
+    """For every word: occurrences as a context, contexts seen once, twice and more often, different words before it.
+
+    Words -1 to -4 carry in `total` the numbers of pairs that occur once to four times.
+    """
 
     def sums(frames):
         for f in frames:
-            for pairs, numbers in zip(f["pairs"], f["counts"]):
-                p, n = np.frombuffer(pairs, dtype="<u4"), np.frombuffer(numbers, dtype="<i8")
-                context, word = p >> np.uint32(16), p & np.uint32(0xFFFF)
-                left = pd.DataFrame({"kind": 0, "id": context, "a": n, "b": n == 1, "c": n == 2, "d": n > 2}).groupby(["kind", "id"], as_index=False).sum()
-                right = pd.DataFrame({"kind": 1, "id": word, "a": 1}).groupby(["kind", "id"], as_index=False).sum()
-                rare = pd.DataFrame({"kind": 2, "id": np.arange(1, 5), "a": [(n == k).sum() for k in range(1, 5)]})
-                yield pd.concat([left, right, rare]).fillna(0).astype({"kind": "int32", "id": "int32", **dict.fromkeys("abcd", "int64")})
-
-    rows = counts.mapInPandas(sums, "kind int, id int, a long, b long, c long, d long")
-    t = rows.groupBy("kind", "id").agg(*[F.sum(x).alias(x) for x in "abcd"]).toPandas()
-    v = np.zeros((3, 4, CLASSES), dtype=np.int64)
-    for k in range(3):
-        part = t[t["kind"] == k]
-        v[k][:, part["id"].to_numpy(dtype=int)] = part[list("abcd")].to_numpy(dtype=np.int64).T
-    return Model(v[2][0][1:5], v[0][0], v[0][1], v[0][2], v[0][3], v[1][0])
+            for _, *packed in f.itertuples(index=False):
+                contexts, ids, n = _load(*packed)
+                n = n.astype(np.int64)
+                first = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1])))
+                left = [np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2)]
+                yield pd.DataFrame({"word": contexts[first].astype(np.int64), **dict(zip(_SUMS, left)), "continuations": 0})
+                followed, times = np.unique(ids, return_counts=True)
+                yield pd.DataFrame({"word": followed.astype(np.int64), **dict.fromkeys(_SUMS[:4], 0), "continuations": times})
+                rare = [(n == k).sum() for k in range(1, 5)]
+                yield pd.DataFrame({"word": -np.arange(1, 5), "total": rare, **dict.fromkeys(_SUMS[1:], 0)})
+
+    rows = counts.mapInPandas(sums, "word long, " + ", ".join(f"{x} long" for x in _SUMS))
+    return rows.groupBy("word").agg(*[F.sum(x).alias(x) for x in _SUMS])
+
+
+@dataclass
+class Model:
+    """Discounts of pairs, the log share of a word never seen, the frequent words (ascending) and the table of the others."""
+
+    discounts: np.ndarray
+    unseen: float
+    head: np.ndarray
+    total: np.ndarray
+    off: np.ndarray
+    share: np.ndarray
+    others: DataFrame | None
+
+    def look_up(self, ids: np.ndarray):
+        """Where words stand in the head, and whether they do."""
+        if not len(self.head):
+            return np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=bool)
+        at = np.minimum(np.searchsorted(self.head, ids), len(self.head) - 1)
+        return at, self.head[at] == ids
+
+
+def fit(counts: DataFrame, head: int = HEAD) -> Model:
+    """The model from stashed pair counts; at most head + 1 words and some sums reach the driver."""
+    table = stash(word_sums(counts))
+    real = F.col("word") >= 0
+    r = table.agg(
+        *[F.coalesce(F.sum(F.when(F.col("word") == -k, F.col("total"))), F.lit(0)).alias(f"n{k}") for k in range(1, 5)],
+        F.count(F.when(real & (F.col("continuations") == 1), 1)).alias("c1"),
+        F.count(F.when(real & (F.col("continuations") == 2), 1)).alias("c2"),
+        F.count(F.when(real & (F.col("continuations") > 0), 1)).alias("seen"),
+        F.coalesce(F.sum("continuations"), F.lit(0)).alias("every"),
+    ).first()
+    n1, n2, n3, n4 = (max(1, r[f"n{k}"]) for k in range(1, 5))
+    y = n1 / (n1 + 2 * n2)
+    discounts = [0.0, *(min(k, max(0.05, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
+    # the lowest order: continuations with one absolute discount, interpolated with an equal share for every word and the unknown one
+    c1, every, seen = max(1, r["c1"]), max(1, r["every"]), r["seen"]
+    low = c1 / (c1 + 2 * r["c2"])
+    rest = (low * seen / every if seen else 1.0) / (seen + 1)
+    kept = sum(F.col(x) * float(d) for x, d in zip(_SUMS[1:4], discounts[1:]))
+    off = F.when(F.col("total") > 0, F.log(kept / F.col("total"))).otherwise(0.0)
+    share = F.log(F.greatest(F.col("continuations") - low, F.lit(0.0)) / every + rest)
+    rows = table.filter(real).select("word", "total", off.alias("off"), share.alias("share"))
+    least = rows.select("total").orderBy(F.desc("total")).limit(head + 1).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
+    above = (F.col("total") > (least["least"] if least["n"] > head else -1)) | (F.col("word") == START)
+    top = rows.filter(above).toPandas().sort_values("word")
+    columns = [top["word"].to_numpy(dtype=U64), *(top[c].to_numpy(dtype=float) for c in ("total", "off", "share"))]
+    return Model(np.array(discounts), float(np.log(rest)), *columns, rows.filter(~above))
+
+
+def _gains(counts: DataFrame, model: Model, shards: int) -> DataFrame:
+    """shard, a (fingerprints), b (float64): what log P(word | context) of each pair that was seen is above that of an unseen one."""
+    bare = replace(model, others=None)  # what tasks get
+    discounts, total, off, share = bare.discounts, bare.total, bare.off, bare.share
+
+    def gain(n, of, lower):
+        return np.log1p(np.maximum(n - discounts[np.minimum(n, 3).astype(int)], 0) / of / np.exp(lower))
+
+    def here(frames):
+        for f in frames:
+            for s, *packed in f.itertuples(index=False):
+                contexts, ids, n = _load(*packed)
+                (c, knows), (w, known) = bare.look_up(contexts), bare.look_up(ids)
+                both = knows & known
+                g = gain(n[both].astype(float), total[c[both]], off[c[both]] + share[w[both]])
+                prints = (_pair_places(contexts[both], ids[both], shards) & U64(0xFFFFFFFF)).astype("<u4")
+                yield pd.DataFrame([(s, prints.tobytes(), g.astype("<f8").tobytes())], columns=["shard", "a", "b"])
+        give_back()
+
+    def others(frames):
+        for f in frames:
+            for s, *packed in f.itertuples(index=False):
+                contexts, ids, n = _load(*packed)
+                (c, knows), (w, known) = bare.look_up(contexts), bare.look_up(ids)
+                for at in range(0, len(ids), 100_000):
+                    some = at + np.flatnonzero(~(knows & known)[at : at + 100_000])
+                    cs, ws, k, v = c[some], w[some], knows[some], known[some]
+                    prints = _pair_places(contexts[some], ids[some], shards) & U64(0xFFFFFFFF)
+                    nothing = -1 - some  # matches no word, and no two rows share it
+                    yield pd.DataFrame({
+                        "shard": s, "print": prints.astype(np.int64), "n": n[some].astype(np.int64),
+                        "context": np.where(k, nothing, contexts[some].astype(np.int64)), "next": np.where(v, nothing, ids[some].astype(np.int64)),
+                        "total": np.where(k, total[cs], 0.0), "off": np.where(k, off[cs], 0.0), "share": np.where(v, share[ws], 0.0),
+                    })
+        give_back()
+
+    def packed(frames):
+        for f in frames:
+            g = gain(f["n"].to_numpy(dtype=float), f["total"].to_numpy(), f["lower"].to_numpy())
+            for s, at in f.groupby("shard").indices.items():
+                yield pd.DataFrame([(s, f["print"].to_numpy()[at].astype("<u4").tobytes(), g[at].astype("<f8").tobytes())], columns=["shard", "a", "b"])
+
+    schema = "shard int, a binary, b binary"
+    rows = counts.mapInPandas(others, "shard int, print long, n long, context long, next long, total double, off double, share double")
+    known = model.others.select(F.col("word").alias("context"), F.col("total").cast("double").alias("t1"), F.col("off").alias("o1"))
+    follows = model.others.select(F.col("word").alias("next"), F.col("share").alias("s2"))
+    rows = rows.join(known, "context", "left").join(follows, "next", "left")
+    lower = F.coalesce("o1", "off") + F.coalesce("s2", "share")
+    rest = rows.select("shard", "print", "n", F.coalesce("t1", "total").alias("total"), lower.alias("lower")).mapInPandas(packed, schema)
+    return counts.mapInPandas(here, schema).unionByName(rest)
+
+
+def _other_words(model: Model, shards: int) -> DataFrame:
+    """shard, a (fingerprints), b and c (float64): log share above that of an unseen word, log back-off weight."""
+    unseen = model.unseen
+
+    def packed(frames):
+        for f in frames:
+            places = _word_places(f["word"].to_numpy(dtype=U64), shards)
+            order = np.argsort(places, kind="stable")
+            share, off = f["share"].to_numpy()[order] - unseen, f["off"].to_numpy()[order]
+            for s, part in _groups(places[order]):
+                prints = (places[order][part] & U64(0xFFFFFFFF)).astype("<u4")
+                yield pd.DataFrame([(s, prints.tobytes(), share[part].astype("<f8").tobytes(), off[part].astype("<f8").tobytes())], columns=["shard", "a", "b", "c"])
+
+    return model.others.select("word", "off", "share").mapInPandas(packed, "shard int, a binary, b binary, c binary")
 
 
 def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity of every row; null and empty texts have no tokens and a null perplexity."""
+    bare = replace(model, others=None)
+    off, share, unseen = bare.off, bare.share, bare.unseen
+    start = float(off[0]) if len(model.head) and model.head[0] == START else 0.0
+
+    def messages(keys, doc, kind, uid):
+        """What each shard gets: fingerprints in ascending order as gaps, and with each the document."""
+        order = np.argsort(keys, kind="stable")
+        keys, doc = keys[order], doc[order].astype(U64)
+        for s, part in _groups(keys):
+            prints = _packed(_gaps(keys[part] & U64(0xFFFFFFFF)), 4)
+            yield s, kind, uid, None, None, part.stop - part.start, None, prints, _packed(doc[part], 4), None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         uid, table = TaskContext.get().partitionId() << 33, WordHashes()
         for f in _slices(batches):
-            found = [_pairs(word_classes(t, table)) for t in f["text"]]
+            found = [word_ids(t, table) for t in f["text"]]
             size = np.array([len(p) for p in found])
-            pairs = np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
-            doc = np.repeat(np.arange(len(found)), size)
-            base = np.bincount(doc, weights=model.unseen(pairs), minlength=len(found))
+            ids, doc = np.concatenate(found), np.repeat(np.arange(len(found)), size)
+            last = np.zeros(len(ids), dtype=bool)
+            last[np.cumsum(size)[size > 0] - 1] = True
+            at, known = bare.look_up(ids)
+            own = np.full(len(ids), unseen)
+            own[known] = share[at[known]] + np.where(last[known], 0.0, off[at[known]])
+            base = np.bincount(doc, weights=own, minlength=len(found)) + np.where(size > 0, start, 0.0)
             out = [
                 ((uid + k) % shards, _META, uid + k, d, lang, int(n), float(b), None, None, None)
                 for k, (d, lang, n, b) in enumerate(zip(f["doc_id"], f["lang"], size, base))
             ]
-            _, order, bounds = _by_shard(pairs, shards)
-            for s in range(shards):
-                mine = order[bounds[s] : bounds[s + 1]]
-                if len(mine):
-                    here = np.bincount(doc[mine], minlength=len(found)).astype("<u4")
-                    out.append((s, _TEXT, uid, None, None, len(mine), None, zlib.compress(here.tobytes(), 1), zlib.compress(pairs[mine].tobytes(), 1), None))
+            contexts = np.concatenate([_contexts(x) for x in found])
+            out += messages(_pair_places(contexts, ids, shards), doc, _TEXT, uid)
+            out += messages(_word_places(ids[~known], shards), (2 * doc + last)[~known], _TAIL, uid)
             uid += len(found)
             yield pa.RecordBatch.from_pylist([dict(zip(_SENT.names, row)) for row in out], schema=_SENT)
+        give_back()
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, known, gains = None, np.zeros(0, dtype=np.uint32), np.zeros(0)
+        """Rows of a shard in the order of kind: entries of pairs, entries of words, then texts."""
+        here, parts, tables = None, {}, {}
+
+        def table(kind):
+            """The entries of a shard, ascending, as they were sent in parts."""
+            if kind not in tables:
+                columns = [np.concatenate(x) for x in zip(*parts.pop(kind, []))]
+                if columns:
+                    order = np.argsort(columns[0], kind="stable")
+                    columns = [c[order] for c in columns]
+                tables[kind] = columns
+            return tables[kind]
+
+        def found(r, kind):
+            prints, doc = np.cumsum(_unpacked(r.a, 4), dtype=U64).astype(np.uint32), _unpacked(r.b, 4).astype(np.int64)
+            known = table(kind)
+            if not known:
+                return np.zeros(0, dtype=np.int64), doc[:0], known
+            at = np.minimum(np.searchsorted(known[0], prints), len(known[0]) - 1)
+            hit = known[0][at] == prints
+            return at[hit], doc[hit], known
+
         for f in frames:
-            for r in f.itertuples(index=False):
+            for r in f[f["kind"] != _META].itertuples(index=False):
                 if r.shard != here:
-                    here, known, gains = r.shard, np.zeros(0, dtype=np.uint32), np.zeros(0)
-                if r.kind == _MODEL:
-                    known = np.frombuffer(r.pairs, dtype="<u4")
-                    gains = model.gains(known, np.frombuffer(r.counts, dtype="<i8"))
-                elif r.kind == _TEXT:
-                    pairs = np.frombuffer(zlib.decompress(r.pairs), dtype=np.uint32)
-                    size = np.frombuffer(zlib.decompress(r.sizes), dtype="<u4")
-                    at = np.minimum(np.searchsorted(known, pairs), max(0, len(known) - 1))
-                    gain = np.where(known[at] == pairs, gains[at], 0.0) if len(known) else np.zeros(len(pairs))
-                    total = np.bincount(np.repeat(np.arange(len(size)), size), weights=gain, minlength=len(size))
-                    some = np.flatnonzero(total)
-                    yield pd.DataFrame({"uid": r.uid + some, "doc_id": pd.array([None] * len(some), dtype="Int64"), "lang": None, "n": 0, "logp": total[some]})
+                    here, parts, tables = r.shard, {}, {}
+                if r.kind in (_PAIRS, _WORDS):
+                    arrays = [np.frombuffer(r.a, dtype="<u4"), np.frombuffer(r.b, dtype="<f8")]
+                    parts.setdefault(r.kind, []).append(arrays + ([np.frombuffer(r.c, dtype="<f8")] if r.kind == _WORDS else []))
+                    continue
+                if r.kind == _TEXT:
+                    at, doc, known = found(r, _PAIRS)
+                    gain = known[1][at] if known else np.zeros(0)
+                else:
+                    at, doc, known = found(r, _WORDS)
+                    gain = known[1][at] + np.where(doc & 1, 0.0, known[2][at]) if known else np.zeros(0)
+                    doc = doc >> 1
+                total = np.bincount(doc, weights=gain)
+                some = np.flatnonzero(total)
+                yield pd.DataFrame({"uid": r.uid + some, "doc_id": pd.array([None] * len(some), dtype="Int64"), "lang": None, "n": 0, "logp": total[some]})
             meta = f[f["kind"] == _META]
             yield meta[["uid", "doc_id", "lang", "n", "logp"]].astype({"doc_id": "Int64"})
+        give_back()
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    sent = docs.select(F.col("doc_id").cast("long"), lang, F.col("text").cast("string")).mapInArrow(send, _ROWS)
+    both = docs.select(F.col("doc_id").cast("long"), lang, F.col("text").cast("string")).mapInArrow(send, _ROWS)
     none = {x.split()[0]: F.lit(None).cast(x.split()[1]) for x in _ROWS.split(", ")}
-    of_model = none | {"shard": F.col("shard"), "kind": F.lit(_MODEL), "pairs": F.col("pairs"), "counts": F.col("counts")}
-    both = sent.unionByName(counts.select(*[c.alias(k) for k, c in of_model.items()]))
+    for kind, entries in ((_PAIRS, _gains(counts, model, shards)), (_WORDS, _other_words(model, shards))):
+        given = none | {"kind": F.lit(kind)} | {c: F.col(c) for c in entries.columns}
+        both = both.unionByName(entries.select(*[c.alias(k) for k, c in given.items()]))
     met = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     parts = met.mapInPandas(meet, "uid long, doc_id long, lang string, n long, logp double")
     whole = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n").alias("n_tokens"), F.sum("logp").alias("logp"))

@@ -13,7 +13,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from genespark.llm import decontaminate, html_text, quality_lm, quality_rules, secrets, url_filter
-from genespark.llm.common import WordHashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -184,11 +183,9 @@ def test_learning_is_sequential_and_ordered():
 
 
 def brute_perplexities(train, texts):
-    table = WordHashes()
-
     def pairs(t):
-        w = [int(c) for c in quality_lm.word_classes(t, table)]
-        return list(zip([0, *w], w))
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        return list(zip([None, *w], w))
 
     c = Counter(p for t in train for p in pairs(t))
     n = [sum(v == k for v in c.values()) or 1 for k in (1, 2, 3, 4)]
@@ -205,7 +202,7 @@ def brute_perplexities(train, texts):
     spare = low * len(follows) / every if follows else 1
 
     def p(v, w):
-        share = max(follows[w] - low, 0) / every + spare / quality_lm.CLASSES
+        share = max(follows[w] - low, 0) / every + spare / (len(follows) + 1)
         if not total[v]:
             return share
         return max(c[v, w] - d[min(c[v, w], 3)], 0) / total[v] + kept[v] / total[v] * share
@@ -213,13 +210,13 @@ def brute_perplexities(train, texts):
     return [math.exp(-sum(math.log(p(*q)) for q in pairs(t)) / len(pairs(t))) if pairs(t) else None for t in texts]
 
 
-@pytest.mark.parametrize("shards", [1, 7])
-def test_perplexities_match_plain_kneser_ney(spark, shards):
+@pytest.mark.parametrize("shards, head", [(1, quality_lm.HEAD), (7, quality_lm.HEAD), (7, 5), (3, 0)])
+def test_perplexities_match_plain_kneser_ney(spark, shards, head):
     rng = random.Random(4)
     train = [" ".join(rng.choice(["the", "of", "a", "cat", "dog", "sat", "ran", f"n{rng.randrange(50)}"]) for _ in range(40)) for _ in range(60)]
     texts = [*train[:5], "never seen words here", "", None, "the cat sat", " ".join(["the", "dog"] * 500)]
     counts = quality_lm.stash(quality_lm.pair_counts(spark.createDataFrame([(t,) for t in train], "text string").repartition(5), shards))
-    found = quality_lm.scores(docs_of(spark, list(enumerate(texts))), counts, quality_lm.fit(counts), shards)
+    found = quality_lm.scores(docs_of(spark, list(enumerate(texts))), counts, quality_lm.fit(counts, head), shards)
     got = [r.perplexity for r in sorted(found.collect(), key=lambda r: r.doc_id)]
     for g, w in zip(got, brute_perplexities(train, texts)):
         assert (g is None and w is None) or g == pytest.approx(w, rel=1e-9)
