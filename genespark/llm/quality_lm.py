@@ -393,13 +393,15 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
     return whole.select("doc_id", "lang", "n_tokens", perplexity.alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.1) -> DataFrame:
-    """doc_id, lang, n_tokens, perplexity, threshold, kept of every row of docs (doc_id, text, lang).
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.1, weight: int = 20) -> DataFrame:
+    """doc_id, lang, n_tokens, perplexity, evened, threshold, kept of every row of docs (doc_id, text, lang).
 
     Trusted are the documents whose labels all say quality 1. Four fifths of them (by a hash of doc_id) train the model;
-    of the others each language takes the `quantile` of perplexity, times `slack`, as its threshold. A language without
-    such documents takes that of all, and without any trusted document everything with words is kept. Rows without
-    words have no perplexity and are not kept. Repeated rows are scored each for itself.
+    the others calibrate it. A few words say little, so every perplexity is evened as if `weight` words at the median of
+    its language came with the text. Each language takes the `quantile` of evened perplexities, times `slack`, as its
+    threshold. A language without such documents takes median and threshold of all, and without any trusted document
+    everything with words is kept. Rows without words have no perplexity and are not kept. Repeated rows are scored each
+    for itself. A text is read whole, by one task.
     """
     judged = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     trusted = judged.filter("q = 1").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(100)) < HELD_OUT).alias("held"))
@@ -410,10 +412,20 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
         train = F.broadcast(train)
     counts = stash(pair_counts(docs.select("doc_id", "text").join(train, "doc_id"), shards))
     found = stash(scores(docs, counts, fit(counts), shards))
-    held = found.join(trusted.filter("held").select("doc_id"), "doc_id").filter("perplexity is not null")
-    of = held.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg((slack * F.percentile_approx("perplexity", quantile, 10_000)).alias("own"))
-    every = held.agg((slack * F.percentile_approx("perplexity", quantile, 10_000)).alias("all")).first()["all"]
-    out = found.join(of, F.coalesce("lang", F.lit("")) == F.col("of"), "left")
-    out = out.withColumn("threshold", F.coalesce("own", F.lit(every).cast("double"), F.lit(float("inf"))))
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
-    return out.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", kept.alias("kept"))
+    calibration = trusted.filter("held").select("doc_id")
+
+    def with_quantile(rows: DataFrame, column: str, share: float, name: str) -> DataFrame:
+        """rows with that quantile of the calibrating documents of their language, or else of all of them."""
+        held = rows.join(calibration, "doc_id").filter(F.col(column).isNotNull())
+        of = held.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(F.percentile_approx(column, share, 10_000).alias("own"))
+        every = held.agg(F.percentile_approx(column, share, 10_000).alias("all")).first()["all"]
+        out = rows.join(of, F.coalesce("lang", F.lit("")) == F.col("of"), "left")
+        return out.select(*rows.columns, F.coalesce("own", F.lit(every).cast("double")).alias(name))
+
+    found = with_quantile(found, "perplexity", 0.5, "median")
+    median = F.coalesce("median", "perplexity")
+    evened = F.exp((F.log("perplexity") * F.col("n_tokens") + F.log(median) * weight) / (F.col("n_tokens") + weight))
+    out = with_quantile(found.withColumn("evened", evened), "evened", quantile, "threshold")
+    threshold = F.coalesce(F.col("threshold") * slack, F.lit(float("inf")))
+    kept = F.coalesce(F.col("evened") <= threshold, F.lit(False))
+    return out.select("doc_id", "lang", "n_tokens", "perplexity", "evened", threshold.alias("threshold"), kept.alias("kept"))

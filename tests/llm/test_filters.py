@@ -236,7 +236,25 @@ def test_classifier_separates_and_handles_odd_rows(spark):
     assert sum(clean) >= 0.97 * len(clean)
     assert not any(r.kept for r in got if r.doc_id is not None and r.doc_id >= 300)
     assert quality_lm.classify(docs_of(spark, []), labels).count() == 0
-    assert quality_lm.classify(docs_of(spark, rows[:9]), labels.limit(0)).filter("kept").count() == 9
+    # a held-out text of one unknown word must not set the threshold
+    short = docs_of(spark, rows + [(k, f"unheard{k}") for k in range(1000, 1040)])
+    trusted = labels.unionByName(spark.createDataFrame([(k, 1, 0) for k in range(1000, 1040)], labels.schema))
+    got = quality_lm.classify(short, trusted).collect()
+    assert not any(r.kept for r in got if 300 <= r.doc_id < 340) and sum(r.kept for r in got if r.doc_id < 300) >= 291
+
+
+def test_a_very_long_text_scores_as_its_words(spark):
+    rows = [(k, "some words of a trusted text " * 20) for k in range(20)] + [(20, "some words of a trusted text " * 300_000)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_lm.classify(docs_of(spark, rows), labels).collect()}
+    assert got[20].n_tokens == 1_800_000 and got[20].perplexity == pytest.approx(got[0].perplexity, rel=0.2) and got[20].kept
+
+
+def test_classifier_without_labels_keeps_all_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 80)) for i in range(9)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_lm.classify(docs_of(spark, rows[:9]), labels).filter("kept").count() == 9
 
 
 # --- decontamination -------------------------------------------------------------------------------------------------
