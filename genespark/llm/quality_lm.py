@@ -36,7 +36,7 @@ WORD_BYTES = 6
 _ROWS = "shard int, kind int, uid long, doc_id long, lang string, n long, logp double, a binary, b binary, c binary"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 _SENT = pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, _ROWS.split(", "))])
-_COUNTS = "shard int, contexts binary, words binary, counts binary"
+_COUNTS = "shard int, vocabulary binary, contexts binary, words binary, counts binary"
 _SUMS = ("total", "ones", "twos", "more", "continuations")
 _PAIRS, _WORDS, _META, _TEXT, _TAIL = range(5)
 
@@ -108,15 +108,19 @@ def _merged(parts):
 
 
 def _dump(contexts, ids, numbers):
-    return _packed(_gaps(contexts), WORD_BYTES), _packed(ids, WORD_BYTES), _packed(numbers, 8)
+    """Different words once, ascending; pairs by the places of their words among these."""
+    vocabulary, places = np.unique(np.concatenate((contexts, ids)), return_inverse=True)
+    c, w = places[: len(ids)].astype(U64), places[len(ids) :].astype(U64)
+    return _packed(_gaps(vocabulary), WORD_BYTES), _packed(_gaps(c), 4), _packed(w, 4), _packed(numbers, 8)
 
 
-def _load(contexts, ids, numbers):
-    return np.cumsum(_unpacked(contexts, WORD_BYTES), dtype=U64), _unpacked(ids, WORD_BYTES), _unpacked(numbers, 8)
+def _load(vocabulary, contexts, ids, numbers):
+    v = np.cumsum(_unpacked(vocabulary, WORD_BYTES), dtype=U64)
+    return v[np.cumsum(_unpacked(contexts, 4), dtype=U64).astype(np.int64)], v[_unpacked(ids, 4).astype(np.int64)], _unpacked(numbers, 8)
 
 
 def pair_counts(texts: DataFrame, shards: int) -> DataFrame:
-    """One row for each shard that has any pair: contexts (ascending), words and counts of its pairs, packed."""
+    """One row for each shard that has any pair: its words, then contexts (ascending), words and counts of its pairs, packed."""
     schema = pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, _COUNTS.split(", "))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +173,12 @@ def word_sums(counts: DataFrame) -> DataFrame:
                 n = n.astype(np.int64)
                 first = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1])))
                 left = [np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2)]
-                yield pd.DataFrame({"word": contexts[first].astype(np.int64), **dict(zip(_SUMS, left)), "continuations": 0})
                 followed, times = np.unique(ids, return_counts=True)
-                yield pd.DataFrame({"word": followed.astype(np.int64), **dict.fromkeys(_SUMS[:4], 0), "continuations": times})
+                known = np.union1d(contexts[first], followed)
+                out = np.zeros((len(_SUMS), len(known)), dtype=np.int64)
+                out[:4, np.searchsorted(known, contexts[first])] = left
+                out[4, np.searchsorted(known, followed)] = times
+                yield pd.DataFrame({"word": known.astype(np.int64), **dict(zip(_SUMS, out))})
                 rare = [(n == k).sum() for k in range(1, 5)]
                 yield pd.DataFrame({"word": -np.arange(1, 5), "total": rare, **dict.fromkeys(_SUMS[1:], 0)})
 
@@ -221,8 +228,14 @@ def fit(counts: DataFrame, head: int = HEAD) -> Model:
     off = F.when(F.col("total") > 0, F.log(kept / F.col("total"))).otherwise(0.0)
     share = F.log(F.greatest(F.col("continuations") - low, F.lit(0.0)) / every + rest)
     rows = table.filter(real).select("word", "total", off.alias("off"), share.alias("share"))
-    least = rows.select("total").orderBy(F.desc("total")).limit(head + 1).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
-    above = (F.col("total") > (least["least"] if least["n"] > head else -1)) | (F.col("word") == START)
+    # the fewest eighths of a doubling of occurrences over which there are no more than `head` words; a few hundred rows at most
+    eighth, least, n = F.floor(F.log2(F.greatest("total", F.lit(1))) * 8), -1, 0
+    for step in rows.groupBy(eighth.alias("at")).agg(F.count("*").alias("n")).orderBy(F.desc("at")).collect():
+        n += step["n"]
+        if n > head:
+            least = step["at"]
+            break
+    above = (eighth > least) | (F.col("word") == START)
     top = rows.filter(above).toPandas().sort_values("word")
     columns = [top["word"].to_numpy(dtype=U64), *(top[c].to_numpy(dtype=float) for c in ("total", "off", "share"))]
     return Model(np.array(discounts), float(np.log(rest)), *columns, rows.filter(~above))
@@ -249,34 +262,35 @@ def _gains(counts: DataFrame, model: Model, shards: int) -> DataFrame:
 
     def others(frames):
         for f in frames:
-            for s, *packed in f.itertuples(index=False):
+            for _, *packed in f.itertuples(index=False):
                 contexts, ids, n = _load(*packed)
-                (c, knows), (w, known) = bare.look_up(contexts), bare.look_up(ids)
+                lacks = 2 * ~bare.look_up(contexts)[1] + ~bare.look_up(ids)[1]
                 for at in range(0, len(ids), 100_000):
-                    some = at + np.flatnonzero(~(knows & known)[at : at + 100_000])
-                    cs, ws, k, v = c[some], w[some], knows[some], known[some]
-                    prints = _pair_places(contexts[some], ids[some], shards) & U64(0xFFFFFFFF)
-                    nothing = -1 - some  # matches no word, and no two rows share it
-                    yield pd.DataFrame({
-                        "shard": s, "print": prints.astype(np.int64), "n": n[some].astype(np.int64),
-                        "context": np.where(k, nothing, contexts[some].astype(np.int64)), "next": np.where(v, nothing, ids[some].astype(np.int64)),
-                        "total": np.where(k, total[cs], 0.0), "off": np.where(k, off[cs], 0.0), "share": np.where(v, share[ws], 0.0),
-                    })
+                    some = at + np.flatnonzero(lacks[at : at + 100_000])
+                    yield pd.DataFrame({"lacks": lacks[some], "context": contexts[some].astype(np.int64), "next": ids[some].astype(np.int64), "n": n[some].astype(np.int64)})
         give_back()
 
     def packed(frames):
         for f in frames:
-            g = gain(f["n"].to_numpy(dtype=float), f["total"].to_numpy(), f["lower"].to_numpy())
-            for s, at in f.groupby("shard").indices.items():
-                yield pd.DataFrame([(s, f["print"].to_numpy()[at].astype("<u4").tobytes(), g[at].astype("<f8").tobytes())], columns=["shard", "a", "b"])
+            contexts, ids, n = (f[x].to_numpy(dtype=U64) for x in ("context", "next", "n"))
+            (c, knows), (w, known) = bare.look_up(contexts), bare.look_up(ids)
+            of, back, lower = (f[x].to_numpy(dtype=float, na_value=0.0) for x in ("t1", "o1", "s2"))
+            of[knows], back[knows], lower[known] = total[c[knows]], off[c[knows]], share[w[known]]
+            g, places = gain(n.astype(float), of, back + lower), _pair_places(contexts, ids, shards)
+            order = np.argsort(places, kind="stable")
+            for s, part in _groups(places[order]):
+                prints = (places[order][part] & U64(0xFFFFFFFF)).astype("<u4")
+                yield pd.DataFrame([(s, prints.tobytes(), g[order][part].astype("<f8").tobytes())], columns=["shard", "a", "b"])
 
     schema = "shard int, a binary, b binary"
-    rows = counts.mapInPandas(others, "shard int, print long, n long, context long, next long, total double, off double, share double")
-    known = model.others.select(F.col("word").alias("context"), F.col("total").cast("double").alias("t1"), F.col("off").alias("o1"))
-    follows = model.others.select(F.col("word").alias("next"), F.col("share").alias("s2"))
-    rows = rows.join(known, "context", "left").join(follows, "next", "left")
-    lower = F.coalesce("o1", "off") + F.coalesce("s2", "share")
-    rest = rows.select("shard", "print", "n", F.coalesce("t1", "total").alias("total"), lower.alias("lower")).mapInPandas(packed, schema)
+    rows = counts.mapInPandas(others, "lacks int, context long, next long, n long")
+    as_context = model.others.select(F.col("word").alias("context"), F.col("total").alias("t1"), F.col("off").alias("o1"))
+    as_next = model.others.select(F.col("word").alias("next"), F.col("share").alias("s2"))
+    # a word that is joined is not among the frequent ones, so no key is hot
+    first = rows.filter("lacks = 2").join(as_context, "context").withColumn("s2", F.lit(None).cast("double"))
+    second = rows.filter("lacks = 1").join(as_next, "next").withColumns({"t1": F.lit(None).cast("long"), "o1": F.lit(None).cast("double")})
+    both = rows.filter("lacks = 3").join(as_context, "context").join(as_next, "next")
+    rest = first.unionByName(second).unionByName(both).select("context", "next", "n", "t1", "o1", "s2").mapInPandas(packed, schema)
     return counts.mapInPandas(here, schema).unionByName(rest)
 
 
@@ -302,13 +316,16 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
     off, share, unseen = bare.off, bare.share, bare.unseen
     start = float(off[0]) if len(model.head) and model.head[0] == START else 0.0
 
-    def messages(keys, doc, kind, uid):
-        """What each shard gets: fingerprints in ascending order as gaps, and with each the document."""
-        order = np.argsort(keys, kind="stable")
-        keys, doc = keys[order], doc[order].astype(U64)
-        for s, part in _groups(keys):
-            prints = _packed(_gaps(keys[part] & U64(0xFFFFFFFF)), 4)
-            yield s, kind, uid, None, None, part.stop - part.start, None, prints, _packed(doc[part], 4), None
+    def messages(keys, doc, n, kind, uid):
+        """What each shard gets: how many fingerprints each document has, and these, ascending in every document, as gaps."""
+        prints, to = (keys & U64(0xFFFFFFFF)).astype(np.uint32), keys & ~U64(0xFFFFFFFF) | doc.astype(U64)
+        order = np.argsort(prints, kind="stable")
+        order = order[np.argsort(to[order], kind="stable")]
+        prints, to = prints[order], to[order]
+        for s, part in _groups(to):
+            sizes = np.bincount((to[part] & U64(0xFFFFFFFF)).astype(np.int64), minlength=n)
+            gaps = np.diff(prints[part], prepend=np.uint32(0))  # below zero where a document starts: modulo 2^32
+            yield s, kind, uid, None, None, len(gaps), None, _packed(gaps, 4), _packed(sizes, 4), None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -329,8 +346,8 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
                 for k, (d, lang, n, b) in enumerate(zip(f["doc_id"], f["lang"], size, base))
             ]
             contexts = np.concatenate([_contexts(x) for x in found])
-            out += messages(_pair_places(contexts, ids, shards), doc, _TEXT, uid)
-            out += messages(_word_places(ids[~known], shards), (2 * doc + last)[~known], _TAIL, uid)
+            out += messages(_pair_places(contexts, ids, shards), doc, len(found), _TEXT, uid)
+            out += messages(_word_places(ids[~known], shards), (2 * doc + last)[~known], 2 * len(found), _TAIL, uid)
             uid += len(found)
             yield pa.RecordBatch.from_pylist([dict(zip(_SENT.names, row)) for row in out], schema=_SENT)
         give_back()
@@ -350,7 +367,8 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
             return tables[kind]
 
         def found(r, kind):
-            prints, doc = np.cumsum(_unpacked(r.a, 4), dtype=U64).astype(np.uint32), _unpacked(r.b, 4).astype(np.int64)
+            prints, sizes = np.cumsum(_unpacked(r.a, 4), dtype=U64).astype(np.uint32), _unpacked(r.b, 4).astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             known = table(kind)
             if not known:
                 return np.zeros(0, dtype=np.int64), doc[:0], known
