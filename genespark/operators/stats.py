@@ -1,6 +1,7 @@
 """Histograms, regressions, rank correlation, generalised linear models and permutation tests."""
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genespark.functions.special import binom_sf, chi2_sf, jeffreys, student_two_sided
-from genespark.operators import tiling
+from genespark.operators import glm, tiling
+from genespark.scratch import stash
 
 # --- tables ---------------------------------------------------------------------------------------
 
@@ -65,11 +67,12 @@ def linear_trend(df, x, y, by=()):
 
 
 def family_allele_freq(calls, loci=None):
-    """Allele count, alleles, frequency and Jeffreys interval per locus and family."""
+    """Allele count, alleles, frequency and Jeffreys interval per locus and family; bounds are found once per count and total."""
     t = calls if loci is None else calls.join(loci, ["chrom", "pos"], "left_semi")
     a = t.groupBy("chrom", "pos", "fid").agg(F.coalesce(F.sum("gt"), F.lit(0)).alias("ac"), (2 * F.count("gt")).alias("n"))
     lo, hi = jeffreys(F.col("ac").cast("double"), F.col("n").cast("double"))
-    return a.withColumn("af", F.try_divide("ac", "n")).withColumn("lower", lo).withColumn("upper", hi)
+    bounds = a.select("ac", "n").distinct().withColumn("lower", lo).withColumn("upper", hi)
+    return a.withColumn("af", F.try_divide("ac", "n")).join(bounds, ["ac", "n"]).select(*a.columns, "af", "lower", "upper")
 
 
 # --- comparing D runs -----------------------------------------------------------------------------
@@ -139,15 +142,6 @@ def _design(df, y, terms):
     return out, names
 
 
-def fit_logistic(df, y, terms):
-    """Maximum-likelihood binomial GLM; returns (model, coefficient names)."""
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    data, names = _design(df, y, terms)
-    glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y", maxIter=50, tol=1e-10)
-    return glm.fit(data), names
-
-
 def with_powers(df, x, degree):
     """Columns x, x_2, ... for a polynomial term."""
     names = [x]
@@ -159,41 +153,41 @@ def with_powers(df, x, degree):
 
 def logistic_model(df, y, terms):
     """Estimate, standard error, z and p of each coefficient (a handful of rows)."""
-    model, names = fit_logistic(df, y, terms)
-    s = model.summary
-    rows = zip([*names, "intercept"], [*[float(c) for c in model.coefficients], float(model.intercept)], s.coefficientStandardErrors, s.tValues, s.pValues)
-    return df.sparkSession.createDataFrame([(n, *(float(v) for v in r)) for n, *r in rows], "term string, estimate double, std_error double, z double, p double")
+    fit = glm.fit_all(df, y, [tuple(terms)])["true", tuple(terms)]
+    rows = []
+    for name, b, v in zip(fit.names, fit.beta, np.diag(fit.cov)):
+        se = math.sqrt(max(v, 0.0))
+        z = float(b) / se if se > 0 else None
+        rows.append((name, float(b), se, z, None if z is None else glm.two_sided(z)))
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, z double, p double")
 
 
 def predicted_interval(df, y, x, at, width=2.0):
-    """Fitted probability and its Wald interval at given values of one continuous predictor.
-
-    The information matrix of the two coefficients is five sums over the data.
-    """
-    model, _ = fit_logistic(df, y, [x])
-    b0, b1 = float(model.intercept), float(model.coefficients[0])
-    eta = F.lit(b0) + F.lit(b1) * F.col(x)
-    w = F.exp(-eta) / F.pow(1 + F.exp(-eta), 2)
-    s = df.agg(F.sum(w).alias("a"), F.sum(w * F.col(x)).alias("b"), F.sum(w * F.col(x) * F.col(x)).alias("c")).first()
-    det = s["a"] * s["c"] - s["b"] ** 2
+    """Fitted probability and its Wald interval at given values of one continuous predictor."""
+    fit = glm.fit_all(df, y, [(x,)])["true", (x,)]
+    (slope, level), cov = fit.beta, fit.cov
     grid = df.sparkSession.createDataFrame([(float(v),) for v in at], "x double")
-    fit = F.lit(b0) + F.lit(b1) * F.col("x")
-    se = F.sqrt((s["c"] - 2 * s["b"] * F.col("x") + s["a"] * F.col("x") * F.col("x")) / det)
+    eta = F.lit(float(level)) + F.lit(float(slope)) * F.col("x")
+    se = F.sqrt(F.lit(float(cov[1, 1])) + F.lit(2 * float(cov[0, 1])) * F.col("x") + F.lit(float(cov[0, 0])) * F.col("x") * F.col("x"))
     inv = lambda e: 1 / (1 + F.exp(-e))
-    return grid.select("x", inv(fit).alias("fit"), inv(fit - width * se).alias("lower"), inv(fit + width * se).alias("upper"))
+    return grid.select("x", inv(eta).alias("fit"), inv(eta - width * se).alias("lower"), inv(eta + width * se).alias("upper"))
 
 
 def likelihood_ratio_table(df, y, models, subsets=None):
-    """Degrees of freedom, deviance and p of each model against the intercept alone, for each subset of the data."""
+    """Degrees of freedom, deviance and p of each model against the intercept alone, for each subset of the data.
+
+    All models and subsets are fitted together, so the number of jobs is that of the rounds of one fit.
+    """
+    subsets = subsets or {"all": "true"}
+    fits = glm.fit_all(df, y, [(), *[tuple(t) for t in models.values()]], tuple(subsets.values()))
     rows = []
-    for label, cond in (subsets or {"all": "true"}).items():
-        part = df.filter(cond)
+    for label, cond in subsets.items():
+        null = fits[cond, ()]
         for name, terms in models.items():
-            model, names = fit_logistic(part, y, terms)
-            s = model.summary
-            rows.append((label, name, float(len(names)), float(s.nullDeviance - s.deviance), float(s.residualDegreeOfFreedom), float(s.deviance)))
+            fit = fits[cond, tuple(terms)]
+            rows.append((label, name, float(fit.rank - null.rank), null.deviance - fit.deviance, float(fit.rows - fit.rank), fit.deviance))
     t = df.sparkSession.createDataFrame(rows, "data string, model string, df double, deviance double, resid_df double, resid_dev double")
-    return t.withColumn("p", chi2_sf("deviance", "df"))
+    return t.withColumn("p", F.when(F.col("df") > 0, chi2_sf("deviance", F.greatest("df", F.lit(1.0)))))
 
 
 def linear_model(df, y, terms):
@@ -220,18 +214,17 @@ def centre(df, *columns, log=False):
 def model_selection(df, y, predictors, interactions=True, upto=0.95):
     """AIC ranking of all sub-models (interactions only with both main effects) and the averaged coefficients.
 
-    The number of models depends on the predictors named, not on the data; each is one distributed fit.
+    The number of models depends on the predictors named, not on the data; they are fitted together, one job a round.
     """
     pairs = list(itertools.combinations(predictors, 2)) if interactions else []
-    fits = []
+    models = []
     for k in range(len(predictors) + 1):
         for main in itertools.combinations(predictors, k):
             allowed = [p for p in pairs if p[0] in main and p[1] in main]
             for j in range(len(allowed) + 1):
-                for inter in itertools.combinations(allowed, j):
-                    terms = [*main, *[f"{a}:{b}" for a, b in inter]]
-                    model, names = fit_logistic(df, y, terms)
-                    fits.append((_formula(y, terms), float(model.summary.aic), dict(zip([*names, "intercept"], [*map(float, model.coefficients), float(model.intercept)]))))
+                models += [(*main, *[f"{a}:{b}" for a, b in inter]) for inter in itertools.combinations(allowed, j)]
+    fitted = glm.fit_all(df, y, models)
+    fits = [(_formula(y, m), fitted["true", m].aic, dict(zip(fitted["true", m].names, map(float, fitted["true", m].beta)))) for m in models]
     spark = df.sparkSession
     rank = spark.createDataFrame([(f, a) for f, a, _ in fits], "model string, aic double")
     best = min(a for _, a, _ in fits)
@@ -262,16 +255,74 @@ def _p_value(stats):
         seen.alias("statistic"), "replicates", (F.col("_k") / F.col("replicates")).alias("p"))
 
 
-def cramer_von_mises_test(df, id_, value, group, first, replicates=1000, seed=1):
-    """Sum of squared differences of the two distribution functions over all points, with a permutation p."""
-    labels = permuted_labels(df, id_, group, first, replicates, seed)
-    sizes = df.agg(F.struct(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) != first).alias("b")))
-    place = tiling.cumulative_counts(df, [], value).select(value, F.col("cum").alias("_at"))
-    t = labels.join(df.select(id_, value), id_).join(place, value)
-    per = t.groupBy("rep", "_at").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("in_first")).alias("_a"))
-    run = tiling.running_sum(per, ["rep"], "_at", {"ca": F.col("_a"), "cn": F.col("_n")}, size=1 << 16).withColumn("_s", sizes.scalar())
-    diff = F.col("ca") / F.col("_s.a") - (F.col("cn") - F.col("ca")) / F.col("_s.b")
-    return _p_value(run.groupBy("rep").agg(F.sum(F.col("_n") * diff * diff).alias("t")))
+def _first_group(ids, real, share, replicates, seed):
+    """Labels of some rows under every replicate: the real ones, then one hash per (row, replicate) below the share."""
+    x = ids[:, None] ^ (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values: the finisher of splitmix64
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return np.concatenate([real[:, None], (x >> np.uint64(11)).astype(float) * 2.0**-53 < share], axis=1)
+
+
+def cramer_von_mises_test(df, id_, value, group, first, replicates=1000, seed=1, size=4096):
+    """Sum of squared differences of the two distribution functions over all points, with a permutation p.
+
+    A replicate deals every row to the first group with that group's share, by a hash of id and replicate, and the statistic
+    uses the sizes that came out; given those sizes all dealings are equally likely.  Labels are made inside the tasks, so no
+    row is copied per replicate: a unit of ``size`` neighbouring values, or a part of a value that many rows hold, reports one
+    count a replicate; the counts are summed along the units, and each unit adds up its squares from there.  Rows without a
+    value are left out; a group without rows makes the statistic NULL.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(F.xxhash64(id_).alias("_id"), F.col(value).alias("_v"), F.coalesce(F.col(group) == first, F.lit(False)).alias("_real"))
+    place = tiling.cumulative_counts(known, [], "_v")
+    # light values share a unit; a heavy one is a unit of its own, before the light ones that end in its tile
+    heavy = F.col("n") >= size
+    place = place.select("_v", F.col("cum").alias("_at"), F.col("n").alias("_n"), (2 * F.floor(F.col("cum") / size) + F.when(heavy, 0).otherwise(1)).alias("unit"))
+    parts = F.when(heavy, F.pmod(F.col("_id"), F.ceil(F.col("n") / size))).otherwise(0)
+    t = known.join(place.withColumn("n", F.col("_n")), "_v").select("_id", "_real", "_at", "_n", "unit", parts.cast("long").alias("_part"))
+    share = known.agg(F.avg(F.col("_real").cast("double")))
+    t = t.withColumn("_share", share.scalar())
+
+    def dealt(pdf):
+        return _first_group(pdf["_id"].to_numpy().view(np.uint64), pdf["_real"].to_numpy(dtype=bool), pdf["_share"].to_numpy()[:, None], replicates, seed)
+
+    def count(pdf):
+        got = np.zeros(replicates + 1, dtype=np.int64)
+        for i in range(0, len(pdf), 512):
+            got += dealt(pdf.iloc[i : i + 512]).sum(axis=0)
+        return pd.DataFrame({"unit": pdf["unit"].iloc[0], "rep": np.arange(replicates + 1, dtype=np.int32), "_a": got})
+
+    counts = t.groupBy("unit", "_part").applyInPandas(count, "unit long, rep int, _a long").groupBy("unit", "rep").agg(F.sum("_a").alias("_a"))
+    counts = stash(counts)
+    run = tiling.running_sum(counts, ["rep"], "unit", {"ca": F.col("_a")}, size=1 << 10)
+    ends = counts.groupBy("rep").agg(F.sum("_a").alias("_first"))
+    run = run.join(ends, "rep").select("unit", "rep", "ca", "_a", "_first")
+    n = known.agg(F.count(F.lit(1)))
+    of_heavy = run.filter("unit % 2 = 0").join(place.filter("unit % 2 = 0").select("unit", "_at", "_n"), "unit").withColumn("_all", n.scalar())
+    diff = F.try_divide(F.col("ca"), F.col("_first")) - F.try_divide(F.col("_at") - F.col("ca"), F.col("_all") - F.col("_first"))
+    heavy_parts = of_heavy.select("rep", (F.col("_n") * diff * diff).alias("t"))
+
+    def squares(rows, before):
+        rows, before = rows.sort_values("_at"), before.sort_values("rep")
+        at, all_ = rows["_at"].to_numpy(dtype=float), float(rows["_all"].iloc[0])
+        first_ = before["_first"].to_numpy(dtype=float)
+        ca = (before["ca"] - before["_a"]).to_numpy(dtype=float)
+        ends_ = np.r_[np.flatnonzero(np.diff(at)), len(at) - 1]
+        total, begin = np.zeros(replicates + 1), 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            while begin < len(ends_):
+                here = ends_[begin : begin + 512]  # the last rows of up to 512 values
+                start = 0 if begin == 0 else ends_[begin - 1] + 1
+                inside = np.cumsum(dealt(rows.iloc[start : here[-1] + 1]), axis=0)[here - start]
+                c = ca + inside
+                d = c / first_ - (at[here][:, None] - c) / (all_ - first_)
+                total += (np.diff(np.r_[start - 1, here])[:, None] * d * d).sum(axis=0)
+                ca, begin = c[-1], begin + 512
+        return pd.DataFrame({"rep": np.arange(replicates + 1, dtype=np.int32), "t": total})
+
+    light = t.filter("unit % 2 = 1").withColumn("_all", n.scalar())
+    light_parts = light.groupBy("unit").cogroup(run.filter("unit % 2 = 1").groupBy("unit")).applyInPandas(squares, "rep int, t double")
+    return _p_value(heavy_parts.unionByName(light_parts).groupBy("rep").agg(F.nanvl(F.sum("t"), F.lit(None)).alias("t")))
 
 
 def mmd_kernel_test(df, id_, x, y, group, first, sigmas, replicates=1000, kernel="Laplacian", distance="euclidean", seed=1, block=512):
