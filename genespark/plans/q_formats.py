@@ -1,5 +1,7 @@
 """Parsers and writers, run over text that Spark derives from the driver tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from genespark.functions import coords
@@ -8,8 +10,10 @@ from genespark.plans import views as v
 from genespark.plans.q_variants import pile
 from genespark.plans.registry import query
 from genespark.plans.views import GENO, r6, rnd, sql
+from genespark.scratch import shared_folder
 from genespark.sinks import formats as K
 from genespark.sources import formats as R
+from genespark.sources.lines import read_lines, read_numbered
 
 TAB = "\t"
 
@@ -474,3 +478,45 @@ def _(spark, d):
     tag = F.concat(F.lit("XF:Z:"), F.concat_ws("|", "seq", F.reverse("seq"), q("I"), q("!")))
     line = cat(F.concat(F.lit("q"), "doc_id"), F.col("doc_id") % 2 * 16, F.lit("c"), F.lit("5"), F.lit("60"), F.concat(n, F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), F.col("seq"), q("I"), F.lit("NM:i:0"), tag)
     return R.split_fold_tag(R.parse_sam(one_file(r, line))).select("qname", "s1", "s2", "q1", "q2", "rev")
+
+
+# --- through files --------------------------------------------------------------------------------
+
+
+def new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("numbered_gzip_lines", sql("", """SELECT o_orderkey // 4096 AS k, row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) - 1 AS line_no, o_orderkey || ' ' || o_orderstatus AS value FROM orders"""))
+def _(spark, d):
+    # a gzip file for every 4096 keys, all read in one go; numbers start again in each file
+    o = v.table(spark, d, "orders").withColumn("k", F.floor(F.col("o_orderkey") / 4096)).repartition("k").sortWithinPartitions("k", "o_orderkey")
+    path = new_folder(spark, "numbered")
+    o.select("k", F.concat_ws(" ", "o_orderkey", "o_orderstatus").alias("value")).write.partitionBy("k").option("compression", "gzip").text(path)
+    t = read_numbered(spark, [path])
+    return t.select(F.regexp_extract("file", "/k=([0-9]+)/", 1).cast("long").alias("k"), "line_no", "value")
+
+
+@query("concatenated_sample_files", sql("idxstats", "SELECT sample, contig, len, nreads FROM idxstats"))
+def _(spark, d):
+    # one file a sample, read together; the sample is the name of the file's folder
+    path = new_folder(spark, "samples")
+    lines = v.idxstats(spark, d).select("sample", cat("contig", "len", "nreads", F.lit("0")).alias("value"))
+    lines.repartition("sample").write.partitionBy("sample").text(path)
+    t = read_lines(spark, [path])
+    return R.parse_idxstats(t.withColumn("file", F.concat(F.regexp_extract("file", "/sample=([^/]+)/", 1), F.lit(".idxstats"))))
+
+
+@query("fai_file", sql("", "SELECT CAST(p_partkey AS VARCHAR) AS chrom, CAST(p_size * 1000 AS BIGINT) AS length FROM part"))
+def _(spark, d):
+    path = new_folder(spark, "fai")
+    p = v.table(spark, d, "part")
+    K.write_lines(p.select("p_partkey", cat(F.concat(F.lit("chr"), "p_partkey"), F.col("p_size") * 1000, F.lit("5"), F.lit("60"), F.lit("61")).alias("line")), path, ["p_partkey"])
+    return R.parse_fai(read_lines(spark, [path]))
+
+
+@query("report_file", sql("", "SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part"))
+def _(spark, d):
+    path = new_folder(spark, "report")
+    K.write_report(v.table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), path)
+    return spark.read.csv(path, sep="\t", header=True, schema="p_partkey long, p_brand string, p_size long, p_retailprice double")

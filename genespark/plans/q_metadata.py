@@ -25,6 +25,20 @@ def with_cust(body):
     return f"WITH {CUST} {body}"
 
 
+def jeffreys_sql(counts, level=0.95, steps=20_000):
+    """CTE ``bounds(k, n, lower, upper)`` for distinct counts: with x = sin(t)^2 the density is smooth, summed on a fine grid."""
+    h = f"(pi() / 2 / {steps})"
+    peak = "CASE WHEN k > 0 THEN k * ln(k / n) ELSE 0 END + CASE WHEN k < n THEN (n - k) * ln((n - k) / n) ELSE 0 END"
+    # the cell that holds the quantile, with the slope of the density in it and the end term of the midpoint rule
+    inside = lambda q: f"({q} * tot - (c - w) - (w - w0) / 24) / w"
+    at = lambda q: f"max(CASE WHEN c >= {q} * tot AND c - w < {q} * tot THEN pow(sin({h} * (i + {inside(q)} + (w1 - w0) / 4 / w * {inside(q)} * (1 - {inside(q)}))), 2) END)"
+    tail = (1 - level) / 2
+    return f"""grid AS (SELECT k, n, i, exp(2 * k * ln(sin({h} * (i + 0.5))) + 2 * (n - k) * ln(cos({h} * (i + 0.5))) - ({peak})) AS w
+ FROM (SELECT DISTINCT CAST(k AS DOUBLE) AS k, CAST(n AS DOUBLE) AS n FROM {counts}), (SELECT unnest(range({steps})) AS i)),
+cum AS (SELECT k, n, i, w, lag(w, 1, w) OVER o AS w0, lead(w, 1, w) OVER o AS w1, sum(w) OVER o AS c, sum(w) OVER (PARTITION BY k, n) AS tot FROM grid WINDOW o AS (PARTITION BY k, n ORDER BY i)),
+bounds AS (SELECT k, n, {at(tail)} AS "lower", {at(1 - tail)} AS "upper" FROM cum GROUP BY 1, 2)"""
+
+
 @query("sex_read_dosage", sql("idxstats", f""", s AS (SELECT sample, CAST(coalesce(sum(nreads) FILTER (contig = 'chrX'), 0) AS BIGINT) AS nx, CAST(coalesce(sum(nreads) FILTER (contig <> 'chrX'), 0) AS BIGINT) AS na,
  CAST(coalesce(sum(len) FILTER (contig = 'chrX'), 0) AS BIGINT) AS lx, CAST(coalesce(sum(len) FILTER (contig <> 'chrX'), 0) AS BIGINT) AS la FROM idxstats GROUP BY sample),
 p AS (SELECT *, lx / (lx + 2 * la) AS p0, lx / (lx + la) AS p1 FROM s WHERE lx > 0 AND la > 0), l AS (SELECT *, nx * ln(p0 / p1) + na * ln((1 - p0) / (1 - p1)) AS llr FROM p),
@@ -55,9 +69,18 @@ def _(spark, d):
     return D.contig_sets_agree(e)
 
 
-@query("sex_cluster")
+@query("sex_cluster", sql("idxstats", f""", s AS (SELECT sample, sum(CASE WHEN contig = 'chrX' THEN nreads ELSE 0 END) AS nx, sum(CASE WHEN contig <> 'chrX' THEN nreads ELSE 0 END) AS na,
+ sum(CASE WHEN contig = 'chrX' THEN len ELSE 0 END) AS lx, sum(CASE WHEN contig <> 'chrX' THEN len ELSE 0 END) AS la FROM idxstats GROUP BY sample),
+l AS (SELECT *, nx * ln(lx / (lx + 2 * la) / (lx / (lx + la))) + na * ln((1 - lx / (lx + 2 * la)) / (1 - lx / (lx + la))) AS llr FROM s WHERE lx > 0 AND la > 0),
+t AS (SELECT sample, nx / (nx + na) / CASE WHEN llr > 0 THEN 2 * (lx / (lx + 2 * la)) ELSE lx / (lx + la) END AS rx FROM l),
+it AS (SELECT 0 AS i, CAST(0.5 AS DOUBLE) AS m, CAST(1.0 AS DOUBLE) AS f UNION ALL
+ SELECT i + 1, coalesce(avg(CASE WHEN abs(rx - m) <= abs(rx - f) THEN rx END), m), coalesce(avg(CASE WHEN abs(rx - m) > abs(rx - f) THEN rx END), f) FROM it, t WHERE i < 100 GROUP BY i, m, f),
+h AS (SELECT sample, rx, m, f, CASE WHEN abs(rx - m) <= abs(rx - f) THEN 'M' ELSE 'F' END AS hard FROM t, it WHERE i = 100),
+w AS (SELECT coalesce(stddev_pop(rx) FILTER (hard = 'M'), 0) AS wm, coalesce(stddev_pop(rx) FILTER (hard = 'F'), 0) AS wf FROM h)
+SELECT sample, {rnd('rx')} AS rx, hard, CASE WHEN rx < m + 1.6448536269514722 * wm THEN 'M' WHEN rx > f - 1.6448536269514722 * wf THEN 'F' END AS soft FROM h, w""").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
-    return D.sex_cluster(D.sex_read_dosage(v.idxstats(spark, d), ["chrX"])).select("sample", "rx", "hard", "soft")
+    t = D.sex_cluster(D.sex_read_dosage(v.idxstats(spark, d), ["chrX"]))
+    return t.select("sample", r6(F.col("rx")).alias("rx"), "hard", "soft")
 
 
 @query("age_stratification", with_cust(f""", m AS (SELECT min(age) AS mid FROM (SELECT bal AS age, row_number() OVER (ORDER BY bal) AS r, count(*) OVER () AS n FROM cust) WHERE r > n // 2 + 1),
@@ -139,11 +162,19 @@ def _(spark, d):
     return t.select("chrom", "pos", "fid", "ac", "n", r6(F.col("af")).alias("af"))
 
 
-@query("jeffreys_interval")
+@query("family_allele_bounds", sql(GENO, f""", a AS (SELECT chrom, pos, grp AS fid, CAST(coalesce(sum(gt), 0) AS BIGINT) AS k, 2 * count(gt) AS n FROM genotypes GROUP BY 1, 2, 3), {jeffreys_sql("(SELECT k, n FROM a WHERE n > 0)")}
+SELECT chrom, pos, fid, {rnd('"lower"', 5)} AS "lower", {rnd('"upper"', 5)} AS "upper" FROM a JOIN bounds USING (k, n)"""))
+def _(spark, d):
+    t = T.family_allele_freq(v.genotypes(spark, d).withColumnRenamed("grp", "fid")).filter("n > 0")
+    return t.select("chrom", "pos", "fid", r6(F.col("lower"), 5).alias("lower"), r6(F.col("upper"), 5).alias("upper"))
+
+
+@query("jeffreys_interval", with_cust(f""", a AS (SELECT nation, CAST(count(*) FILTER (sex = 'M') AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM cust GROUP BY 1), {jeffreys_sql("a")}
+SELECT nation, k, n, {rnd('"lower"', 5)} AS "lower", {rnd('"upper"', 5)} AS "upper" FROM a JOIN bounds USING (k, n)"""))
 def _(spark, d):
     t = cust(spark, d).groupBy("nation").agg(F.count_if(F.col("sex") == "M").cast("double").alias("k"), F.count(F.lit(1)).cast("double").alias("n"))
     lo, hi = jeffreys(F.col("k"), F.col("n"))
-    return t.withColumn("lower", lo).withColumn("upper", hi)
+    return t.withColumn("lower", r6(lo, 5)).withColumn("upper", r6(hi, 5))
 
 
 # --- D runs ---------------------------------------------------------------------------------------
@@ -277,6 +308,13 @@ def _(spark, d):
     return D.museum_sex_ratio(specimens(spark, d)).select("genus", "species", "m", "f", r6(F.col("ratio")).alias("ratio"))
 
 
+@query("museum_sex_bounds", f"""WITH {SPEC}, a AS (SELECT genus, species, count(*) FILTER (sex = 'M') AS k, count(*) AS n FROM spec GROUP BY 1, 2 HAVING count(*) >= 100), {jeffreys_sql("a")}
+SELECT genus, species, {rnd('"lower"', 5)} AS "lower", {rnd('"upper"', 5)} AS "upper" FROM a JOIN bounds USING (k, n)""")
+def _(spark, d):
+    t = D.museum_sex_ratio(specimens(spark, d))
+    return t.select("genus", "species", r6(F.col("lower"), 5).alias("lower"), r6(F.col("upper"), 5).alias("upper"))
+
+
 @query("trait_medians", f"WITH {SPEC} SELECT genus, species, median(mass) AS median FROM spec GROUP BY 1, 2")
 def _(spark, d):
     return D.trait_medians(specimens(spark, d), "mass")
@@ -338,6 +376,34 @@ def _(spark, d):
     return T.logistic_model(labelled(spark, d), "y", ["x", "z"])
 
 
+LABELLED = """lab AS (SELECT CAST(quality AS DOUBLE) AS y, n_chars / 1000.0 AS x, CAST(toxic AS DOUBLE) AS z, lang FROM documents JOIN labels USING (doc_id))"""
+
+
+@query("logistic_fitted_moments", f"""WITH {LABELLED}, k AS (SELECT * FROM lab WHERE y IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL)
+SELECT 'intercept' AS term, {rnd('sum(y)', 3)} AS total FROM k UNION ALL SELECT 'x', {rnd('sum(y * x)', 3)} FROM k UNION ALL SELECT 'z', {rnd('sum(y * z)', 3)} FROM k""")
+def _(spark, d):
+    # the score equations: at the maximum, fitted and observed sums agree for every column
+    rows = labelled(spark, d).dropna(subset=["y", "x", "z"])
+    b = T.logistic_model(rows, "y", ["x", "z"]).agg(F.map_from_entries(F.collect_list(F.struct("term", "estimate"))).alias("b"))
+    t = rows.withColumn("b", b.scalar())
+    t = t.withColumn("p", 1 / (1 + F.exp(-(F.col("b.intercept") + F.col("b.x") * F.col("x") + F.col("b.z") * F.col("z")))))
+    columns = {"intercept": F.lit(1.0), "x": F.col("x"), "z": F.col("z")}
+    sums = t.agg(F.array(*[F.struct(F.lit(n).alias("term"), F.sum(F.col("p") * c).alias("total")) for n, c in columns.items()]).alias("e"))
+    return sums.select(F.explode("e").alias("e")).select("e.term", r6(F.col("e.total"), 3).alias("total"))
+
+
+def loglik_sql(k, n):
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({k} / {n}) ELSE 0 END + CASE WHEN {k} < {n} THEN ({n} - {k}) * ln(({n} - {k}) / {n}) ELSE 0 END)"
+
+
+@query("likelihood_ratio_groups", f"""WITH {LABELLED}, s AS (SELECT 'all' AS data, * FROM lab UNION ALL SELECT 'short', * FROM lab WHERE x < 2),
+g AS (SELECT data, lang, count(*) AS n, sum(y) AS k FROM s WHERE y IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2), e AS (SELECT data, sum({loglik_sql('k', 'n')}) AS l, count(*) AS levels, sum(n) AS n, sum(k) AS k FROM g GROUP BY 1)
+SELECT data, CAST(levels - 1 AS DOUBLE) AS df, {rnd(f"2 * (l - {loglik_sql('k', 'n')})", 5)} AS deviance, CAST(n - levels AS DOUBLE) AS resid_df, {rnd('-2 * l', 5)} AS resid_dev FROM e""")
+def _(spark, d):
+    t = T.likelihood_ratio_table(labelled(spark, d), "y", {"lang": ["lang"]}, {"all": "true", "short": "x < 2"})
+    return t.select("data", "df", r6(F.col("deviance"), 5).alias("deviance"), "resid_df", r6(F.col("resid_dev"), 5).alias("resid_dev"))
+
+
 @query("logistic_interval")
 def _(spark, d):
     return T.predicted_interval(labelled(spark, d), "y", "x", [0.5, 1.0, 5.0])
@@ -365,6 +431,20 @@ def _(spark, d):
     return T.model_selection(labelled(spark, d), "y", ["x", "z"])[0]
 
 
+def saturated_sql(name, by):
+    """AIC of a model that fits every cell of ``by`` by its own share."""
+    return f"""SELECT '{name}' AS model, {rnd('2.0 * count(*) - 2 * sum(l)', 5)} AS aic FROM (SELECT {loglik_sql('k', 'n')} AS l FROM (SELECT count(*) AS n, sum(y) AS k FROM e GROUP BY {by}))"""
+
+
+@query("model_selection_cells", f"""WITH {LABELLED}, e AS (SELECT y, z, CAST(lang = 'en' AS INTEGER) AS en FROM lab WHERE y IS NOT NULL AND z IS NOT NULL AND lang IS NOT NULL)
+{saturated_sql('y ~ 1', '()')} UNION ALL {saturated_sql('y ~ z', 'z')} UNION ALL {saturated_sql('y ~ en', 'en')} UNION ALL {saturated_sql('y ~ z + en + z:en', 'z, en')}""")
+def _(spark, d):
+    # the sub-models with a closed form: all but the one without the interaction
+    t = labelled(spark, d).withColumn("en", (F.col("lang") == "en").cast("double"))
+    rank = T.model_selection(t, "y", ["z", "en"])[0]
+    return rank.filter("model <> 'y ~ z + en'").select("model", r6(F.col("aic"), 5).alias("aic"))
+
+
 @query("cramer_von_mises_test")
 def _(spark, d):
     return T.cramer_von_mises_test(cust(spark, d), "id", "bal", "sex", "M", replicates=100)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genespark.functions import special
+from genespark.operators import glm
 from genespark.operators import metadata as D
 from genespark.operators import methylation as M
 from genespark.operators import stats as T
@@ -107,6 +108,75 @@ def test_logistic_model_and_likelihood_ratio(spark):
     assert names == ["x", "x_2"] and T.logistic_model(poly, "y", names).count() == 3
 
 
+def test_all_models_in_one_pass(spark, partitions):
+    rng = np.random.default_rng(6)
+    n = 400
+    a, b, g = rng.normal(50, 3, n), rng.normal(0, 1e-3, n), rng.integers(0, 3, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 * (a - 50) + 500 * b + 0.5 * (g == 1))))).astype(int)
+    rows = [(float(p), float(q), "uvw"[k], int(r), i) for i, (p, q, k, r) in enumerate(zip(a, b, g, y))]
+    rows += [(None, 1.0, "u", 1, -1), (1.0, 1.0, "u", None, -2), (1.0, 1.0, None, 1, -3)]
+    df = spark.createDataFrame(rows, "a double, b double, g string, y int, i long")
+    models = [(), ("a",), ("a", "b", "a:b"), ("g", "b")]
+    fits = glm.fit_all(df, "y", models, ("true", "i % 2 = 0", "i > 1000"))
+    order = [l for _, l in sorted((-int(np.sum(g == k)), l) for k, l in enumerate("uvw"))][:-1]
+    for cond, m in (("true", np.ones(n, bool)), ("i % 2 = 0", np.arange(n) % 2 == 0)):
+        one = np.ones(n)
+        designs = [[one], [a, one], [a, b, a * b, one], [*[(np.array(list("uvw"))[g] == l).astype(float) for l in order], b, one]]
+        for terms, x in zip(models, designs):
+            x = np.c_[tuple(x)][m]
+            want, cov, dev = logistic_scaled(x, y[m])
+            fit = fits[cond, terms]
+            assert fit.rows == m.sum() and fit.rank == x.shape[1] and math.isclose(fit.deviance, dev, rel_tol=1e-9)
+            np.testing.assert_allclose(fit.beta, want, rtol=1e-4, atol=1e-6)
+            np.testing.assert_allclose(np.sqrt(np.diag(fit.cov)), np.sqrt(np.diag(cov)), rtol=1e-4)
+    assert fits["true", ("g", "b")].names == [*[f"g_{l}" for l in order], "b", "intercept"]
+    assert fits["i > 1000", ("a",)].rows == 0 and fits["i > 1000", ("a",)].rank == 0
+
+
+def logistic_scaled(x, y):
+    """As ``logistic``, on scaled columns so that it stays in range."""
+    m, s = np.r_[x[:, :-1].mean(axis=0), 0.0], np.r_[x[:, :-1].std(axis=0), 1.0]
+    b, cov, dev = logistic((x - m) / s, y)
+    back = np.diag(1 / s)
+    back[-1, :] -= m / s
+    return back @ b, back @ cov @ back.T, dev
+
+
+def test_separated_and_repeated_columns(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i, float(i >= 10), 7.0) for i in range(20)], "a double, b double, y double, c double")
+    apart = glm.fit_all(df, "y", [("a",)])["true", ("a",)]
+    assert apart.deviance < 1e-6
+    df = df.withColumn("y", ((F.col("a") * 7) % 3 > 1).cast("double"))
+    fits = glm.fit_all(df, "y", [("a",), ("a", "b"), ("c",), ()])
+    assert fits["true", ("a", "b")].rank == 2 and fits["true", ("c",)].rank == 1
+    assert math.isclose(fits["true", ("a", "b")].deviance, fits["true", ("a",)].deviance, rel_tol=1e-9)
+    assert math.isclose(fits["true", ("c",)].deviance, fits["true", ()].deviance, rel_tol=1e-9)
+
+
+def test_distance_of_distributions_with_heavy_values(spark, partitions):
+    rng = random.Random(12)
+    rows = [(i, "a" if rng.random() < 0.4 else "b", float(rng.choice([3, 3, 3, 7, 7, *range(60)]))) for i in range(700)] + [(900, "a", None)]
+    df = spark.createDataFrame(rows, "id long, g string, x double")
+    known = [r for r in rows if r[2] is not None]
+    a, b = [r[2] for r in known if r[1] == "a"], [r[2] for r in known if r[1] == "b"]
+    want = sum((sum(v <= x for v in a) / len(a) - sum(v <= x for v in b) / len(b)) ** 2 for _, _, x in known)
+    results = [T.cramer_von_mises_test(df, "id", "x", "g", "a", replicates=40, size=size).first() for size in (16, 50, 4096)]
+    for r in results:
+        assert math.isclose(r.statistic, want, rel_tol=1e-9) and r.replicates == 40
+    # the labels depend on the row only, so the units do not change the p value, and labels dealt at random are no outlier
+    assert len({r.p for r in results}) == 1 and results[0].p > 0.0
+
+
+def test_labels_are_dealt_evenly():
+    ids = np.arange(5000, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+    got = T._first_group(ids, np.zeros(5000, bool), 0.3, 64, 1)
+    assert not got[:, 0].any()
+    share = got[:, 1:].mean(axis=0)
+    assert np.all(np.abs(share - 0.3) < 5 * math.sqrt(0.21 / 5000))
+    between = np.corrcoef(got[:, 1:], rowvar=False) - np.eye(64)
+    assert np.abs(between).max() < 6 / math.sqrt(5000)
+
+
 def test_permutation_tests_find_a_shift(spark, partitions):
     rows = [(i, "a" if i % 2 else "b", float(i % 2) * 3 + RNG.random(), RNG.random()) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, g string, x double, y double")
