@@ -277,18 +277,74 @@ def age_stratification(table, age="age", sex="hard"):
     return a.withColumn("z", z).drop("_n1", "_n2", "_p1", "_p2", "_p")
 
 
-def dosage_pca(idxstats, contigs, k=2):
-    """Principal components of the contig dosages (share of reads over share of length), and the explained variance."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def dosage_pca(idxstats, contigs=None, k=2, extra=8, rounds=100, tol=1e-9, seed=1):
+    """Principal components of the contig dosages (share of reads over share of length), and their shares of the variance.
+
+    A sample without a contig has dosage 0 there.  Samples and contigs stay rows, whatever their numbers: a block of
+    ``k + extra`` random directions over the contigs is multiplied by the covariance through two joins a round and
+    made orthonormal again by its small Gram matrix, the only thing that reaches the driver, until the first ``k`` variances
+    stand still.  Signs of components are arbitrary.  Returns ``sample, pc`` (array) and the shares; fewer than ``k`` come
+    back where the data have fewer directions (none where all samples are alike); directions that do not settle are an error.
+    """
+    import numpy as np
+
+    from genespark.scratch import release, stash
 
     total = idxstats.groupBy("sample").agg(F.sum("nreads").alias("_n"), F.sum("len").alias("_l"))
-    d = idxstats.join(total, "sample").withColumn("dosage", (F.col("nreads") / F.col("_n")) / (F.col("len") / F.col("_l")))
-    wide = d.groupBy("sample").pivot("contig", list(contigs)).agg(F.first("dosage")).fillna(0.0)
-    vec = VectorAssembler(inputCols=list(contigs), outputCol="v").transform(wide)
-    model = PCA(k=k, inputCol="v", outputCol="pc").fit(vec)
-    pcs = model.transform(vec).select("sample", vector_to_array("pc").alias("pc"))
-    return pcs, [float(x) for x in model.explainedVariance]
+    d = idxstats if contigs is None else idxstats.filter(F.col("contig").isin(list(contigs)))
+    d = d.join(total, "sample").select("sample", "contig", F.coalesce(F.try_divide(F.col("nreads") / F.col("_n"), F.col("len") / F.col("_l")), F.lit(0.0)).alias("x"))
+    d = stash(d.groupBy("sample", "contig").agg(F.first("x").alias("x")))
+    n = total.count()
+    mean = d.groupBy("contig").agg((F.sum("x") / n).alias("m"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+    whole = mean.agg(F.sum(F.col("xx") - n * F.col("m") * F.col("m")).alias("t"), F.sum("xx").alias("xx"), F.count(F.lit(1)).alias("c")).first()
+    if not whole["c"] or n < 2:
+        raise ValueError("components need two samples and a contig")
+    if whole["t"] <= 1e-14 * whole["xx"]:
+        return total.select("sample", F.array().cast("array<double>").alias("pc")), []
+    q = min(k + extra, whole["c"])
+    block = lambda name: [F.col(name)[i] for i in range(q)]
+    listed = lambda cols: F.array(*cols)
+    gram = lambda t, name: t.agg(*[F.sum(F.col(name)[i] * F.col(name)[j]) for i in range(q) for j in range(i, q)]).first()
+
+    def square(row, size):
+        g, it = np.zeros((size, size)), iter(row)
+        for i in range(size):
+            for j in range(i, size):
+                g[i, j] = g[j, i] = next(it) or 0.0
+        return g
+
+    def turned(name, matrix):
+        return listed([sum((F.lit(float(matrix[i, j])) * F.col(name)[i] for i in range(1, matrix.shape[0])), F.lit(float(matrix[0, j])) * F.col(name)[0]) for j in range(matrix.shape[1])])
+
+    def summed(t, key, name):
+        # x times the block, summed by the key, without a row per direction
+        return t.groupBy(key).agg(*[F.sum(F.col("x") * c).alias(f"_s{i}") for i, c in enumerate(block(name))]).select(key, listed([F.col(f"_s{i}") for i in range(q)]).alias(name))
+
+    draws = [F.xxhash64("contig", F.lit(seed), F.lit(i)) / float(1 << 63) for i in range(q)]
+    v, last = stash(mean.select("contig", "m", listed(draws).alias("w"))), None
+    for _ in range(rounds):
+        # orthonormal directions; those that the data lack vanish
+        values, vectors = np.linalg.eigh(square(gram(v, "w"), q))
+        keep = values > 1e-13 * max(values.max(), 1e-300)
+        q = int(keep.sum())
+        v = v.select("contig", "m", turned("w", vectors[:, keep] / np.sqrt(values[keep])).alias("w"))
+        shift = v.agg(*[F.sum(F.col("m") * c) for c in block("w")]).first()
+        u = summed(d.join(v.select("contig", "w"), "contig"), "sample", "w")
+        u = stash(u.select("sample", listed([c - F.lit(float(s)) for c, s in zip(block("w"), shift)]).alias("w")))
+        spread, rotation = np.linalg.eigh(square(gram(u, "w"), q))
+        top = spread[::-1][:k]
+        if last is not None and len(last) == len(top) and np.all(np.abs(top - last) <= tol * max(top.max(), 1e-300)):
+            break
+        last = top
+        v = stash(summed(d.join(u, "sample"), "contig", "w").join(mean.select("contig", "m"), "contig").select("contig", "m", "w"))
+        release(u)
+    else:
+        raise ArithmeticError("the components did not settle")
+    first = rotation[:, ::-1][:, : len(top)]
+    moved = [float(x) for x in np.array(shift, dtype=float) @ first]
+    scores = turned("w", first)
+    pcs = u.select("sample", F.transform(F.arrays_zip(scores.alias("a"), F.array(*[F.lit(x) for x in moved]).alias("b")), lambda e: e["a"] + e["b"]).alias("pc"))
+    return pcs, [float(x) / whole["t"] if whole["t"] else 0.0 for x in top]
 
 
 # --- insert sizes ---------------------------------------------------------------------------------

@@ -94,11 +94,32 @@ def _(spark, d):
 
 @query("dosage_pca")
 def _(spark, d):
-    i = v.idxstats(spark, d)
-    pcs, _ = D.dosage_pca(i, ["chr1", "chr2", "chr3", "chr4", "chr5", "chrX"], 2)
+    pcs, _ = D.dosage_pca(v.idxstats(spark, d), k=2)
     return pcs.select("sample", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
 
 
+DOSES = """, tot AS (SELECT sample, sum(nreads) AS tn, sum(len) AS tl FROM idxstats GROUP BY 1),
+x AS (SELECT s.sample, c.contig, coalesce(i.nreads / tn / (i.len / tl), 0) AS x FROM tot s CROSS JOIN (SELECT DISTINCT contig FROM idxstats) c LEFT JOIN idxstats i ON i.sample = s.sample AND i.contig = c.contig)"""
+
+
+@query("dosage_pca_norms", sql("idxstats", f"{DOSES} SELECT sample, {rnd('sum((x - m) * (x - m))')} AS norm FROM x JOIN (SELECT contig, avg(x) AS m FROM x GROUP BY 1) USING (contig) GROUP BY 1"))
+def _(spark, d):
+    # all components together keep every sample's distance from the mean (directions without variance are not among them)
+    pcs, _ = D.dosage_pca(v.idxstats(spark, d), k=6)
+    t = pcs.select("sample", F.posexplode("pc").alias("j", "x"))
+    t = t.join(t.groupBy("j").agg(F.avg("x").alias("m")), "j")
+    return t.groupBy("sample").agg(r6(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m")))).alias("norm"))
+
+
+@query("dosage_pca_spectrum", sql("idxstats", f"""{DOSES}, c AS (SELECT a.contig AS p, b.contig AS q, covar_samp(a.x, b.x) AS c FROM x a JOIN x b USING (sample) GROUP BY 1, 2)
+SELECT {rnd('sum(c) FILTER (p = q)', 7)} AS trace, {rnd('sum(c * c)', 7)} AS squares FROM c"""))
+def _(spark, d):
+    # scores have the eigenvalues of the covariance as variances: their sum is its trace, their squares sum to its squared norm
+    pcs, _ = D.dosage_pca(v.idxstats(spark, d), k=6)
+    t = pcs.select(F.posexplode("pc").alias("j", "x")).groupBy("j").agg(F.var_samp("x").alias("l"))
+    return t.agg(r6(F.sum("l"), 7).alias("trace"), r6(F.sum(F.col("l") * F.col("l")), 7).alias("squares"))
+
+
 ISIZE = """iz AS (SELECT 'S' || l_linenumber AS sample, CAST(l_orderkey % 4 AS VARCHAR) AS chrom, CAST(l_quantity AS BIGINT) AS length, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)"""
 
 

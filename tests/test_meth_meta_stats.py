@@ -251,6 +251,31 @@ def test_dosage_clusters_and_components(spark):
     np.testing.assert_allclose(np.abs(got[:, 0]), np.abs(dose @ vectors[:, -1]), rtol=1e-6)
 
 
+def test_components_of_many_contigs_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    sex = rng.integers(0, 2, 15)
+    reads = rng.poisson(200 * (1 + (np.arange(40) < 6) * sex[:, None]) * (1 + 0.3 * rng.random((15, 1)) * (np.arange(40) % 5 == 0)))
+    there = rng.random((15, 40)) < 0.95
+    length = 100 + np.arange(40)
+    rows = [(f"s{i}", f"c{j}", int(reads[i, j]), int(length[j])) for i in range(15) for j in range(40) if there[i, j]]
+    df = spark.createDataFrame(rows, "sample string, contig string, nreads long, len long")
+    pcs, explained = D.dosage_pca(df, k=2, tol=1e-11)
+    r, l = reads * there, length * there
+    dose = np.where(there, (r / r.sum(axis=1, keepdims=True)) / np.where(there, l / l.sum(axis=1, keepdims=True), 1), 0)
+    values, vectors = np.linalg.eigh(np.cov(dose, rowvar=False))
+    np.testing.assert_allclose(explained, values[::-1][:2] / values.sum(), rtol=1e-6)
+    got = np.array([x.pc for x in sorted(pcs.collect(), key=lambda x: int(x["sample"][1:]))])
+    np.testing.assert_allclose(np.abs(got), np.abs(dose @ vectors[:, ::-1][:, :2]), rtol=1e-3, atol=1e-3)
+
+
+def test_alike_samples_have_no_components(spark):
+    df = spark.createDataFrame([(f"s{i}", c, 10, 100) for i in range(4) for c in "ab"], "sample string, contig string, nreads long, len long")
+    pcs, explained = D.dosage_pca(df)
+    assert explained == [] and [r.pc for r in pcs.collect()] == [[]] * 4
+    with pytest.raises(ValueError):
+        D.dosage_pca(df.filter("sample = 's1'"))
+
+
 def test_tails_at_large_counts():
     from genespark.functions import special
 
