@@ -288,6 +288,14 @@ def test_tails_at_large_counts():
         grid = (np.arange(steps) + 0.5) / steps
         dens = np.exp((a - 1) * np.log(grid) + (b - 1) * np.log1p(-grid) + special.lgamma(a + b) - special.lgamma(a) - special.lgamma(b))
         assert math.isclose(float(special.betainc(a, b, p)), float(dens[grid < p].sum() / steps), rel_tol=2e-3, abs_tol=1e-5)
+    # many large counts in one batch: no round leaves all of them at the last digit
+    a = np.array([5e4, 3e5, 1e6, 1e7, 1e8])[:, None] * np.array([0.01, 0.33, 0.5]) + 0.5
+    b = np.array([5e4, 3e5, 1e6, 1e7, 1e8])[:, None] + 1 - a
+    for p, z in ((0.025, -1.959964), (0.975, 1.959964)):
+        q = special.beta_quantile(a, b, p)
+        mean, sd = a / (a + b), np.sqrt(a * b / (a + b + 1)) / (a + b)
+        assert np.allclose(special.betainc(a, b, q), p, rtol=0, atol=1e-9) and np.allclose((q - mean) / sd, z, atol=0.06)
+        assert np.allclose(special.betainc(b, a, 1 - q), 1 - p, rtol=0, atol=1e-9)
     assert math.isclose(float(special.gamma_upper(50_000.0, 50_000.0)), 0.5 - 1 / (3 * math.sqrt(2 * math.pi * 50_000)), abs_tol=1e-6)
     # hypergeometric: far tails, both sides of the mode, and counts whose terms would not fit into memory
     assert math.isclose(special.hypergeom_tail(3, 50, 10, 12), sum(math.comb(10, k) * math.comb(40, 12 - k) for k in range(3, 11)) / math.comb(50, 12), rel_tol=1e-10)
