@@ -240,12 +240,35 @@ def model_selection(df, y, predictors, interactions=True, upto=0.95):
 # --- permutation tests ----------------------------------------------------------------------------
 
 
+def _label_cuts(df, id_, group, first, replicates, seed, shift=56):
+    """(rep, cut): the hash and id of the last row that a replicate deals to the first group.
+
+    The rows are ranked by a hash of id and replicate, and the first group keeps its size.  Counts by the leading bits of the
+    hash find the place of that rank; only the rows that share its bits, four in a thousand, are put in order.
+    """
+    h = F.xxhash64(F.col(id_), F.col("rep"), F.lit(seed))
+    dealt = df.select(id_, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).select(id_, "rep", h.alias("_h"), F.shiftright(h, shift).alias("_tile"))
+    before = W.partitionBy("rep").orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)  # one row per value of the leading bits
+    size = df.agg(F.count_if(F.col(group) == first).alias("m"))
+    tiles = dealt.groupBy("rep", "_tile").agg(F.count(F.lit(1)).alias("_n")).withColumn("_need", size.scalar() - F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    tiles = tiles.filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_n"))).select("rep", "_tile", "_need")
+    near = dealt.join(F.broadcast(tiles), ["rep", "_tile"])  # one row per replicate
+    place = F.row_number().over(W.partitionBy("rep").orderBy("_h", id_))
+    return near.withColumn("_l", place).filter(F.col("_l") == F.col("_need")).select("rep", F.struct("_h", F.col(id_).alias("_id")).alias("cut"))
+
+
+def _dealt_first(id_, rep, seed, cut):
+    """Whether a replicate deals the row to the first group, from the replicate's cut (NULL: nobody is in it)."""
+    h = F.xxhash64(F.col(id_), rep, F.lit(seed))
+    return F.coalesce((h < cut["_h"]) | ((h == cut["_h"]) & (F.col(id_) <= cut["_id"])), F.lit(False))
+
+
 def permuted_labels(df, id_, group, first, replicates, seed=1):
     """(id, rep, in_first): replicate 0 holds the real labels, the others hash shuffles of the same sizes."""
-    size = df.agg(F.count_if(F.col(group) == first).alias("m"))
+    cuts = _label_cuts(df, id_, group, first, replicates, seed)
     reps = df.select(id_, (F.col(group) == first).alias("_real"), F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("rep"))
-    ranked = tiling.hash_rank(reps, ["rep"], [id_, "rep"], seed, "_rank")
-    return ranked.select(id_, "rep", F.when(F.col("rep") == 0, F.col("_real")).otherwise(F.col("_rank") <= size.scalar()).alias("in_first"))
+    t = reps.join(F.broadcast(cuts), "rep", "left")
+    return t.select(id_, "rep", F.when(F.col("rep") == 0, F.col("_real")).otherwise(_dealt_first(id_, F.col("rep"), seed, F.col("cut"))).alias("in_first"))
 
 
 def _p_value(stats):
@@ -325,21 +348,29 @@ def cramer_von_mises_test(df, id_, value, group, first, replicates=1000, seed=1,
     return _p_value(heavy_parts.unionByName(light_parts).groupBy("rep").agg(F.nanvl(F.sum("t"), F.lit(None)).alias("t")))
 
 
-def mmd_kernel_test(df, id_, x, y, group, first, sigmas, replicates=1000, kernel="Laplacian", distance="euclidean", seed=1, block=512):
+def mmd_kernel_test(df, id_, x, y, group, first, sigmas, replicates=1000, kernel="Laplacian", distance="euclidean", seed=1, block=4096):
     """Maximum mean discrepancy over a grid of kernel widths, with a permutation p.
 
-    Points are cut into blocks; one task builds the kernel of a pair of blocks and folds it with the weights
-    of all replicates at once, so it returns one number per replicate and width and no pair is written out.
+    Ids are unique; a row without one counts for the sizes only.  Rows of one place are one point, which knows how many of its
+    rows every replicate deals to the first group, so no row is copied per replicate.  Points are cut into blocks; one task
+    builds the kernel of a pair of blocks and folds it with the weights of all replicates at once, so it returns one number
+    per replicate and width and no pair is written out.  The work grows with the square of the different places, what is
+    shuffled with that square over ``block``.  A missing coordinate makes the statistic NULL.
     """
-    labels = permuted_labels(df, id_, group, first, replicates, seed)
+    df = tiling.spread(df.select(id_, x, y, group), id_)  # every row is hashed once per replicate, so small files are dealt out
+    cuts = _label_cuts(df, id_, group, first, replicates, seed)
+    cuts = cuts.agg(F.map_from_entries(F.collect_list(F.struct("rep", "cut"))).alias("m")).select(F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.try_element_at("m", r)).alias("cuts"))
     sizes = df.agg(F.struct(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) != first).alias("b")))
-    w = labels.groupBy(id_).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "in_first"))), lambda s: s["in_first"]).alias("_w"))
-    pts = tiling.hash_rank(df.select(id_, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), [], [id_], seed, "_rank")
-    pts = pts.withColumn("_b", F.floor((F.col("_rank") - 1) / block).cast("int")).join(w, id_).withColumn("_s", sizes.scalar())
-    pts = pts.withColumn("_w", F.transform("_w", lambda b: F.when(b, 1.0 / F.col("_s.a")).otherwise(-1.0 / F.col("_s.b")))).drop("_s", "_rank")
-    n_blocks = df.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    pts = pts.withColumn("_o", F.explode(F.sequence(F.lit(0), n_blocks.scalar() - 1)))
-    pts = pts.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+    rows = df.filter(F.col(id_).isNotNull()).select(id_, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), (F.col(group) == first).alias("_real")).withColumn("_cuts", cuts.scalar())
+    dealt = [F.count_if("_real"), *[F.count_if(_dealt_first(id_, F.lit(r), seed, F.get("_cuts", F.lit(r - 1)))) for r in range(1, replicates + 1)]]
+    pts = rows.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_f{r}") for r, c in enumerate(dealt)])
+    pts = stash(pts.select("_x", "_y", "_n", F.array(*[f"_f{r}" for r in range(replicates + 1)]).alias("_f")))
+    # few places are cut finer, so that there are tasks enough
+    n = F.count(F.lit(1))
+    n_blocks = pts.agg(F.greatest(F.lit(1), F.ceil(n / block), F.least(F.lit(16), F.ceil(n / 256))).cast("int").alias("k"))
+    t = pts.withColumn("_k", n_blocks.scalar()).withColumn("_b", F.pmod(F.xxhash64("_x", "_y"), F.col("_k")).cast("int"))
+    t = t.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).withColumn("_s", sizes.scalar())
+    t = t.select("_x", "_y", "_n", "_f", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), F.col("_s.a").alias("_first"), F.col("_s.b").alias("_rest"))
 
     def dist(a, b):
         if distance == "great_circle":
@@ -349,21 +380,34 @@ def mmd_kernel_test(df, id_, x, y, group, first, sigmas, replicates=1000, kernel
             return 6371.0 * np.arccos(np.clip(c, -1, 1))
         return np.hypot(a[:, 0][:, None] - b[:, 0], a[:, 1][:, None] - b[:, 1])
 
+    def weights(pdf):
+        """Of the points under every replicate, and the sums of the squared weights of their rows."""
+        f = np.stack(pdf["_f"].to_numpy()).astype(float)
+        rest = pdf["_n"].to_numpy(dtype=float)[:, None] - f
+        share = [np.divide(v, size, out=np.zeros_like(v), where=v > 0) for v, size in ((f, pdf["_first"].iloc[0]), (rest, pdf["_rest"].iloc[0]))]
+        squares = sum(np.divide(v.sum(axis=0), float(size), out=np.zeros(v.shape[1]), where=v.any(axis=0)) for v, size in zip(share, (pdf["_first"].iloc[0], pdf["_rest"].iloc[0])))
+        return share[0] - share[1], squares
+
     def fold(pdf):
         i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
         left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
+        if left.empty or right.empty:
+            return pd.DataFrame({"rep": [], "sigma": [], "part": []})
         a, b = left[["_x", "_y"]].to_numpy(), right[["_x", "_y"]].to_numpy()
-        wa, wb = np.stack(left["_w"].to_numpy()), np.stack(right["_w"].to_numpy())
-        d = dist(a, b)
-        out = []
-        for s in sigmas:
-            k = np.exp(-(d * d) / (s * s)) if kernel == "Gaussian" else np.exp(-d / s)
+        (wa, squares), (wb, _) = weights(left), weights(right)
+        parts = np.zeros((len(sigmas), wa.shape[1]))
+        for begin in range(0, len(a), 256):
+            here = slice(begin, begin + 256)
+            d = dist(a[here], b)
             if i == j:
-                np.fill_diagonal(k, 0.0)
-            total = np.einsum("ir,ir->r", wa, k @ wb) * (1.0 if i == j else 2.0)
-            out.append(pd.DataFrame({"rep": np.arange(wa.shape[1], dtype=np.int32), "sigma": float(s), "part": total}))
-        return pd.concat(out)
-
-    parts = tiling.spread(pts, "_i", "_j").groupBy("_i", "_j").applyInPandas(fold, "rep int, sigma double, part double")
+                d[np.arange(len(d)), begin + np.arange(len(d))] = 0.0
+            for k, s in enumerate(sigmas):
+                parts[k] += np.einsum("ir,ir->r", wa[here], (np.exp(-(d * d) / (s * s)) if kernel == "Gaussian" else np.exp(-d / s)) @ wb)
+        parts = parts - squares if i == j else 2.0 * parts  # no row is paired with itself
+        reps = np.arange(wa.shape[1], dtype=np.int32)
+        return pd.concat([pd.DataFrame({"rep": reps, "sigma": float(s), "part": p}) for s, p in zip(sigmas, parts)])
+
+    parts = tiling.spread(t, "_i", "_j").groupBy("_i", "_j").applyInPandas(fold, "rep int, sigma double, part double")
+    missing = pts.agg(F.count_if(F.col("_x").isNull() | F.col("_y").isNull() | F.isnan("_x") | F.isnan("_y")))
     stats = parts.groupBy("rep", "sigma").agg(F.sum("part").alias("t")).groupBy("rep").agg(F.max("t").alias("t"))
-    return _p_value(stats)
+    return _p_value(stash(stats.withColumn("t", F.when(missing.scalar() == 0, F.col("t")))))

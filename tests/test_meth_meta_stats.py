@@ -10,7 +10,7 @@ from genespark.operators import glm
 from genespark.operators import metadata as D
 from genespark.operators import methylation as M
 from genespark.operators import stats as T
-from genespark.operators import variants
+from genespark.operators import tiling, variants
 
 RNG = random.Random(9)
 
@@ -191,6 +191,32 @@ def test_permutation_tests_find_a_shift(spark, partitions):
     assert math.isclose(k.statistic, best, rel_tol=1e-9) and k.p == 0.0
 
 
+def test_kernel_test_on_shared_places(spark, partitions):
+    # some places hold many rows, the others one
+    rows = [(i, "a" if i % 3 else "b", float(i % 5), 0.5) for i in range(40)] + [(i, "a" if i % 2 else "b", float(RNG.random()) * 9, float(RNG.random())) for i in range(40, 90)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double")
+    m, n, seed = sum(r[1] == "a" for r in rows), len(rows), 3
+    labels = {(r.id, r.rep): r.in_first for r in T.permuted_labels(df, "id", "g", "a", 6, seed).collect()}
+    reps = df.select("id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("rep"))
+    for r in tiling.hash_rank(reps, ["rep"], ["id", "rep"], seed, "k").collect():
+        assert labels[r.id, r.rep] == (r["k"] <= m if r.rep else rows[r.id][1] == "a")
+    assert all(sum(labels[i, rep] for i in range(n)) == m for rep in range(7))
+
+    def statistic(rep):
+        w = [1 / m if labels[i, rep] else -1 / (n - m) for i in range(n)]
+        return max(sum(w[i] * w[j] * math.exp(-math.hypot(a[2] - b[2], a[3] - b[3]) / s) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j) for s in (1.0, 5.0))
+
+    got = T.mmd_kernel_test(df, "id", "x", "y", "g", "a", [1.0, 5.0], replicates=6, seed=seed, block=8).first()
+    seen = statistic(0)
+    assert math.isclose(got.statistic, seen, rel_tol=1e-9) and math.isclose(got.p, sum(statistic(r) > seen for r in range(1, 7)) / 6)
+
+
+def test_kernel_test_without_a_coordinate_is_null(spark):
+    rows = [(i, "a" if i % 2 else "b", None if i == 7 else float(i), 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double")
+    assert T.mmd_kernel_test(df, "id", "x", "y", "g", "a", [1.0], replicates=3, block=8).first().statistic is None
+
+
 def test_row_median_and_conflicts(spark):
     df = spark.createDataFrame([(1.0, None, 5.0), (None, None, None), (2.0, 4.0, 9.0)], "a double, b double, c double")
     assert [r.m for r in df.select(D.row_median(F.col("a"), F.col("b"), F.col("c")).alias("m")).collect()] == [3.0, None, 4.0]
