@@ -217,6 +217,22 @@ def test_kernel_test_without_a_coordinate_is_null(spark):
     assert T.mmd_kernel_test(df, "id", "x", "y", "g", "a", [1.0], replicates=3, block=8).first().statistic is None
 
 
+def test_methylation_view_groups_once(spark, tmp_path):
+    from genespark.plans import views
+
+    rows = [(p, s, f) for p in (1, 2, 3, 5, 6, 11, None) for s in (1, 6, 38, None) for f in ("R", "N", "R", None)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {}
+    for p, s, f in rows:
+        start = None if p is None or s is None else p * 40 + s % 37
+        key = (None if s is None else s % 5 + 1, start, "+" if p is not None and p % 2 == 0 else "-", "CHH" if p is None else ("CpG", "CHG", "CHH")[p % 3])
+        n = want.setdefault(key, [0, 0])
+        n[f == "R"] += 1
+    m = views.meth(spark, str(tmp_path))
+    assert {(r.chrom, r.start, r.strand, r.context): [r.c, r.mc] for r in m.collect()} == want
+    assert m._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("hashpartitioning") == 1
+
+
 def test_row_median_and_conflicts(spark):
     df = spark.createDataFrame([(1.0, None, 5.0), (None, None, None), (2.0, 4.0, 9.0)], "a double, b double, c double")
     assert [r.m for r in df.select(D.row_median(F.col("a"), F.col("b"), F.col("c")).alias("m")).collect()] == [3.0, None, 4.0]
