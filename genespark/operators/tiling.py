@@ -18,18 +18,27 @@ TILE = 1 << 20
 RANK_TILES = 256
 HASH_SHIFT = 48
 
+#: Rows of a wide shuffle that one task gets, about.
+TASK_ROWS = 1 << 19
+
 
 def tile_of(pos, size=TILE):
     return F.floor(F.col(pos) / F.lit(size)).cast("long") if isinstance(pos, str) else F.floor(pos / F.lit(size)).cast("long")
 
 
-def spread(df, *keys):
-    """Hash partitioning on the grouping keys with the session's full shuffle width.
+def width(spark, rows):
+    """Shuffle partitions by the number of rows, so that what one task holds does not grow with it."""
+    return max(spark.sparkContext.defaultParallelism, rows // TASK_ROWS + 1)
+
+
+def spread(df, *keys, rows=0):
+    """Hash partitioning on the grouping keys with the session's full shuffle width, or more if there are so many ``rows``.
 
     Grouped Python work costs far more per byte than AQE assumes when it merges small shuffle partitions; a
     fixed number is left alone, and the following groupBy on the same keys needs no further exchange.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows and width(spark, rows)), *keys)
 
 
 def _tiled(df, pos, size):

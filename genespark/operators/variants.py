@@ -334,28 +334,49 @@ def rolling_depth_histogram(depths, width, keys=("sample", "chrom"), tail=False,
     return roll.filter("s > 0").groupBy(keys[0], "s").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sliding_windows(sites, counts, window, step, keys=("chrom",), contigs=None):
+#: Windows of one tile, as a multiple of the windows that share a unit: what is copied over tile borders is a share of one in so many.
+WINDOW_TILE = 64
+
+
+def sliding_windows(sites, counts, window, step, keys=("chrom",), contigs=None, rows=0):
     """Sums per window [k step, k step + window) over 0-based positions, dense from 0 to the last full window.
 
-    Sites are first summed per unit, the greatest length that divides both window and step, which shuffles one row
-    per (key, unit); each unit then adds to the windows that hold it. With ``contigs`` (chrom, length) the last windows
-    end where their contig does.
+    The unit is the greatest length that divides both window and step. Sites are first summed per unit, which shuffles one
+    row per (key, unit); each unit then goes to the tile of consecutive windows that hold it (two at a border) and adds
+    to them there. With ``rows``, the rows that the sites come from, units hold few sites: these go to their tiles
+    at once, and the shuffle is as wide as that number asks. With ``contigs`` (chrom, length) the last windows end where
+    their contig does.
     """
     keys = list(keys)
     unit = math.gcd(window, step)
     per, stride = window // unit, step // unit
+    tile = WINDOW_TILE * -(-per // stride)
     zero = F.lit(0).cast("long")
-    chunk = sites.groupBy(*keys, tiling.tile_of(F.col("pos") - 1, unit).alias("_c")).agg(
-        *[F.sum(c.cast("long")).alias(n) for n, c in counts.items()]
-    )
-    last = F.greatest(zero, F.floor((F.col("_last") - per + 1) / stride).cast("long"))
-    grid = chunk.groupBy(*keys).agg(F.max("_c").alias("_last")).select(*keys, F.explode(F.sequence(zero, last)).alias("_k"))
+    none = F.lit(None).cast("long")
+    at = tiling.tile_of(F.col("pos") - 1, unit)
     low = F.greatest(zero, F.ceil((F.col("_c") - per + 1) / stride).cast("long"))
     high = F.floor(F.col("_c") / stride).cast("long")
-    held = chunk.withColumn("_high", high).withColumn("_low", low).filter("_low <= _high")  # a step longer than the window skips units
-    spread = held.withColumn("_k", F.explode(F.sequence("_low", "_high")))
-    sums = spread.groupBy(*keys, "_k").agg(*[F.sum(n).alias(n) for n in counts])
-    out = grid.join(sums, [*keys, "_k"], "left").fillna(0, list(counts))
+    summed = lambda t, *by: t.groupBy(*keys, *by).agg(*[F.sum(n).alias(n) for n in counts])
+
+    chunk = sites.select(*keys, at.alias("_c"), *[c.cast("long").alias(n) for n, c in counts.items()]).dropna(subset=keys)
+    if not rows:
+        chunk = summed(chunk, "_c")
+    held = chunk.filter(low <= high)  # a step longer than the window skips units
+    held = held.withColumn("_tile", F.explode(F.sequence(tiling.tile_of(low, tile), tiling.tile_of(high, tile)))).withColumn("_last", none)
+    last = F.greatest(zero, F.floor((F.col("_top") - per + 1) / stride).cast("long"))
+    grid = sites.groupBy(*keys).agg(F.max(at).alias("_top")).select(*keys, last.alias("_last"))
+    grid = grid.withColumn("_tile", F.explode(F.sequence(zero, tiling.tile_of("_last", tile)))).withColumn("_c", none)
+    t = held.unionByName(grid.withColumns({n: zero for n in counts}))
+
+    t = tiling.spread(t, *keys, "_tile", rows=rows)
+    if rows:
+        t = summed(t, "_tile", "_c", "_last")
+    in_grid = F.col("_last").isNotNull()
+    begin = F.col("_tile") * tile
+    first_k = F.when(in_grid, begin).otherwise(F.greatest(low, begin))
+    last_k = F.least(F.when(in_grid, F.col("_last")).otherwise(high), begin + (tile - 1))
+    t = t.select(*keys, "_tile", *counts, in_grid.alias("_in"), F.explode(F.sequence(first_k, last_k)).alias("_k"))
+    out = t.groupBy(*keys, "_tile", "_k").agg(*[F.sum(n).alias(n) for n in counts], F.max("_in").alias("_in")).filter("_in")
     end = F.col("_k") * step + window
     if contigs is not None:
         out = out.join(contigs.select("chrom", F.col("length").alias("_length")), "chrom", "left")
@@ -363,10 +384,10 @@ def sliding_windows(sites, counts, window, step, keys=("chrom",), contigs=None):
     return out.select(*keys, (F.col("_k") * step).alias("start"), end.alias("end"), *counts)
 
 
-def sliding_homozygosity(calls, window=5_000_000, step=200_000, min_depth=0, max_depth=1 << 30, contigs=None):
+def sliding_homozygosity(calls, window=5_000_000, step=200_000, min_depth=0, max_depth=1 << 30, contigs=None, rows=0):
     """Sites and homozygous sites of each sample per window, inside a depth band."""
     t = calls.filter(F.col("gt").isNotNull() & F.col("dp").between(min_depth, max_depth))
-    return sliding_windows(t, {"n": F.lit(1), "hom": F.col("gt") != 1}, window, step, ("sample", "chrom"), contigs)
+    return sliding_windows(t, {"n": F.lit(1), "hom": F.col("gt") != 1}, window, step, ("sample", "chrom"), contigs, rows)
 
 
 def shared_homozygosity(calls, samples, window=5_000_000, step=200_000, bands=None):

@@ -346,7 +346,8 @@ SELECT grid.sample, grid.chrom, k * 4000 AS "start", least(k * 4000 + 50000, len
 FROM grid JOIN ends ON ends.chrom = grid.chrom LEFT JOIN u ON u.sample = grid.sample AND u.chrom = grid.chrom AND u.c >= k * 2 AND u.c < k * 2 + 25 GROUP BY ALL"""))
 def _(spark, d):
     ends = v.sites(spark, d).groupBy("chrom").agg(F.max("pos").alias("length"))
-    return variants.sliding_homozygosity(v.genotypes(spark, d), 50_000, 4_000, 5, 60, ends)
+    rows = v.table(spark, d, "lineitem").count()
+    return variants.sliding_homozygosity(v.genotypes(spark, d), 50_000, 4_000, 5, 60, ends, rows)
 
 
 @query("recombination_density", sql("sites", f""", fai AS (SELECT chrom, max(pos) + 500 AS length FROM sites GROUP BY chrom),

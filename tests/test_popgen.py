@@ -1,10 +1,11 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from genespark.operators import pairs, popgen, variants
+from genespark.operators import pairs, popgen, tiling, variants
 
 RNG = random.Random(11)
 SCHEMA = "site_id long, chrom int, pos long, idx int, sample string, grp string, gt int"
@@ -164,6 +165,52 @@ def test_few_calls_give_unknown_homozygosity(spark):
     assert got == {0: (9, 0, None), 100: (20, 20, None)}
 
 
+@pytest.mark.parametrize("rows_known", [False, True])
+@pytest.mark.parametrize("window, step", [(50, 4), (10, 25), (20, 20)])
+def test_windows_by_tiles(spark, monkeypatch, rows_known, window, step):
+    monkeypatch.setattr(tiling, "TASK_ROWS", 50, raising=False)
+    monkeypatch.setattr(variants, "WINDOW_TILE", 2, raising=False)
+    rows = [(RNG.choice(["S1", "S2", None]), RNG.choice([1, 2, None]), p, RNG.choice([0, 1, 2, None]), RNG.randint(3, 70)) for p in RNG.sample(range(1, 1500), 800)]
+    rows += rows[:100] + [("S1", 1, None, 0, 10), ("S3", 1, None, 0, 10)]
+    df = spark.createDataFrame(rows, "sample string, chrom int, pos long, gt int, dp int").repartition(3)
+    ends = spark.createDataFrame([(1, 1403), (3, 9)], "chrom int, length long")
+    known = {"rows": len(rows)} if rows_known else {}
+    got = variants.sliding_homozygosity(df, window, step, 5, 60, ends, **known)
+    unit = math.gcd(window, step)
+    good = [(s, c, p and (p - 1) // unit, g) for s, c, p, g, d in rows if g is not None and 5 <= d <= 60]
+    want = []
+    for s, c in {r[:2] for r in good}:
+        at = [(u, g) for t, d, u, g in good if (t, d) == (s, c) and u is not None]
+        for k in range(max(0, (max(u for u, _ in at) - window // unit + 1) * unit // step if at else 0) + 1):
+            inside = [g for u, g in at if k * step <= u * unit < k * step + window] if s and c else []
+            end = k * step + window
+            want.append((s, c, k * step, min(end, 1403) if c == 1 else end, len(inside), sum(g != 1 for g in inside)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    if rows_known:
+        assert len(rows) // 50 + 1 == 19 and "hashpartitioning(sample, chrom, _tile, 19)" in re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_calls_are_dealt_out_by_their_rows(spark, tmp_path, monkeypatch):
+    from genespark.plans import views
+
+    monkeypatch.setattr(tiling, "TASK_ROWS", 100, raising=False)
+    flags = ["", "A", "AB", "N", "NA", "R", None]
+    rows = [(RNG.choice([*range(150), None]), RNG.choice([1, 2, None]), RNG.choice(flags), RNG.choice([0.0, 0.05, None]), float(RNG.randint(1, 50)), 0.01 * RNG.randint(0, 8)) for _ in range(1500)]
+    schema = "l_orderkey long, l_linenumber int, l_returnflag string, l_discount double, l_quantity double, l_tax double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[:2], []).append(r[2:])
+    want = {}
+    for key, rs in groups.items():
+        flag = min((f for f, *_ in rs if f is not None), default=None)
+        least = min((m for _, m, *_ in rs if m is not None), default=None)
+        want[key] = ({"A": 0, "N": 1}.get(flag, 2) if least else None, sum(int(q) for *_, q, _ in rs), round(sum(t for *_, t in rs) * 1000))
+    calls = views.calls(spark, str(tmp_path))
+    assert {(r.site_id, r.idx): (r.gt, r.dp, r.qual) for r in calls.collect()} == want
+    assert calls.rdd.getNumPartitions() == 16
+
+
 def test_spaced_topologies(spark):
     rows = [(s, 1, s * 10, i, n, n, (0, 0, 2)[i]) for s in range(10) for i, n in enumerate("abc")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("qual", F.lit(30.0)).withColumn("ref", F.lit("A")).withColumn("alt", F.lit("C"))
