@@ -97,21 +97,22 @@ def meth_autocovariance(levels, value="level", pos="pos", max_dist=10_000, bin_s
     The pairs within a distance are never written out: a tile of positions with a halo of ``max_dist`` is
     correlated with itself, which gives the sum over all its pairs at every distance.
     """
-    moments = levels.agg(F.struct(F.avg(value).alias("m"), F.var_samp(value).alias("v")))
-    t = levels.withColumn("_mv", moments.scalar()).select("chrom", F.col(pos).cast("long").alias(pos), (F.col(value) - F.col("_mv.m")).alias("_v"))
+    moments = levels.agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(F.lit(1)).alias("n")).first()
+    mean, var = [F.lit(moments[c]).cast("double") for c in ("m", "v")]
+    t = levels.select("chrom", F.col(pos).cast("long").alias(pos), (F.col(value) - mean).alias("_v"))
     t = t.groupBy("chrom", pos).agg(F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_c"))
     own = tiling.tile_of(pos, tile)
     halo = (F.col(pos) % tile < max_dist) & (own > 0)
     halved = t.withColumn("_tile", F.explode(F.when(halo, F.array(own - 1, own)).otherwise(F.array(own))))
     run = _lag_sums(max_dist, bin_size, tile, pos)
-    parts = tiling.spread(halved, "chrom", "_tile").groupBy("chrom", "_tile").applyInPandas(run, "lag long, n long, total double")
+    parts = tiling.spread(halved, "chrom", "_tile", rows=moments["n"]).groupBy("chrom", "_tile").applyInPandas(run, "lag long, n long, total double")
     lags = parts.groupBy("lag").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).filter(F.col("lag") > 0)
     grid = levels.sparkSession.range(1, max_dist // bin_size).select((F.col("id") * bin_size).alias("lag"))
     full = grid.join(lags, "lag", "left").fillna(0, ["n"])
     stop = full.filter(F.col("n") <= least).agg(F.min("lag"))
     out = full.filter((F.col("n") > least) & (F.col("lag") < F.coalesce(stop.scalar(), F.lit(max_dist))))
-    out = out.withColumn("cov", F.col("total") / (F.col("n") - 1)).withColumn("_mv", moments.scalar())
-    return out.select("lag", "n", "cov", (F.col("cov") / F.col("_mv.v")).alias("cor"))
+    out = out.withColumn("cov", F.col("total") / (F.col("n") - 1))
+    return out.select("lag", "n", "cov", (F.col("cov") / var).alias("cor"))
 
 
 # --- extraction and summaries ---------------------------------------------------------------------

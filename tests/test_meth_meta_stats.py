@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -233,6 +234,22 @@ def test_methylation_view_groups_once(spark, tmp_path):
     assert m._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("hashpartitioning") == 1
 
 
+def test_methylation_shuffles_widen_with_the_rows(spark, tmp_path, monkeypatch):
+    from genespark.plans import views
+
+    monkeypatch.setattr(tiling, "TASK_ROWS", 100, raising=False)
+    rows = [(p, s, "RN"[(p + s) % 2]) for p in range(100) for s in range(20)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    m = views.meth(spark, str(tmp_path))
+    assert m.rdd.getNumPartitions() == 21
+    assert m.agg(F.sum("c"), F.sum("mc"), F.count("start")).first() == (1000, 1000, len({(s % 5, p * 40 + s) for p, s, _ in rows}))
+    levels = m.select("chrom", F.col("start").alias("pos"), (F.col("mc") / (F.col("c") + F.col("mc"))).alias("level"))
+    acf = M.meth_autocovariance(levels, max_dist=100, least=5, tile=512)
+    plan = acf._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chrom, start, 21)" in re.sub(r"#\d+L?", "", plan) and "hashpartitioning(chrom, _tile, 21)" in re.sub(r"#\d+L?", "", plan)
+    assert [r.n for r in acf.collect()] == [r.n for r in M.meth_autocovariance(levels, max_dist=100, least=5, tile=4096).collect()]
+
+
 def test_row_median_and_conflicts(spark):
     df = spark.createDataFrame([(1.0, None, 5.0), (None, None, None), (2.0, 4.0, 9.0)], "a double, b double, c double")
     assert [r.m for r in df.select(D.row_median(F.col("a"), F.col("b"), F.col("c")).alias("m")).collect()] == [3.0, None, 4.0]
