@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from genespark.llm import minhash, near_dedup, substring_dedup
-from genespark.llm.common import WordHashes, shingle_hashes
+from genespark.llm.common import WordHashes, lower_hashes, shingle_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -123,6 +123,28 @@ def test_shingles_of_words():
     assert shingle_hashes(t.array([b"a", b"b"]), 5) != shingle_hashes(t.array([b"b", b"a"]), 5)
 
 
+def test_words_hashed_in_arrays_have_the_hashes_of_single_words():
+    rng = np.random.default_rng(5)
+    letters = list("abcXYZ019-éß漢😀\x00\x85\u00a0\u2028\ud800")
+    ws = ["".join(rng.choice(letters, n)) for n in [*range(1, 45), 1000, 5000] for _ in range(20)]
+    text = "\n \t" + "".join(w + "".join(rng.choice(list(" \t\n\r\x0b\x0c"), rng.integers(1, 3))) for w in ws)
+    for t in (text, text.strip(" \t\n\r\x0b\x0c"), "a", " a", "a ", "", None, " \n"):
+        expected = WordHashes().array((t or "").encode("utf-8", "surrogatepass").lower().split())
+        assert np.array_equal(lower_hashes(t), expected)
+    assert len(lower_hashes(text)) == len(ws)
+
+
+def test_lines_in_one_pass_have_the_shingles_of_each_line_alone():
+    line = "Ä b c d e f g h i j a b c d e"
+    text = f"\n{line}\n\na b\r\n {line} x\n{'y ' * 30}\n{line}"
+    for size in (5, 40):
+        found = list(minhash.paragraphs(10)(text, size))
+        assert [(k, at, n, m) for k, at, n, m, _ in found] == [(1, 1, len(line), 15), (4, 37, len(line) + 3, 16), (5, 70, 60, 30), (6, 131, len(line), 15)]
+        for _, at, n, _, sh in found:
+            assert np.array_equal(sh, shingle_hashes(lower_hashes(text[at : at + n]), size)) and len(sh) == len(set(sh.tolist()))
+        assert [x[0] for x in minhash.paragraphs(10)(text, size, {4})] == [4]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 150)] + [(200, 200)]
     got = {r.pid: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
