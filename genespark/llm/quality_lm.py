@@ -4,6 +4,7 @@ Every different word of the trusted text has an entry of its own, and every diff
 in shards by pair, and so do the back-off weights and continuation shares of words by word; shards grow in number with
 the trusted text. Texts meet them by sending each shard the pairs and words that belong to it. Only the most frequent
 words (HEAD at most, so this has a fixed size) travel to every task: they are most of any text, and no shard gets them.
+Texts go to the shards in ROUNDS parts, each written before the next begins: the disk holds what one part sends.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genespark.llm.common import PLACES, U64, WordHashes, give_back, mix, slices, stash, words
+from genespark.llm.common import PLACES, U64, give_back, hashes_at, mix, release, slices, stash, utf8, word_places
 
 #: Words that every task gets; texts look up all others in their shards, with the same result.
 HEAD = 1 << 17
@@ -26,6 +28,8 @@ HEAD = 1 << 17
 DOCS_A_SHARD = 50_000
 #: Ids of trusted documents up to this number are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Parts in which texts are sent to the shards, one after the other.
+ROUNDS = 6
 #: Share of the trusted documents that calibrates the thresholds instead of training.
 HELD_OUT = 20
 #: The context of a first word.
@@ -41,8 +45,14 @@ _SUMS = ("total", "ones", "twos", "more", "continuations")
 _PAIRS, _WORDS, _META, _TEXT, _TAIL = range(5)
 
 
-def word_ids(text: str | None, table: WordHashes) -> np.ndarray:
-    return np.maximum(table.array(words(text)) >> U64(64 - 8 * WORD_BYTES), U64(1))
+def word_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words of all texts, one text after the other, and how many each text has."""
+    data = [utf8(t) for t in texts]
+    ends = np.cumsum([len(x) + 1 for x in data])
+    data = b"\n".join(data)
+    places = word_places(data)
+    size = np.diff(np.searchsorted(places[0], ends), prepend=0)
+    return np.maximum(hashes_at(data, *places) >> U64(64 - 8 * WORD_BYTES), U64(1)), size
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -77,6 +87,11 @@ def _place(h: np.ndarray, shards: int) -> np.ndarray:
     return (h >> U64(32)) % U64(shards) << U64(32) | h & U64(0xFFFFFFFF)
 
 
+def _prints(places: np.ndarray) -> bytes:
+    """Fingerprints of ascending places in one shard."""
+    return _packed(_gaps(places & U64(0xFFFFFFFF)), 4)
+
+
 def _pair_places(contexts: np.ndarray, ids: np.ndarray, shards: int) -> np.ndarray:
     return _place(mix(contexts * PLACES[0] + ids * PLACES[1]), shards)
 
@@ -85,8 +100,12 @@ def _word_places(ids: np.ndarray, shards: int) -> np.ndarray:
     return _place(mix(ids * PLACES[2]), shards)
 
 
-def _contexts(ids: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.array([START], dtype=U64), ids[:-1])) if len(ids) else ids
+def _contexts(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The word before each word; sizes: of the texts."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[(np.cumsum(size) - size)[size > 0]] = START
+    return out
 
 
 def _groups(keys: np.ndarray):
@@ -124,11 +143,9 @@ def pair_counts(texts: DataFrame, shards: int) -> DataFrame:
     schema = pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, _COUNTS.split(", "))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for f in _slices(batches):
-            found = [word_ids(t, table) for t in f["text"]]
-            ids = np.concatenate(found)
-            contexts, ids, numbers = _merged([(np.concatenate([_contexts(x) for x in found]), ids, np.ones(len(ids), dtype=U64))])
+            ids, size = word_ids(f["text"])
+            contexts, ids, numbers = _merged([(_contexts(ids, size), ids, np.ones(len(ids), dtype=U64))])
             places = _pair_places(contexts, ids, shards)
             order = np.argsort(places >> U64(32), kind="stable")
             out = [(s, *_dump(*(x[order[part]] for x in (contexts, ids, numbers)))) for s, part in _groups(places[order])]
@@ -242,7 +259,7 @@ def fit(counts: DataFrame, head: int = HEAD) -> Model:
 
 
 def _gains(counts: DataFrame, model: Model, shards: int) -> DataFrame:
-    """shard, a (fingerprints), b (float64): what log P(word | context) of each pair that was seen is above that of an unseen one."""
+    """shard, a (fingerprints, packed), b (float64): what log P(word | context) of each pair that was seen is above that of an unseen one."""
     bare = replace(model, others=None)  # what tasks get
     discounts, total, off, share = bare.discounts, bare.total, bare.off, bare.share
 
@@ -251,13 +268,14 @@ def _gains(counts: DataFrame, model: Model, shards: int) -> DataFrame:
 
     def here(frames):
         for f in frames:
-            for s, *packed in f.itertuples(index=False):
-                contexts, ids, n = _load(*packed)
+            for s, *counted in f.itertuples(index=False):
+                contexts, ids, n = _load(*counted)
                 (c, knows), (w, known) = bare.look_up(contexts), bare.look_up(ids)
                 both = knows & known
                 g = gain(n[both].astype(float), total[c[both]], off[c[both]] + share[w[both]])
-                prints = (_pair_places(contexts[both], ids[both], shards) & U64(0xFFFFFFFF)).astype("<u4")
-                yield pd.DataFrame([(s, prints.tobytes(), g.astype("<f8").tobytes())], columns=["shard", "a", "b"])
+                places = _pair_places(contexts[both], ids[both], shards)
+                order = np.argsort(places, kind="stable")
+                yield pd.DataFrame([(s, _prints(places[order]), g[order].astype("<f8").tobytes())], columns=["shard", "a", "b"])
         give_back()
 
     def others(frames):
@@ -279,8 +297,7 @@ def _gains(counts: DataFrame, model: Model, shards: int) -> DataFrame:
             g, places = gain(n.astype(float), of, back + lower), _pair_places(contexts, ids, shards)
             order = np.argsort(places, kind="stable")
             for s, part in _groups(places[order]):
-                prints = (places[order][part] & U64(0xFFFFFFFF)).astype("<u4")
-                yield pd.DataFrame([(s, prints.tobytes(), g[order][part].astype("<f8").tobytes())], columns=["shard", "a", "b"])
+                yield pd.DataFrame([(s, _prints(places[order][part]), g[order][part].astype("<f8").tobytes())], columns=["shard", "a", "b"])
 
     schema = "shard int, a binary, b binary"
     rows = counts.mapInPandas(others, "lacks int, context long, next long, n long")
@@ -295,7 +312,7 @@ def _gains(counts: DataFrame, model: Model, shards: int) -> DataFrame:
 
 
 def _other_words(model: Model, shards: int) -> DataFrame:
-    """shard, a (fingerprints), b and c (float64): log share above that of an unseen word, log back-off weight."""
+    """shard, a (fingerprints, packed), b and c (float64): log share above that of an unseen word, log back-off weight."""
     unseen = model.unseen
 
     def packed(frames):
@@ -304,14 +321,24 @@ def _other_words(model: Model, shards: int) -> DataFrame:
             order = np.argsort(places, kind="stable")
             share, off = f["share"].to_numpy()[order] - unseen, f["off"].to_numpy()[order]
             for s, part in _groups(places[order]):
-                prints = (places[order][part] & U64(0xFFFFFFFF)).astype("<u4")
-                yield pd.DataFrame([(s, prints.tobytes(), share[part].astype("<f8").tobytes(), off[part].astype("<f8").tobytes())], columns=["shard", "a", "b", "c"])
+                yield pd.DataFrame([(s, _prints(places[order][part]), share[part].astype("<f8").tobytes(), off[part].astype("<f8").tobytes())], columns=["shard", "a", "b", "c"])
 
     return model.others.select("word", "off", "share").mapInPandas(packed, "shard int, a binary, b binary, c binary")
 
 
+def _entries(counts: DataFrame, model: Model, shards: int) -> DataFrame:
+    """What shards know: shard, kind, a, b, c of pairs and of words."""
+    pairs = _gains(counts, model, shards).select("shard", F.lit(_PAIRS).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("c"))
+    return pairs.unionByName(_other_words(model, shards).select("shard", F.lit(_WORDS).alias("kind"), "a", "b", "c"))
+
+
 def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity of every row; null and empty texts have no tokens and a null perplexity."""
+    return _scored(docs, stash(_entries(counts, model, shards)), model, shards)
+
+
+def _scored(docs: DataFrame, entries: DataFrame, model: Model, shards: int) -> DataFrame:
+    """The same from the stashed entries, which are released."""
     bare = replace(model, others=None)
     off, share, unseen = bare.off, bare.share, bare.unseen
     start = float(off[0]) if len(model.head) and model.head[0] == START else 0.0
@@ -330,25 +357,23 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        uid, table = TaskContext.get().partitionId() << 33, WordHashes()
+        uid = TaskContext.get().partitionId() << 33
         for f in _slices(batches):
-            found = [word_ids(t, table) for t in f["text"]]
-            size = np.array([len(p) for p in found])
-            ids, doc = np.concatenate(found), np.repeat(np.arange(len(found)), size)
+            ids, size = word_ids(f["text"])
+            doc = np.repeat(np.arange(len(size)), size)
             last = np.zeros(len(ids), dtype=bool)
             last[np.cumsum(size)[size > 0] - 1] = True
             at, known = bare.look_up(ids)
             own = np.full(len(ids), unseen)
             own[known] = share[at[known]] + np.where(last[known], 0.0, off[at[known]])
-            base = np.bincount(doc, weights=own, minlength=len(found)) + np.where(size > 0, start, 0.0)
+            base = np.bincount(doc, weights=own, minlength=len(size)) + np.where(size > 0, start, 0.0)
             out = [
                 ((uid + k) % shards, _META, uid + k, d, lang, int(n), float(b), None, None, None)
                 for k, (d, lang, n, b) in enumerate(zip(f["doc_id"], f["lang"], size, base))
             ]
-            contexts = np.concatenate([_contexts(x) for x in found])
-            out += messages(_pair_places(contexts, ids, shards), doc, len(found), _TEXT, uid)
-            out += messages(_word_places(ids[~known], shards), (2 * doc + last)[~known], 2 * len(found), _TAIL, uid)
-            uid += len(found)
+            out += messages(_pair_places(_contexts(ids, size), ids, shards), doc, len(size), _TEXT, uid)
+            out += messages(_word_places(ids[~known], shards), (2 * doc + last)[~known], 2 * len(size), _TAIL, uid)
+            uid += len(size)
             yield pa.RecordBatch.from_pylist([dict(zip(_SENT.names, row)) for row in out], schema=_SENT)
         give_back()
 
@@ -381,7 +406,7 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
                 if r.shard != here:
                     here, parts, tables = r.shard, {}, {}
                 if r.kind in (_PAIRS, _WORDS):
-                    arrays = [np.frombuffer(r.a, dtype="<u4"), np.frombuffer(r.b, dtype="<f8")]
+                    arrays = [np.cumsum(_unpacked(r.a, 4), dtype=U64).astype(np.uint32), np.frombuffer(r.b, dtype="<f8")]
                     parts.setdefault(r.kind, []).append(arrays + ([np.frombuffer(r.c, dtype="<f8")] if r.kind == _WORDS else []))
                     continue
                 if r.kind == _TEXT:
@@ -399,16 +424,22 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
         give_back()
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    both = docs.select(F.col("doc_id").cast("long"), lang, F.col("text").cast("string")).mapInArrow(send, _ROWS)
+    rows = docs.select(F.col("doc_id").cast("long"), lang, F.col("text").cast("string"))
     none = {x.split()[0]: F.lit(None).cast(x.split()[1]) for x in _ROWS.split(", ")}
-    for kind, entries in ((_PAIRS, _gains(counts, model, shards)), (_WORDS, _other_words(model, shards))):
-        given = none | {"kind": F.lit(kind)} | {c: F.col(c) for c in entries.columns}
-        both = both.unionByName(entries.select(*[c.alias(k) for k, c in given.items()]))
-    met = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    parts = met.mapInPandas(meet, "uid long, doc_id long, lang string, n long, logp double")
-    whole = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n").alias("n_tokens"), F.sum("logp").alias("logp"))
+    given = entries.select(*[c.alias(k) for k, c in (none | {c: F.col(c) for c in entries.columns}).items()])
     perplexity = F.when(F.col("n_tokens") > 0, F.exp(-F.col("logp") / F.col("n_tokens")))
-    return whole.select("doc_id", "lang", "n_tokens", perplexity.alias("perplexity"))
+
+    def part(k):
+        some = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k)
+        both = some.mapInArrow(send, _ROWS).unionByName(given)
+        met = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+        parts = met.mapInPandas(meet, "uid long, doc_id long, lang string, n long, logp double")
+        whole = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n").alias("n_tokens"), F.sum("logp").alias("logp"))
+        return stash(whole.select("doc_id", "lang", "n_tokens", perplexity.alias("perplexity")))
+
+    out = reduce(DataFrame.unionByName, [part(k) for k in range(ROUNDS)])
+    release(entries)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.1, weight: int = 20) -> DataFrame:
@@ -429,7 +460,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     if many <= BROADCAST_ROWS:
         train = F.broadcast(train)
     counts = stash(pair_counts(docs.select("doc_id", "text").join(train, "doc_id"), shards))
-    found = stash(scores(docs, counts, fit(counts), shards))
+    model = fit(counts)
+    entries = stash(_entries(counts, model, shards))
+    release(counts)
+    found = _scored(docs, entries, model, shards)
     calibration = trusted.filter("held").select("doc_id")
 
     def with_quantile(rows: DataFrame, column: str, share: float, name: str) -> DataFrame:

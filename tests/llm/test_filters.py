@@ -1,7 +1,9 @@
 """Secrets, quality rules, perplexities, decontamination, URL rules and page text against plain Python."""
 
+import glob
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -10,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from genespark.llm import decontaminate, html_text, quality_lm, quality_rules, secrets, url_filter
@@ -243,6 +246,32 @@ def test_classifier_separates_and_handles_odd_rows(spark):
     assert not any(r.kept for r in got if 300 <= r.doc_id < 340) and sum(r.kept for r in got if r.doc_id < 300) >= 291
 
 
+def test_word_ids_of_many_texts_are_those_of_each():
+    texts = [None, "", "a b", " x\x0by\nz\t", None, "long" * 20 + " \x1c \u2028 ß é", "\n", "end"]
+    ids, size = quality_lm.word_ids(texts)
+    plain = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    assert size.tolist() == [len(x) for x in plain]
+    assert ids.tolist() == [max(1, xxhash.xxh3_64_intdigest(w) >> 16) for x in plain for w in x]
+    assert [len(x) for x in quality_lm.word_ids([None])] == [0, 1]
+
+
+def test_texts_go_in_parts_whose_shuffle_files_do_not_stay(spark):
+    def files():
+        tops = (os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", "/tmp")).split(",")
+        return {p for top in tops for inner in ("", "*/") for p in glob.glob(f"{top}/{inner}blockmgr-*/*/shuffle_*.data")}
+
+    rows = [(k, f"some words {k} of text {k % 7}") for k in range(200)]
+    counts = quality_lm.stash(quality_lm.pair_counts(docs_of(spark, rows), 3))
+    model = quality_lm.fit(counts)
+    before = files()
+    found = quality_lm.scores(docs_of(spark, rows + rows[:5]), counts, model, 3)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(r.doc_id for r in found.collect()) == sorted(k for k, _ in rows + rows[:5])
+
+
 def test_a_very_long_text_scores_as_its_words(spark):
     rows = [(k, "some words of a trusted text " * 20) for k in range(20)] + [(20, "some words of a trusted text " * 300_000)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
